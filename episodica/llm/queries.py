@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, sharding, toxicity
+from . import decontaminate, mixing, neardup, pii, quality, sharding, toxicity
 
-_MODULES = (decontaminate, mixing, neardup, sharding, toxicity)
+_MODULES = (decontaminate, mixing, neardup, pii, quality, sharding, toxicity)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
