@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neardup, pii, quality, sharding, tokens, toxicity
+from . import chat, decontaminate, linededup, mixing, neardup, pii, quality, sharding, tokens, toxicity
 
-_MODULES = (chat, decontaminate, mixing, neardup, pii, quality, sharding, tokens, toxicity)
+_MODULES = (chat, decontaminate, linededup, mixing, neardup, pii, quality, sharding, tokens, toxicity)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
