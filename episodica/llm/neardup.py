@@ -9,8 +9,9 @@ chance that a pair shares no table is below 2 * (1 - 0.75**R)**M, about 1e-4; it
 2. Half keys that no second class has are dropped before the tensor product is formed.
 3. Candidates are compared on full sets in three rounds: with the smallest id any of their tables
    holds; with the first of each table; and, where a table still holds several components, with all
-   classes of other components that share the table and one of ``M`` third half keys as well. So
-   no cap cuts a group, and large groups of copies cost one comparison a member and table leader.
+   classes of other components that share its first half key. The last round deals such a group out
+   in blocks of about ``BLOCK`` classes, multiplies the blocks' incidence matrices inside the tasks and
+   emits links only; so no cap cuts a group, and no group lands in one task.
 4. Links become components by alternating large-star and small-star steps on tables in the shared
    folder. Neither links, components nor fingerprints reach the driver.
 """
@@ -21,17 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import stash, table
 
 M, R, SHINGLE, SEED = 18, 3, 5, 17
+#: Classes in a block of round 3, and shingles multiplied at once.
+BLOCK, COLUMNS = 512, 4096
 #: Ids below this number are broadcast to pick their texts; above it the join shuffles.
 FEW = 1_000_000
 
 _rng = np.random.default_rng(SEED)
-_A = _rng.integers(1, 1 << 63, 3 * M * R, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, 3 * M * R, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, 2 * M * R, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 1 << 63, 2 * M * R, dtype=np.uint64)
 _WEIGHT = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,12 +63,12 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def half_keys(own: np.ndarray) -> np.ndarray:
-    """``3 * M`` keys: of each collection, M keys of R minhashes."""
+    """``2 * M`` keys: of each collection, M keys of R minhashes."""
     low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(own), 1024):
         np.minimum(low, (own[k : k + 1024, None] * _A + _B >> np.uint64(20)).min(0), out=low)
-    parts = _mixed(low).reshape(3 * M, R)
-    key = np.arange(3 * M, dtype=np.uint64)
+    parts = _mixed(low).reshape(2 * M, R)
+    key = np.arange(2 * M, dtype=np.uint64)
     for r in range(R):
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, r])
     return key.view(np.int64)
@@ -89,11 +93,71 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            own = [shingle_set(t.as_py()).view(np.int64) for t in batch["t"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(own, pa.list_(pa.int64()))], names=["id", "own"])
+            own = [shingle_set(t.as_py()) for t in batch["t"]]
+            # The upper halves of the hashes, for round 3: equal shingles stay equal in them.
+            half = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(half, pa.binary())], names=["id", "own", "half"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, own array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, own array<bigint>, half binary")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    common = often[column] > 1
+    names, column = np.unique(column[common], return_inverse=True)
+    of, both = of[common], np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(names), COLUMNS):
+        here = (column >= lo) & (column < lo + COLUMNS)
+        x = np.zeros((len(sets), min(COLUMNS, len(names) - lo)), np.float32)
+        x[of[here], column[here] - lo] = 1
+        both += x @ x.T
+    return both
+
+
+def _within_blocks(rows: DataFrame) -> DataFrame:
+    """Likely links (a, b) among the classes of each pair of blocks: ``u, x, y, block, id, component, half``.
+
+    Compared on 32-bit halves of the hashes at 0.74, so that a chance collision loses no link; the
+    full sets decide afterwards.
+    """
+
+    def compared(key, group):
+        sets = [np.frombuffer(h, np.uint32) for _, _, _, h in group]
+        block, component = (np.array([r[k] for r in group]) for k in (0, 2))
+        n = np.array([len(x) for x in sets])
+        both = _overlaps(sets)
+        near = 100 * both >= 74 * (n[:, None] + n[None, :] - both)
+        near &= component[:, None] != component[None, :]
+        if key[1] != key[2]:
+            near &= block[:, None] != block[None, :]
+        return [(group[i][1], group[j][1]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+
+    def run(batches):
+        key, group = None, []
+        for batch in batches:
+            found = []
+            columns = [batch[c].to_pylist() for c in ("u", "x", "y", "block", "id", "component", "half")]
+            for u, x, y, *row in zip(*columns, strict=True):
+                if (u, x, y) != key:
+                    if len(group) > 1:
+                        found += compared(key, group)
+                    key, group = (u, x, y), []
+                group.append(row)
+            yield found
+        if len(group) > 1:
+            yield compared(key, group)
+
+    kind = rows.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def links(batches):
+        for found in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], arrow), pa.array([max(p) for p in found], arrow)], names=["a", "b"])
+
+    return rows.repartition("u", "x", "y").sortWithinPartitions("u", "x", "y").mapInArrow(links, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,15 +193,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     an id is repeated with different texts, each row gets the component of its own text.
     """
     signed = stash(_signatures(docs, id_col, text_col), "signatures")
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n").alias("n"))
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"))
     classes = stash(classes, "classes")
 
-    half = classes.select("rep", F.explode(F.slice("keys", 1, 2 * M)).alias("key"))
+    half = classes.select("rep", F.explode("keys").alias("key"))
     shared = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = classes.select("rep", "print", F.posexplode(F.slice("keys", 1, 2 * M)).alias("at", "key")).withColumn("first", F.col("at") < M)
+    live = classes.select("rep", "print", F.posexplode("keys").alias("at", "key")).withColumn("first", F.col("at") < M)
     live = live.join(shared, "key").groupBy("rep", "print").agg(F.collect_set(F.when(F.col("first"), F.col("key"))).alias("u"), F.collect_set(F.when(~F.col("first"), F.col("key"))).alias("v"))
     tensor = live.select("rep", F.explode("u").alias("u"), "v").select("rep", "u", F.explode("v").alias("v"))
-    tensor = stash(tensor.select("rep", F.xxhash64("u", "v").alias("k")).distinct(), "tensor")
+    tensor = stash(tensor.select("rep", "u", F.xxhash64("u", "v").alias("k")).distinct(), "tensor")
     heads = tensor.groupBy("k").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").select("k", "head")
     tables = stash(tensor.join(heads, "k"), "tables")
 
@@ -153,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     owner = components(links)
 
     def open_tables(of: DataFrame) -> DataFrame:
-        own = tables.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep", "head", F.coalesce("component", "rep").alias("component"))
+        own = tables.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("k", "u", "rep", "head", F.coalesce("component", "rep").alias("component"))
         mixed = own.groupBy("k").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("k")
         return own.join(mixed, "k")
 
@@ -164,16 +228,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stash(links.union(_links(pairs, sets)), "links")
     owner = components(links)
 
-    # Round 3: what is still apart in a table meets all others there that share a third half key too.
-    left = open_tables(owner)
-    third = classes.select("rep", "n", F.slice("keys", 2 * M + 1, M).alias("w"))
-    cells = left.join(third, "rep").select("rep", "n", "component", F.explode("w").alias("w"), "k")
-    cells = stash(cells.select("rep", "n", "component", F.xxhash64("k", "w").alias("c")).distinct(), "cells")
-    mixed = cells.groupBy("c").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("c")
-    cells = cells.join(mixed, "c")
-    other = cells.select("c", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = cells.withColumnRenamed("rep", "a").join(other, "c").where("a < b AND component <> cb AND 100 * least(n, nb) >= 75 * greatest(n, nb)")
-    links = links.union(_links(pairs.select("a", "b").distinct(), sets))
+    # Round 3: what is still apart in a table meets all others that share its first half key.
+    left = stash(open_tables(owner).select("u", F.col("rep").alias("id"), "component").distinct(), "open")
+    groups = left.groupBy("u").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi")
+    cells = left.join(groups.select("u", "blocks"), "u").withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("u", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component").join(sets.select("id", "half"), "id")
+    pairs = _within_blocks(cells).distinct()
+    links = links.union(_links(pairs, sets))
     owner = components(links)
 
     several = classes.select("print", "rep")
