@@ -31,8 +31,8 @@ def _first_events(events: DataFrame, names: list[str], k: int) -> DataFrame:
     return rows.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("r", "event_id", s.alias("s"), F.size(held).cast("double").alias("n"), x.alias("x")))).alias("all"))
 
 
-def shapley(events: DataFrame, names: list[str], *, model=None, k: int = MOST_EVENTS) -> DataFrame:
-    """``patient_id, event_id, phi``: exact Shapley values of the first ``k`` events, rounded to 6 digits."""
+def shapley(events: DataFrame, names: list[str], *, model=None, k: int = MOST_EVENTS, digits: int | None = 6) -> DataFrame:
+    """``patient_id, event_id, phi``: exact Shapley values of the first ``k`` events, rounded to ``digits``."""
     model = model or mean_model()
     if k > MOST_EVENTS:
         raise ValueError(f"at most {MOST_EVENTS} events")
@@ -51,7 +51,8 @@ def shapley(events: DataFrame, names: list[str], *, model=None, k: int = MOST_EV
     def phi(r: Column) -> Column:
         bit = F.pow(F.lit(2.0), r).cast("int")
         each = F.transform("v", lambda v, m: F.when(in_set(m, r), 0.0).otherwise(F.get(F.get(weights, F.col("d") - 1), F.bit_count(m)) * (F.get(F.col("v"), m + bit) - v)))
-        return F.bround(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 6)
+        value = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return value if digits is None else F.bround(value, digits)
 
     found = F.transform("all", lambda e: F.struct(e["event_id"].alias("event_id"), phi(e["r"]).alias("phi")))
     return rows.select("patient_id", F.explode(found).alias("x")).select("patient_id", "x.*")

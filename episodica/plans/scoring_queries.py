@@ -118,8 +118,8 @@ SQL = {
       u AS (SELECT label, 'value' AS attr, value AS x FROM x UNION ALL SELECT label, 'k', k FROM x),
       t AS (SELECT attr, x AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY attr) AS c FROM (SELECT DISTINCT attr, x FROM u)) WHERE c >= 2 AND r = c // 2),
       s AS (SELECT u.label, attr, threshold, CASE WHEN x > threshold THEN '>' ELSE '<=' END AS op FROM u JOIN t USING (attr)),
-      g AS (SELECT label, attr, op, threshold, count(*) AS own, sum(count(*)) OVER (PARTITION BY attr, op) AS n FROM s GROUP BY ALL),
-      b AS (SELECT label, count(*) AS nl, (SELECT count(*) FROM x) AS na FROM x GROUP BY 1)
+      o AS (SELECT label, attr, op, threshold, count(*) AS own FROM s GROUP BY ALL), g AS (SELECT *, sum(own) OVER (PARTITION BY attr, op) AS n FROM o),
+      c AS (SELECT label, count(*) AS nl FROM x GROUP BY 1), b AS (SELECT label, nl, sum(nl) OVER () AS na FROM c)
       SELECT label, attr, op, round(threshold, 6) AS threshold, round(n / na, 6) AS support, round(own / n, 6) AS confidence, round(own / n / (nl / na), 6) AS lift FROM g JOIN b USING (label)
       WHERE n / na >= 0.1 AND own / n >= 0.3""",
     "rule_predictions": f"SELECT CASE WHEN k > 60 THEN 'high' WHEN value <= 100 THEN 'low' ELSE 'none' END AS predicted, count(*) AS n FROM {E} GROUP BY 1",

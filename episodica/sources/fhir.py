@@ -98,7 +98,7 @@ def to_bundles(resources: DataFrame, by: DataFrame) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("bundle"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("bundle"))
 
 
 def import_bundles(bundles: DataFrame, *, code_map: dict | None = None, include_encounters: bool = True, key: str = "file") -> DataFrame:

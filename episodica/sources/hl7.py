@@ -88,7 +88,7 @@ def _map(values: dict) -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``file, raw``: whole files of a directory or pattern."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
 
 
 def split_messages(rows: DataFrame, raw: str = "raw") -> DataFrame:

@@ -14,10 +14,10 @@ from ..sources import hl7
 
 def message_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream of messages from files dropped into ``path`` (an MLLP gateway or Kafka sink writes them)."""
-    reader = spark.readStream.option("wholetext", True)
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return hl7.parse(hl7.split_messages(reader.text(path).select(F.col("value").alias("raw"))))
+    return hl7.parse(hl7.split_messages(reader.text(path, wholetext=True).select(F.col("value").alias("raw"))))
 
 
 def deduplicated_events(messages: DataFrame, delay: str = "1 day") -> DataFrame:
