@@ -110,7 +110,7 @@ def parse(rows: DataFrame, message: str = "message") -> DataFrame:
         head = F.concat(F.array(F.get(f, F.lit(0)), sep), F.slice(f, F.lit(2), F.size(f)))
         return F.when(F.startswith(s, F.lit("MSH")), head).otherwise(f)
 
-    good = F.startswith(text, F.lit("MSH")) & (F.length(text) > 8)
+    good = F.startswith(text, F.lit("MSH")) & (F.length(F.substring_index(text, "\n", 1)) > 8)
     return rows.withColumn("segments", F.when(good, F.transform(lines, fields))).withColumn("comp", F.substring(text, 5, 1))
 
 
