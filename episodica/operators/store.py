@@ -77,7 +77,7 @@ def referenced_by(refs: DataFrame, targets: DataFrame) -> DataFrame:
 
 def inverse_of(relation: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in INVERSE.items() for x in pair])
-    return F.coalesce(known.getItem(relation), F.concat(F.lit("inverse_of_"), relation))
+    return F.coalesce(known[relation], F.concat(F.lit("inverse_of_"), relation))
 
 
 def is_valid_relation(name: Column) -> Column:

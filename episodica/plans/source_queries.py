@@ -18,7 +18,7 @@ _CODES = {"signup": "ADT^A01", "click": "ADT^A03", "view": "ORU^R01", "purchase"
 def _messages(spark, d):
     """Raw text, one message per event, two messages a row: admissions, discharges and observations."""
     rows = table(spark, d, "events")
-    code = F.create_map(*[F.lit(x) for p in _CODES.items() for x in p]).getItem(F.col("event_type"))
+    code = F.create_map(*[F.lit(x) for p in _CODES.items() for x in p])[F.col("event_type")]
     at = F.date_format("ts", "yyyyMMddHHmmss")
     loinc = F.when(F.col("event_type") == "view", "8867-4^Heart rate").otherwise("2524-7^Lactate")
     lines = [

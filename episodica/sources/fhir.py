@@ -140,7 +140,7 @@ def import_bundles(bundles: DataFrame, *, code_map: dict | None = None, include_
 def _lookup(coding: Column, kind: Column, code_map: dict | None) -> Column:
     """Own map, then the system's map, then LOINC, then SNOMED, else FHIR_<type>."""
     code, system = coding["code"], F.lower(F.coalesce(coding["system"], F.lit("")))
-    own = [_map(code_map).getItem(code)] if code_map else []
-    loinc, snomed = _map(BUNDLE_LOINC).getItem(code), _map(SNOMED).getItem(code)
+    own = [_map(code_map)[code]] if code_map else []
+    loinc, snomed = _map(BUNDLE_LOINC)[code], _map(SNOMED)[code]
     hinted = F.when(F.contains(system, F.lit("loinc")), loinc).when(F.contains(system, F.lit("snomed")), snomed)
     return F.coalesce(*own, hinted, loinc, snomed, F.concat(F.lit("FHIR_"), kind))

@@ -82,6 +82,11 @@ LIVE = {
 }
 
 
+#: Where a message's time is looked for, in order.
+TIMES = (("EVN", 2), ("PV1", 44), ("OBX", 14), ("OBR", 7), ("MSH", 7))
+FIELD, COMPONENT = "\x01", "\x02"
+
+
 def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -99,19 +104,23 @@ def split_messages(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def parse(rows: DataFrame, message: str = "message") -> DataFrame:
-    """Plus ``segments array<array<string>>`` and ``comp``, the component separator; unreadable: null."""
+    """Plus ``segments array<array<string>>`` and ``comp``, the component separator; unreadable: null.
+
+    A message's own separators are first turned into fixed ones, so that splitting needs no pattern
+    per row; components stay marked by ``COMPONENT`` until :func:`field` takes them apart.
+    """
     text = F.regexp_replace(message, "\r\n?", "\n")
-    sep = F.substring(text, 4, 1)
-    literal = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.trim(s)) > 0)
+    sep, comp = F.substring(text, 4, 1), F.substring(text, 5, 1)
+    fixed = F.call_function("translate", text, F.concat(sep, comp), F.lit(FIELD + COMPONENT))
+    lines = F.filter(F.split(fixed, "\n"), lambda s: F.length(F.trim(s)) > 0)
 
     def fields(s: Column) -> Column:
-        f = F.split(s, literal)
+        f = F.split(s, FIELD)
         head = F.concat(F.array(F.get(f, F.lit(0)), sep), F.slice(f, F.lit(2), F.size(f)))
         return F.when(F.startswith(s, F.lit("MSH")), head).otherwise(f)
 
     good = F.startswith(text, F.lit("MSH")) & (F.length(F.substring_index(text, "\n", 1)) > 8)
-    return rows.withColumn("segments", F.when(good, F.transform(lines, fields))).withColumn("comp", F.substring(text, 5, 1))
+    return rows.withColumn("segments", F.when(good, F.transform(lines, fields))).withColumn("comp", comp)
 
 
 def segment(name: str) -> Column:
@@ -126,17 +135,14 @@ def all_segments(name: str) -> Column:
 def field(seg: Column, n: int, comp: int | None = None) -> Column:
     """Field ``n`` (component ``comp``, from 1), null if empty or absent."""
     x = F.get(seg, F.lit(n))
-    if comp is not None:
-        x = F.get(F.split(x, F.concat(F.lit("\\Q"), F.col("comp"), F.lit("\\E"))), F.lit(comp - 1))
+    x = F.call_function("translate", x, F.lit(COMPONENT), F.col("comp")) if comp is None else F.split_part(x, F.lit(COMPONENT), F.lit(comp))
     return F.nullif(F.trim(x), F.lit(""))
 
 
 def timestamp(x: Column) -> Column:
     """Times of 14, 12, 10, 8, 6 or 4 digits; fractions and zones are dropped."""
-    d = F.regexp_extract(F.coalesce(x, F.lit("")), r"^(\d+)", 1)
-    n = F.length(d)
-    size = F.when(n >= 14, 14).when(n >= 12, 12).when(n >= 10, 10).when(n >= 8, 8).when(n >= 6, 6).when(n >= 4, 4)
-    padded = F.concat(F.substring(d, F.lit(1), size), F.substring(F.lit("00000101000000"), size + 1, F.lit(14)))
+    d = F.nullif(F.regexp_extract(x, r"^((?:\d\d){2,7})", 1), F.lit(""))
+    padded = F.concat(d, F.substring(F.lit("00000101000000"), F.length(d) + 1, F.lit(14)))
     return F.try_to_timestamp(padded, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
@@ -154,31 +160,44 @@ def trigger() -> Column:
 
 def to_events(messages: DataFrame, code_map: dict | None = None) -> DataFrame:
     """One event per parsed message; messages without patient or time are dropped."""
-    obx, pv1 = segment("OBX"), segment("PV1")
-    at = F.coalesce(*[timestamp(field(segment(s), n)) for s, n in (("EVN", 2), ("PV1", 44), ("OBX", 14), ("OBR", 7), ("MSH", 7))])
-    loinc = field(obx, 3, 1)
-    code = F.when(kind() == "ADT", trigger()).when(kind() == "ORU", loinc)
-    own = _map(code_map).getItem(code) if code_map else F.lit(None).cast("string")
-    default = F.when(kind() == "ADT", _map(ADT).getItem(trigger())).when(kind() == "ORU", _map(LOINC).getItem(loinc))
-    other = F.concat_ws("_", F.lit("HL7"), kind(), trigger())
-    stay = (timestamp(field(pv1, 44)), timestamp(field(pv1, 45)))
+    # Segments, then fields, then times are columns of their own, so that each is computed once.
+    names = ("MSH", "EVN", "PID", "PV1", "OBR", "OBX")
+    rows = messages.where("segments IS NOT NULL").select("comp", *[segment(s).alias(s) for s in names])
+    seg = lambda s, n, comp=None: field(F.col(s), n, comp)
+    rows = rows.select(
+        seg("MSH", 10).alias("control_id"),
+        seg("PID", 3, 1).alias("patient_id"),
+        seg("MSH", 9, 1).alias("kind"),
+        seg("MSH", 9, 2).alias("trigger"),
+        seg("OBX", 5).alias("value"),
+        seg("OBX", 6, 1).alias("unit"),
+        seg("OBX", 3, 1).alias("loinc_code"),
+        seg("OBX", 3, 2).alias("loinc_display"),
+        seg("PV1", 2).alias("patient_class"),
+        seg("PV1", 3, 1).alias("station"),
+        *[timestamp(seg(s, n)).alias(f"t{k}") for k, (s, n) in enumerate(TIMES)],
+        timestamp(seg("PV1", 45)).alias("left"),
+    )
+    is_adt, is_oru = F.col("kind") == "ADT", F.col("kind") == "ORU"
+    own = _map(code_map)[F.when(is_adt, F.col("trigger")).when(is_oru, F.col("loinc_code"))] if code_map else F.lit(None).cast("string")
+    default = F.when(is_adt, _map(ADT)[F.col("trigger")]).when(is_oru, _map(LOINC)[F.col("loinc_code")])
     hour = F.expr("INTERVAL 1 HOUR")
-    value = field(obx, 5).try_cast("double")
-    rows = messages.where("segments IS NOT NULL").select(
-        field(segment("MSH"), 10).alias("control_id"),
-        patient().alias("patient_id"),
-        F.coalesce(own, default, other).alias("event_type"),
-        at.alias("t_start"),
-        F.coalesce(stay[0], at - hour).alias("stay_start"),
-        F.coalesce(stay[1], F.coalesce(stay[0], at) + hour).alias("stay_end"),
-        value.alias("value"),
-        field(obx, 6, 1).alias("unit"),
-        loinc.alias("loinc_code"),
-        field(obx, 3, 2).alias("loinc_display"),
-        field(pv1, 2).alias("patient_class"),
-        field(pv1, 3, 1).alias("station"),
+    rows = rows.withColumn("t_start", F.coalesce(*[f"t{k}" for k in range(len(TIMES))])).where("patient_id IS NOT NULL AND t_start IS NOT NULL")
+    return rows.select(
+        "control_id",
+        "patient_id",
+        F.coalesce(own, default, F.concat_ws("_", F.lit("HL7"), "kind", "trigger")).alias("event_type"),
+        "t_start",
+        F.coalesce("t1", F.col("t_start") - hour).alias("stay_start"),
+        F.coalesce("left", F.coalesce("t1", "t_start") + hour).alias("stay_end"),
+        F.col("value").try_cast("double").alias("value"),
+        "unit",
+        "loinc_code",
+        "loinc_display",
+        "patient_class",
+        "station",
+        F.col("t_start").alias("t_end"),
     )
-    return rows.where("patient_id IS NOT NULL AND t_start IS NOT NULL").withColumn("t_end", F.col("t_start"))
 
 
 def to_live_events(messages: DataFrame) -> DataFrame:
@@ -199,7 +218,7 @@ def to_live_events(messages: DataFrame) -> DataFrame:
 
     pv1, sch = segment("PV1"), segment("SCH")
     adt = event(
-        _map(LIVE).getItem(trigger()), 1.0, station=field(pv1, 3, 1), station_from=F.when(trigger() == "A02", field(pv1, 6, 1)), patient_class=field(pv1, 2), doctor=field(pv1, 7, 1), prior_id=F.when(trigger() == "A40", field(segment("MRG"), 1, 1))
+        _map(LIVE)[trigger()], 1.0, station=field(pv1, 3, 1), station_from=F.when(trigger() == "A02", field(pv1, 6, 1)), patient_class=field(pv1, 2), doctor=field(pv1, 7, 1), prior_id=F.when(trigger() == "A40", field(segment("MRG"), 1, 1))
     )
     diagnosis = lambda label, c: each("DG1", lambda s: event(F.when(field(s, 3, 1).isNotNull(), F.lit(label)), c, code=field(s, 3, 1), text=field(s, 3, 2)))
     observed = each(
@@ -214,7 +233,7 @@ def to_live_events(messages: DataFrame) -> DataFrame:
             obs_unit=field(s, 6),
             ref_range=field(s, 7),
             obs_flag=field(s, 8),
-            attr=_map(ATTRIBUTES).getItem(field(s, 3, 1)),
+            attr=_map(ATTRIBUTES)[field(s, 3, 1)],
             number=F.replace(field(s, 5), F.lit(","), F.lit(".")).try_cast("double").cast("string"),
         ),
     )
@@ -223,7 +242,7 @@ def to_live_events(messages: DataFrame) -> DataFrame:
     document = F.array(event(F.lit("Dokument"), 0.90, text=F.left(F.array_join(F.array_compact(each("OBX", lambda s: field(s, 5))), "\n"), F.lit(2000))))
     procedures = each("PR1", lambda s: event(F.lit("Prozedur"), 0.99, timestamp(field(s, 5)), code=field(s, 3, 1)))
     charges = each("FT1", lambda s: event(F.lit("Prozedur"), 0.99, timestamp(field(s, 4)), code=field(s, 19, 1)))
-    known = _map(LIVE).getItem(trigger()).isNotNull()
+    known = _map(LIVE)[trigger()].isNotNull()
     found = (
         F.when((kind() == "ADT") & known, F.concat(F.array(adt), F.when(trigger() == "A03", diagnosis("Entlassdiagnose", 0.95)).otherwise(none)))
         .when(kind() == "ORU", observed)
@@ -241,6 +260,6 @@ def to_live_events(messages: DataFrame) -> DataFrame:
 def acknowledgement(code: Column) -> Column:
     """ACK text for a parsed message: sender and receiver swapped, code AA, AE or AR."""
     msh = segment("MSH")
-    x = lambda n: F.coalesce(F.get(msh, F.lit(n)), F.lit(""))
+    x = lambda n: F.coalesce(field(msh, n), F.lit(""))
     head = F.concat_ws("|", F.lit("MSH"), F.lit("^~\\&"), x(5), x(6), x(3), x(4), x(7), F.lit(""), F.concat(F.lit("ACK^"), F.coalesce(trigger(), F.lit(""))), F.concat(F.lit("ACK"), x(10)), F.coalesce(F.nullif(x(11), F.lit("")), F.lit("P")), F.coalesce(F.nullif(x(12), F.lit("")), F.lit("2.5")))
     return F.concat(head, F.lit("\r"), F.concat_ws("|", F.lit("MSA"), code, x(10)), F.lit("\r"))

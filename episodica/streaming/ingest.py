@@ -36,7 +36,7 @@ def ingest(messages: DataFrame, *, events_path: str, dead_path: str, checkpoint:
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         hl7.to_events(batch).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
-        at = F.coalesce(*[hl7.timestamp(hl7.field(hl7.segment(s), n)) for s, n in (("EVN", 2), ("PV1", 44), ("OBX", 14), ("OBR", 7), ("MSH", 7))])
+        at = F.coalesce(*[hl7.timestamp(hl7.field(hl7.segment(s), n)) for s, n in hl7.TIMES])
         reason = F.when(F.col("segments").isNull(), "unreadable").when(hl7.patient().isNull(), "no patient").when(at.isNull(), "no time")
         batch.withColumn("reason", reason).where("reason IS NOT NULL").select("message", "reason").write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
         batch.unpersist()
