@@ -25,6 +25,9 @@ from .common import table
 SAMPLE = 1500
 SAMPLE_CHARS = 200_000
 BUCKETS, DIM, PASSAGE = 1 << 16, 12, 24
+#: Steps of gradient descent, whatever the size of the sample.
+UPDATES = 400
+LEAST_DOCS = 4
 #: Words whose scores a task keeps; the cache starts again when it is full.
 CACHE = 200_000
 
@@ -63,7 +66,7 @@ class Model:
         return self.E @ (self.W[:, 1] - self.W[:, 0]), float(self.b[1] - self.b[0])
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, batch: int = 256, seed: int = 0) -> Model:
+def train(texts: list[bytes], labels: list[int], *, updates: int = UPDATES, batch: int = 256, seed: int = 0) -> Model:
     model, rng = Model(seed), np.random.default_rng(seed)
     y = np.asarray(labels, dtype=int)
     model.prior = float(y.mean()) if len(y) else 0.0
@@ -78,6 +81,16 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, batch: int
             length.append(j - i)
             of.append(k)
     feats = [grams(w) for w in ids]
+    # Buckets of fewer than LEAST_DOCS documents stay zero: they could only be learned by heart.
+    common = np.zeros(BUCKETS, dtype=int)
+    by_doc: dict[int, list] = {}
+    for w, d in zip(words, of, strict=True):
+        by_doc.setdefault(d, []).append(w)
+    for parts in by_doc.values():
+        own = np.unique(np.concatenate(parts))
+        common[np.unique(np.concatenate([feats[k] for k in own]))] += 1
+    common = common >= LEAST_DOCS
+    model.E[~common] = 0
     count = np.array([len(f) for f in feats])
     flat, start = np.concatenate([np.array(f) for f in feats]), np.concatenate([[0], np.cumsum(count)[:-1]])
     tokens, held, length, of = np.concatenate(words), np.array([len(w) for w in words]), np.array(length), np.array(of)
@@ -92,19 +105,21 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, batch: int
         return np.repeat(firsts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
 
     g_e, g_w, g_b = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
-    for epoch in range(epochs):
+    done = 0
+    while done < updates:
         now = score() + rng.normal(0, 1e-6, len(begin))
         order = np.lexsort((-now, of))
         rank = np.empty(len(order), dtype=int)
         rank[order] = np.arange(len(order)) - np.searchsorted(of[order], of[order])
         toxic = y[of] == 1
-        mine = np.flatnonzero(toxic & (rank < (8 if epoch < 2 else 2 if epoch < 4 else 1)))
+        mine = np.flatnonzero(toxic & (rank < (8 if 4 * done < updates else 2 if 2 * done < updates else 1)))
         hard = np.flatnonzero(~toxic & (rank < 2))
         rest = np.flatnonzero(~toxic & (rank >= 2))
         todo = np.concatenate([mine, hard, rng.choice(rest, min(len(rest), 2 * len(hard)), replace=False)])
         rng.shuffle(todo)
         for k in range(0, len(todo), batch):
             some = todo[k : k + batch]
+            done += 1
             words = tokens[spread(begin[some], held[some])]
             per = count[words]
             feat = flat[spread(start[words], per)]
@@ -120,7 +135,7 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, batch: int
             d_w, d_b, d_h = h.T @ p, p.sum(0), p @ model.W.T
             by = np.argsort(feat, kind="stable")
             own, first = np.unique(feat[by], return_index=True)
-            d_e = np.add.reduceat((np.repeat(d_h, rows, axis=0) * weight[:, None])[by], first)
+            d_e = np.add.reduceat((np.repeat(d_h, rows, axis=0) * weight[:, None])[by], first) * common[own][:, None]
             g_e[own] += (d_e**2).mean(1)
             g_w += d_w**2
             g_b += d_b**2
