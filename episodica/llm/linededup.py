@@ -30,7 +30,7 @@ FEW = 500_000
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, no, line`` for each line that holds more than white space; rows with a null id are left out."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("no", "line"))
-    return rows.where(F.length(F.translate("line", SPACES, "")) > 0)
+    return rows.where(F.btrim("line", F.lit(SPACES)) != "")
 
 
 def _halves(line: Column, n: Column) -> Column:

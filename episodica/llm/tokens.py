@@ -12,7 +12,6 @@ committer, so a lost task leaves no half-written shard.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 from zlib import crc32
@@ -23,12 +22,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import shared_dir, table, text_or_empty
 
 SHARD_IDS = 1 << 21
-#: Encoded words that a task keeps; the cache starts again when it is full.
-CACHE = 400_000
+#: Encoded words that a worker keeps (about 200 bytes each); the cache starts again when it is full.
+CACHE = 1_000_000
 MAGIC, HEAD, BLOCK = b"WAVM", struct.Struct("<4sBxxxQQ"), 512
 
 
@@ -140,37 +140,63 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 class Encoder:
     """Byte-level BPE through the tokenizers library, each blank-separated word encoded once.
 
-    The pre-tokenizer starts a new piece at every blank that follows a non-space or precedes one,
-    so words can be encoded apart; texts with other runs of white space, or with the string of a
-    special token, are encoded whole.
+    The pre-tokenizer starts a new piece at every blank between two words, so words can be encoded
+    apart and remembered. New words are encoded together, joined by blanks: only their first tokens
+    begin with the blank's symbol, which shows where each word starts. A text with an empty word,
+    a word that begins with white space, or a special token's string is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.whole = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.apart = re.compile("|".join([r"\s (?:\s|\Z)", *special]))
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.kind).tobytes()
+        size = self.whole.get_vocab_size()
+        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.begins = np.zeros(size, bool)
+        for token, k in self.whole.get_vocab().items():
+            self.begins[k] = token.startswith("\u0120")
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes | None] = {}
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        odd = {w for w in words if not w or w[0].isspace() or any(s in w for s in self.special)}
+        self.words.update(dict.fromkeys(odd))
+        plain = [w for w in words if w not in odd]
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            raw, at = ids.tobytes(), (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.kind.itemsize).tolist()
+            self.words.update(zip(some, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.apart.search(t) else t.split(" ") for t in texts]
-        new = {w for s in split if s for w in s[1:]} - self.words.keys()
+        split = [t.split(" ") for t in texts]
+        later = [s[1:] for s in split]
+        said = set().union(*later)
+        new = said - self.words.keys()
         if len(self.words) + len(new) > CACHE:
             self.words.clear()
-            new = {w for s in split if s for w in s[1:]}
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.words.update(zip(some, map(self._bytes, self.whole.encode_batch_fast([f" {w}" for w in some], add_special_tokens=False)), strict=True))
-        first = self.whole.encode_batch_fast([t if s is None else s[0] for t, s in zip(texts, split, strict=True)], add_special_tokens=False)
-        get = self.words.__getitem__
-        return [self._bytes(f) + b"".join(map(get, s[1:])) if s else self._bytes(f) for f, s in zip(first, split, strict=True)]
+            new = said
+        self._learn(list(new))
+        get, out = self.words.__getitem__, []
+        for words in later:
+            try:
+                out.append(b"".join(map(get, words)))
+            except TypeError:  # a word that cannot be encoded apart
+                out.append(None)
+        first = self._bytes([t if rest is None else s[0] for t, s, rest in zip(texts, split, out, strict=True)])
+        return [f + (rest or b"") for f, rest in zip(first, out, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder per Python worker, so that its words outlive a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
@@ -180,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0,
     """
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         bits = max(1, (encoder.whole.get_vocab_size() - 1).bit_length())
         width, part, seq = encoder.kind.itemsize, TaskContext.get().partitionId(), 0
