@@ -102,7 +102,7 @@ def _on_source(df: DataFrame, plan: DataFrame) -> DataFrame:
     return df.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("__ep_s"))).drop("__ep_s")
 
 
-def draw(docs: DataFrame, *, weights, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 3.0, n_shards: int = 16, seed: int = 11):
+def draw(docs: DataFrame, *, weights, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", max_repeats: float = 3.0, seed: int = 11):
     """``(docs with __ep_ columns of the draw, drawn plan rows)``; see the module's docstring.
 
     Added: ``__ep_size`` (words), ``__ep_source_size``, ``__ep_target``, ``__ep_times`` (how often the
@@ -131,12 +131,17 @@ def mix(docs: DataFrame, *, weights=by_rank, n_shards: int = 16, seed: int = 11,
 
     Columns of ``docs`` plus ``mix_shard``. Equal inputs and seeds give equal shards.
     """
-    rows, drawn = draw(docs, weights=weights, n_shards=n_shards, seed=seed, **columns)
+    rows, drawn = draw(docs, weights=weights, seed=seed, **columns)
+    return _deal(rows, drawn, docs.columns, n_shards, seed)
+
+
+def _deal(rows: DataFrame, drawn: list, columns: list[str], n_shards: int, seed: int) -> DataFrame:
+    """``columns`` and ``mix_shard`` of the records drawn, as often as they are taken."""
     # A pass over n blocks, then blocks 0..cut: draw number pass * n_blocks + block, dealt by quota.
     quota = split_quotas([r[4] * r[3] + min(r[5] + 1, r[3]) for r in drawn], n_shards, seed)
     kind = rows.schema["__ep_s"].dataType.simpleString()
     ends = [(r[0], [int(x) for x in np.cumsum(q)]) for r, q in zip(drawn, quota, strict=True)]
-    ends = docs.sparkSession.createDataFrame(ends, f"__ep_q {kind}, __ep_ends array<bigint>")
+    ends = rows.sparkSession.createDataFrame(ends, f"__ep_q {kind}, __ep_ends array<bigint>")
     rows = rows.join(F.broadcast(ends), F.col("__ep_s").eqNullSafe(F.col("__ep_q"))).where("__ep_times > 0")
     rows = rows.withColumn("__ep_pass", F.explode(F.sequence(F.lit(0), F.col("__ep_times") - 1)))
     # The copies of a block have draw numbers a whole pass apart, so they land in different shards.
@@ -145,20 +150,25 @@ def mix(docs: DataFrame, *, weights=by_rank, n_shards: int = 16, seed: int = 11,
     rows = rows.withColumn("mix_shard", F.least(shard, F.lit(n_shards - 1)))
     spread = F.pmod(F.xxhash64("__ep_key", "__ep_pass"), F.lit(8))
     rows = rows.repartition(F.col("mix_shard"), spread).sortWithinPartitions("mix_shard", F.xxhash64("__ep_key", "__ep_pass", F.lit(seed)))
-    return rows.select(*docs.columns, "mix_shard")
+    return rows.select(*columns, "mix_shard")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), times."""
-    rows, _ = draw(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=by_rank)
-    return rows.select(
-        "doc_id",
-        F.col("__ep_size").alias("size"),
-        F.col("__ep_source_size").cast("long").alias("source_size"),
-        F.col("__ep_target").alias("target"),
-        (F.col("__ep_size") * F.col("__ep_times")).cast("long").alias("taken"),
-        F.col("__ep_times").alias("times"),
-    )
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted), times.
+
+    The mix is dealt and written with its texts; taken and times are counted in what was written.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    seed = 11
+    rows, drawn = draw(docs, weights=by_rank, seed=seed)
+    mixed = stash(_deal(rows, drawn, docs.columns, 16, seed), "mix")
+    key = ["doc_id", "source", "size"]
+    whole = rows.select("doc_id", "source", F.col("__ep_size").alias("size"), F.col("__ep_source_size").cast("long").alias("source_size"), F.col("__ep_target").alias("target"), F.lit(1).alias("copies"), F.lit(0).alias("dealt"))
+    held = mixed.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.lit(0).alias("copies"), F.lit(1).alias("dealt"))
+    # Records alike in all three are taken alike, so they share what was dealt of them.
+    per = whole.unionByName(held).groupBy(*key).agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("copies").alias("copies"), F.sum("dealt").alias("dealt"))
+    per = per.withColumn("times", (F.col("dealt") / F.col("copies")).cast("int")).withColumn("__ep_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return per.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
 
 
 QUERIES = {"op6_mixing": op6_mixing}

@@ -97,6 +97,22 @@ def test_mix_odd_cases(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_query_counts_the_dealt_rows(spark, monkeypatch, tmp_path):
+    docs = documents(spark, [*ODD, *(f"w{i} some more words" for i in range(300))])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    dealt, deal, planned = [], mixing.split_quotas, mixing.op6_mixing(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(mixing, "split_quotas", lambda *how: dealt.append(deal(*how)) or dealt[-1])
+    rows = mixing.op6_mixing(spark, str(tmp_path)).collect()
+    assert len(dealt) == 1 and dealt[0].sum() > 0
+    assert Counter(rows) == Counter(planned) and len(rows) == docs.count()
+    held = Counter(r.doc_id for r in mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    times = Counter()
+    for r in rows:
+        times[r.doc_id] += r.times
+        assert r.taken == r.size * r.times
+    assert +times == held
+
+
 def test_shards(spark):
     for docs in (spark.read.parquet(f"{D}/documents.parquet"), documents(spark, ODD + ["same text"] * 300)):
         for target in (sharding.TARGET_BYTES, 500):
