@@ -1,12 +1,13 @@
 """PII [native]: information-theoretic sanitisation.
 
 Base finders mark emails, IP addresses, payment cards and phone numbers. Each distinct value found is
-a protected entity c. Terms t near its occurrences are weighed by corpus co-occurrence: with
+a protected entity c. Terms t of the documents that hold c are weighed by corpus co-occurrence: with
 ``PMI(c, t) = log(N * n_ct / (n_c * n_t))`` and the entity's own information ``IC(c) = log(N / n_c)``,
 the ratio PMI / IC tells which share of the entity's information the term gives away (1: the term
 occurs only beside the entity); n counts documents. A term at or above ``DISCLOSURE`` is generalised
-to a mark, at or above ``REMOVAL`` it is removed. A pair needs ``SUPPORT`` different contexts, so
-chance neighbours and mere copies of one passage are left alone.
+to a mark, at or above ``REMOVAL`` it is removed, wherever in the corpus it stands. A pair needs
+``SUPPORT`` documents in which the entity stands in different surroundings, so mere copies of one
+passage are left alone; in one document alone any rare word would be as telling as any other.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import let, stash, table, text_or_empty
 
-DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 3
-#: Characters of the same line before and after an entity in which terms are weighed.
+DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 2
+#: Characters before and after an entity that tell its surroundings from those of a copy.
 NEAR = 60
+#: Parts that the documents of a term are dealt to, as a common term has many.
+PARTS = 16
 TERM = r"[\p{L}][\p{L}\p{N}'-]{2,}"
 
 # The contract's patterns, written so that each start is tried once: a run of address characters
@@ -71,26 +74,42 @@ def find(kind: str, text: Column) -> Column:
     return F.when(possible, let(found, located)).otherwise(nothing)
 
 
-def _terms(side: Column, base: Column, cut_first: Column, cut_last: Column) -> Column:
-    """Terms of a stretch of text with positions; a word cut at the stretch's outer end is dropped."""
-    nothing = F.array().cast("array<struct<t:string,s:int,e:int>>")
+def _masked(text: Column) -> Column:
+    """The text with what the base finders mark (columns by kind) blanked, positions kept."""
+    spans = F.sort_array(_per_kind(PATTERNS, lambda kind, x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), blank)
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
+
+    whole = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    blanked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, whole)
+    return F.when(F.size(spans) == 0, text).otherwise(blanked)
+
+
+def _words(masked: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(masked: Column, ratios: Column) -> Column:
+    """Occurrences of the terms that ``ratios`` (a map) holds, as ``array<struct<s, e, t, ratio>>``."""
+    nothing = F.array().cast("array<struct<s:int,e:int,t:string,ratio:double>>")
 
     def located(found: Column) -> Column:
-        gaps = F.transform(F.split(side, TERM), lambda gap: F.length(gap))
+        gaps = F.transform(F.split(masked, TERM), lambda gap: F.length(gap))
         pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
         def step(acc: Column, x: Column) -> Column:
             s = acc["at"] + x["gap"]
             e = s + F.length(x["m"])
-            one = F.struct(F.lower(x["m"]).alias("t"), s.alias("s"), e.alias("e"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            t = F.lower(x["m"])
+            one = F.struct(s.alias("s"), e.alias("e"), t.alias("t"), F.try_element_at(ratios, t).alias("ratio"))
+            return F.struct(e.alias("at"), F.when(F.map_contains_key(ratios, t), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-        every = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
-        whole = F.filter(every, lambda x: ~(cut_first & (x["s"] == 0)) & ~(cut_last & (x["e"] == F.length(side))))
-        placed = F.transform(whole, lambda x: F.struct(x["t"].alias("t"), (x["s"] + base).alias("s"), (x["e"] + base).alias("e")))
-        return F.when(F.size(found) == 0, nothing).otherwise(placed)
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
 
-    return let(F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), located)
+    return F.when(ratios.isNull(), nothing).otherwise(let(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), located))
 
 
 def _per_kind(kinds, each) -> Column:
@@ -106,19 +125,27 @@ def _listed(kinds) -> Column:
     return F.array_join(_per_kind(kinds, lambda kind, x: F.concat(F.lit(f"{kind}:"), x["s"], F.lit(":"), x["e"])), ",")
 
 
-def _weigh(seen: DataFrame, docs: DataFrame, text_col: str, n_docs: int, disclosure: float, support: int) -> DataFrame:
-    """``(kind, value, t, ratio)`` of the revealing pairs; counts cover all documents."""
-    entity = seen.groupBy("kind", "value").agg(F.countDistinct("__ep_row").alias("n_c"))
-    pairs = seen.groupBy("kind", "value", "t").agg(F.countDistinct("__ep_row").alias("n_ct"), F.countDistinct("context").alias("apart")).where(F.col("apart") >= support)
+def _weigh(found: DataFrame, words: DataFrame, n_docs: int, disclosure: float, support: int) -> DataFrame:
+    """``(t, ratio)`` of the revealing terms; counts cover all documents.
+
+    ``found`` has ``__ep_row`` and ``__ep_own`` (its entities), ``words`` has ``__ep_row`` and ``t``.
+    """
+    # One row per document and entity, then per surroundings, so a frequent entity is summed in parts.
+    own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x")).groupBy("__ep_row", "x.kind", "x.value").agg(F.min("x.context").alias("context"))
+    own = stash(own, "pii-own")
+    entity = own.groupBy("kind", "value", "context").agg(F.count("*").alias("n")).groupBy("kind", "value").agg(F.sum("n").alias("n_c"), F.count("*").alias("apart"))
+    # A pair is never seen in more surroundings than its entity.
+    entity = stash(entity.where(F.col("apart") >= support).drop("apart"), "pii-entities")
+    pairs = own.join(entity.drop("n_c"), ["kind", "value"]).join(words, "__ep_row")
+    pairs = pairs.groupBy("kind", "value", "t", "context").agg(F.count("*").alias("n")).groupBy("kind", "value", "t").agg(F.sum("n").alias("n_ct"), F.count("*").alias("apart")).where(F.col("apart") >= support)
     pairs = stash(pairs.join(entity, ["kind", "value"]), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))).alias("t"))
     # All terms are counted before the join, so common words cross it as one row, not one per document.
     counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
     n = F.lit(float(max(n_docs, 2)))
     joint = F.least("n_ct", "n_t", "n_c")
     pmi = F.log(n * joint / (F.col("n_c") * F.col("n_t")))
     own = F.log(n / F.least(F.col("n_c"), n - 1))
-    return pairs.join(counts, "t").select("kind", "value", "t", (pmi / own).alias("ratio")).where(F.col("ratio") >= disclosure)
+    return pairs.join(counts, "t").select("t", (pmi / own).alias("ratio")).where(F.col("ratio") >= disclosure).groupBy("t").agg(F.max("ratio").alias("ratio"))
 
 
 def find_pii(docs: DataFrame, *, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, carry: bool = True) -> DataFrame:
@@ -132,22 +159,21 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", disclosure: float = DIS
     values = _per_kind(PATTERNS, lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.lower(x["m"]).alias("value"), x["s"].alias("s"), x["e"].alias("e")))
 
     def context(x: Column) -> Column:
-        left = F.regexp_extract(F.substring(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(NEAR))), r"[^\n]*$", 0)
-        right = F.regexp_extract(F.substring(text, x["e"] + 1, F.lit(NEAR)), r"^[^\n]*", 0)
-        a = _terms(left, x["s"] - F.length(left), F.length(left) == NEAR, F.lit(True))
-        b = _terms(right, x["e"], F.lit(True), F.length(right) == NEAR)
-        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.xxhash64(left, right).alias("context"), F.concat(a, b).alias("terms"))
+        left = F.substring(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(NEAR)))
+        right = F.substring(text, x["e"] + 1, F.lit(NEAR))
+        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.xxhash64(left, right).alias("context"))
 
-    found = found.withColumn("__ep_near", F.transform(values, context)).withColumn("__ep_row", F.monotonically_increasing_id())
+    found = found.withColumn("__ep_own", F.transform(values, context)).withColumn("__ep_row", F.monotonically_increasing_id())
     # Written once, so the row numbers stay what they are whatever is recomputed later.
-    found = stash(found if carry else found.drop(text_col), "pii")
-    near = found.where(F.size("__ep_near") > 0).select("__ep_row", F.explode("__ep_near").alias("x")).select("__ep_row", "x.*")
-    near = near.select("__ep_row", "kind", "value", "context", F.explode("terms").alias("y")).select("__ep_row", "kind", "value", "context", "y.*")
-    revealing = stash(_weigh(near, docs, text_col, found.count(), disclosure, support), "pii-terms")
-    marked = near.join(revealing, ["kind", "value", "t"]).groupBy("__ep_row", "s", "e", "t").agg(F.max("ratio").alias("ratio"))
-    marked = marked.groupBy("__ep_row").agg(F.sort_array(F.collect_list(F.struct("s", "e", "t", "ratio"))).alias("term"))
-    out = found.drop("__ep_near").join(marked, "__ep_row", "left")
-    return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<s:int,e:int,t:string,ratio:double>>"))).drop("__ep_row")
+    found = stash(found, "pii")
+    masked = _masked(text)
+    words = found.select("__ep_row", F.explode(_words(masked)).alias("t"))
+    revealing = stash(_weigh(found, words, found.count(), disclosure, support), "pii-terms")
+    parted = revealing.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    marked = words.withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"])
+    marked = stash(marked.groupBy("__ep_row").agg(F.map_from_entries(F.collect_list(F.struct("t", "ratio"))).alias("__ep_ratios")), "pii-marks")
+    out = found.drop("__ep_own").join(marked, "__ep_row", "left").withColumn("term", _places(masked, F.col("__ep_ratios")))
+    return out.drop("__ep_row", "__ep_ratios", *([] if carry else [text_col]))
 
 
 def sanitise(docs: DataFrame, *, text_col: str = "text", removal: float = REMOVAL, **how) -> DataFrame:

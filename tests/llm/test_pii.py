@@ -79,3 +79,18 @@ def test_revealing_terms(spark):
 def test_copies_alone_reveal_nothing(spark):
     docs = spark.createDataFrame([(i, "Quentin may be asked at q@b.example.org any day.") for i in range(50)] + [(99, None)], "doc_id long, text string")
     assert all(not r.term for r in pii.find_pii(docs).collect())
+
+
+def test_revealing_terms_are_marked_wherever_they_stand(spark):
+    woods = ("oaks", "elms")
+    held = [f"Zebulon met us.\n{'The weather was mild there. ' * 4}\nMail z.carter@mail0.example.org about {w} and so on, {w} being scarce.\nYours, zebulon" for w in woods]
+    lone = ["Nobody saw ZEBULON at the harbour, they say."]
+    far = [f"The weather in {w} was mild there, about as mild as yours, being scarce. They met and mail us and so on." for w in (*woods, "pines", "firs") for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(held + lone + far)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    for i in range(3):
+        assert {x.t for x in rows[i].term} == {"zebulon"}
+        assert [rows[i].text[x.s : x.e].lower() for x in rows[i].term] == ["zebulon"] * (2 if i < 2 else 1)
+    assert not any(rows[i].term for i in range(3, len(rows)))
+    assert all("zebulon" not in r.text.lower() for r in pii.sanitise(docs).collect())
+    assert "text" not in pii.find_pii(docs, carry=False).columns
