@@ -21,14 +21,19 @@ def mean_model(scale: float = 10.0) -> Callable[[Column, Column], Column]:
     return lambda s, n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s / F.greatest(n, F.lit(1.0)) / F.lit(scale)))
 
 
-def _first_events(events: DataFrame, names: list[str], k: int) -> DataFrame:
-    """``patient_id, all``: the first ``k`` events by time as structs r, event_id, s (sum), n (count), x (values)."""
-    w = Window.partitionBy("patient_id").orderBy("t_start", "event_id")
+def _summed(events: DataFrame, names: list[str]) -> DataFrame:
+    """``events`` plus x (values in the order of ``names``), s (their sum), n (how many are not null)."""
     x = F.array(*[F.col("num").getItem(a) for a in names])
     held = F.array_compact(x)
-    rows = events.withColumn("r", F.row_number().over(w) - 1).where(F.col("r") < k)
-    s = F.aggregate(held, F.lit(0.0), lambda a, v: a + v)
-    return rows.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("r", "event_id", s.alias("s"), F.size(held).cast("double").alias("n"), x.alias("x")))).alias("all"))
+    return events.withColumns({"x": x, "s": F.aggregate(held, F.lit(0.0), lambda a, v: a + v), "n": F.size(held).cast("double")})
+
+
+def _events_of(events: DataFrame, names: list[str], k: int | None = None) -> DataFrame:
+    """``patient_id, all``: the events by time, the first ``k`` if given, as structs r, event_id, s (sum), n (count), x (values)."""
+    w = Window.partitionBy("patient_id").orderBy("t_start", "event_id")
+    rows = _summed(events, names).withColumn("r", F.row_number().over(w) - 1)
+    rows = rows if k is None else rows.where(F.col("r") < k)
+    return rows.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("r", "event_id", "s", "n", "x"))).alias("all"))
 
 
 def shapley(events: DataFrame, names: list[str], *, model=None, k: int = MOST_EVENTS, digits: int | None = 6) -> DataFrame:
@@ -36,7 +41,7 @@ def shapley(events: DataFrame, names: list[str], *, model=None, k: int = MOST_EV
     model = model or mean_model()
     if k > MOST_EVENTS:
         raise ValueError(f"at most {MOST_EVENTS} events")
-    rows = _first_events(events, names, k).withColumn("d", F.size("all"))
+    rows = _events_of(events, names, k).withColumn("d", F.size("all"))
     in_set = lambda m, r: F.bit_get(m, r) == 1
 
     def total(m: Column, field: str) -> Column:
@@ -64,33 +69,22 @@ def explaining(values: DataFrame, phi_min: float = 0.05, top: int = 5) -> DataFr
     return values.where(F.col("phi") >= phi_min).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def counterfactuals(events: DataFrame, names: list[str], *, model=None, k: int = 50, target_reduction: float = 0.1) -> DataFrame:
+def counterfactuals(events: DataFrame, names: list[str], *, model=None, target_reduction: float = 0.1) -> DataFrame:
     """Per patient the first change that lowers the score by ``target_reduction``: events by time,
     attributes in the given order, factors .5, .25, .1, 0."""
     model = model or mean_model()
-    rows = _first_events(events, names, k)
-    s = F.aggregate("all", F.lit(0.0), lambda a, e: a + e["s"])
-    n = F.aggregate("all", F.lit(0.0), lambda a, e: a + e["n"])
-    rows = rows.withColumns({"s": s, "n": n}).withColumn("score", model(F.col("s"), F.col("n")))
-    factors = F.array(*map(F.lit, (0.5, 0.25, 0.1, 0.0)))
-    labels = F.array(*map(F.lit, names))
-
-    def tried(e: Column) -> Column:
-        def of(x: Column, i: Column) -> Column:
-            def one(f: Column) -> Column:
-                score = model(F.col("s") - x * (1 - f), F.col("n"))
-                return F.struct(e["event_id"].alias("event_id"), F.get(labels, i).alias("attr"), x.alias("was"), F.bround(x * f, 4).alias("now"), score.alias("new_score"))
-
-            return F.when(x.isNotNull(), F.transform(factors, one)).otherwise(F.slice(F.transform(factors, one), 1, 0))
-
-        return F.flatten(F.transform(e["x"], of))
-
-    every = F.flatten(F.transform("all", tried))
-    hit = F.get(F.filter(every, lambda c: c["new_score"] <= F.col("score") - target_reduction), F.lit(0))
-    return rows.select("patient_id", "score", hit.alias("x")).where("x IS NOT NULL").select("patient_id", "score", "x.*")
-
-
-def sufficient(events: DataFrame, names: list[str], *, model=None, k: int = 50, epsilon: float = 0.05, k_max: int | None = None) -> DataFrame:
+    rows = _summed(events, names).select("patient_id", "t_start", "event_id", "x", "s", "n")
+    whole = rows.groupBy(F.col("patient_id").alias("__p")).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    rows = rows.drop("s", "n").join(whole, F.col("patient_id").eqNullSafe(F.col("__p"))).withColumn("score", model(F.col("all_s"), F.col("all_n")))
+    rows = rows.select("*", F.posexplode("x").alias("i", "was")).where("was IS NOT NULL")
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, (0.5, 0.25, 0.1, 0.0)))).alias("j", "f"))
+    rows = rows.withColumn("new_score", model(F.col("all_s") - F.col("was") * (1 - F.col("f")), F.col("all_n")))
+    rows = rows.where(F.col("new_score") <= F.col("score") - target_reduction)
+    change = F.struct("score", "event_id", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("attr"), "was", F.bround(F.col("was") * F.col("f"), 4).alias("now"), "new_score")
+    return rows.groupBy("patient_id").agg(F.min_by(change, F.struct("t_start", "event_id", "i", "j")).alias("x")).select("patient_id", "x.*")
+
+
+def sufficient(events: DataFrame, names: list[str], *, model=None, epsilon: float = 0.05, k_max: int | None = None) -> DataFrame:
     """Greedy explanation: events added one by one, each time the one that brings the score nearest to
     the whole's, until within ``epsilon`` (or ``k_max`` events are chosen).
 
@@ -98,7 +92,7 @@ def sufficient(events: DataFrame, names: list[str], *, model=None, k: int = 50,
     many events keep them all. The first event in time wins ties.
     """
     model = model or mean_model()
-    rows = _first_events(events, names, k)
+    rows = _events_of(events, names)
     s = F.aggregate("all", F.lit(0.0), lambda a, e: a + e["s"])
     n = F.aggregate("all", F.lit(0.0), lambda a, e: a + e["n"])
     rows = rows.withColumn("full", model(s, n))
@@ -106,11 +100,11 @@ def sufficient(events: DataFrame, names: list[str], *, model=None, k: int = 50,
     def step(acc: Column, _: Column) -> Column:
         free = F.filter("all", lambda e: ~F.array_contains(acc["ids"], e["event_id"]))
         options = F.transform(free, lambda e: F.struct(F.abs(model(acc["s"] + e["s"], acc["n"] + e["n"]) - F.col("full")).alias("far"), e["r"].alias("r"), e["event_id"].alias("id"), e["s"].alias("s"), e["n"].alias("n")))
-        best = F.array_min(options)
-        more = F.struct(
-            F.concat(acc["ids"], F.array(best["id"])).alias("ids"), (acc["s"] + best["s"]).alias("s"), (acc["n"] + best["n"]).alias("n"), (best["far"] <= epsilon).alias("done")
-        )
-        return F.when(acc["done"] | (F.size(free) == 0), acc).otherwise(more)
+
+        def more(best: Column) -> Column:
+            return F.struct(F.concat(acc["ids"], F.array(best["id"])).alias("ids"), (acc["s"] + best["s"]).alias("s"), (acc["n"] + best["n"]).alias("n"), (best["far"] <= epsilon).alias("done"))
+
+        return F.when(acc["done"] | (F.size(free) == 0), acc).otherwise(F.get(F.transform(F.array(F.array_min(options)), more), F.lit(0)))
 
     start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0.0).alias("s"), F.lit(0.0).alias("n"), F.lit(False).alias("done"))
     found = F.aggregate(F.sequence(F.lit(1), F.size("all") if k_max is None else F.least(F.size("all"), F.lit(k_max))), start, step)

@@ -120,17 +120,17 @@ def shapley_explaining(spark, d):
 
 
 def counterfactuals(spark, d):
-    rows = explain.counterfactuals(_scaled(spark, d), ["value", "k"], k=5, target_reduction=0.05)
+    rows = explain.counterfactuals(_scaled(spark, d), ["value", "k"], target_reduction=0.05)
     return rows.select("patient_id", "event_id", "attr", r6("score").alias("score"), r6("new_score").alias("new_score"))
 
 
 def sufficient_explanations(spark, d):
-    rows = explain.sufficient(_scaled(spark, d), ["value", "k"], k=20, epsilon=0.001)
+    rows = explain.sufficient(_scaled(spark, d), ["value", "k"], epsilon=0.001)
     return rows.select("patient_id", F.array_join("event_ids", ",").alias("events"), r6("score").alias("score"), "is_sufficient")
 
 
 def bounded_explanations(spark, d):
-    rows = explain.sufficient(_scaled(spark, d), ["value", "k"], k=20, epsilon=0.0001, k_max=3)
+    rows = explain.sufficient(_scaled(spark, d), ["value", "k"], epsilon=0.0001, k_max=3)
     return rows.select("patient_id", F.array_join("event_ids", ",").alias("events"), r6("score").alias("score"), "is_sufficient")
 
 

@@ -4,12 +4,14 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from episodica.operators import causal, cohort, episodes, evolution, explain, privacy, scoring, sequence, store, typesys
 from episodica.operators.cohort import Cohort
+from episodica.plans import model_queries
 
 EVENT = "event_id string, patient_id string, event_type string, t_start timestamp_ntz, t_end timestamp_ntz, num map<string,double>, cat map<string,string>, confidence double"
 T0 = datetime(2026, 1, 1, 8)
@@ -186,6 +188,26 @@ def test_shapley_is_efficient(spark):
     assert all(len(r.event_ids) <= 2 for r in explain.sufficient(rows, ["x"], epsilon=0.0, k_max=2).collect())
 
 
+def test_explanations_see_all_events(spark):
+    rows = events(spark, [("p", "L", k, {"x": 0.0}) for k in range(60)] + [("p", "L", 60, {"x": 305.0})])
+    found = explain.counterfactuals(rows, ["x"], target_reduction=0.2).first()
+    assert (found.event_id, found.now, round(found.score, 6)) == ("e060", 152.5, 0.5)
+    found = explain.sufficient(rows, ["x"], epsilon=0.0).first()
+    assert abs(found.full_score - 0.5) < 1e-9 and found.is_sufficient and "e060" in found.event_ids
+    assert abs(explain.sufficient(rows, ["x"], epsilon=0.0, k_max=2).first().full_score - 0.5) < 1e-9
+
+
+def test_counterfactual_query_is_whole(spark):
+    d, sql = "/root/testdata/sf0.001", model_queries.SQL["counterfactuals"].replace("score - 0.05", "score - 0.005")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+        want = c.execute(f"SELECT patient_id, event_id, attr, score, new_score FROM ({sql.replace(' WHERE r < 5', '')})").fetchall()
+    got = explain.counterfactuals(model_queries._scaled(spark, d), ["value", "k"], target_reduction=0.005).select("patient_id", "event_id", "attr", "score", "new_score").collect()
+    assert want
+    line = lambda r: (r[0], r[1], r[2], round(r[3], 5), round(r[4], 5))
+    assert sorted(map(line, got)) == sorted(map(line, want))
+
+
 def test_privacy(spark):
     rng = random.Random(0)
     draws = [privacy.laplace(2.0, rng) for _ in range(40_000)]
