@@ -98,9 +98,8 @@ def fuzzy_exact(spark, d):
 
 def fuzzy_distribution(spark, d):
     ends = {"a": micros("a_t_start"), "b": micros("a_t_end"), "c": micros("b_t_start"), "d": micros("b_t_end")}
-    rows = _pairs(spark, d).where("a_event_id LIKE '%-1-%' AND b_event_id LIKE '%-1-%'")
-    rows = rows.select("a_event_id", "b_event_id", *[(c / 8.64e10).alias(k) for k, c in ends.items()])
-    return temporal.fuzzy_distribution(rows, key=["a_event_id", "b_event_id"], sigma=F.lit(5.0), n_samples=200)
+    rows = _pairs(spark, d).select("a_event_id", "b_event_id", *[(c / 8.64e10).alias(k) for k, c in ends.items()])
+    return temporal.fuzzy_distribution(rows, key=["a_event_id", "b_event_id"], sigma=F.lit(5.0))
 
 
 def _episodes(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from episodica.operators import causal, cohort, episodes, evolution, explain, privacy, scoring, sequence, store, typesys
 from episodica.operators.cohort import Cohort
-from episodica.plans import model_queries
+from episodica.plans import cohort_queries, model_queries
 
 EVENT = "event_id string, patient_id string, event_type string, t_start timestamp_ntz, t_end timestamp_ntz, num map<string,double>, cat map<string,string>, confidence double"
 T0 = datetime(2026, 1, 1, 8)
@@ -208,6 +208,13 @@ def test_counterfactual_query_is_whole(spark):
     assert sorted(map(line, got)) == sorted(map(line, want))
 
 
+def test_fuzzy_query_takes_all_pairs(spark, monkeypatch):
+    d, how = "/root/testdata/sf0.001", {}
+    monkeypatch.setattr(cohort_queries.temporal, "fuzzy_distribution", lambda pairs, **given: how.update(given) or pairs)
+    assert cohort_queries.fuzzy_distribution(spark, d).count() == cohort_queries._pairs(spark, d).count()
+    assert how.get("n_samples", 1000) == 1000
+
+
 def test_privacy(spark):
     rng = random.Random(0)
     draws = [privacy.laplace(2.0, rng) for _ in range(40_000)]
