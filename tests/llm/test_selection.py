@@ -46,8 +46,7 @@ def test_toxicity_shares_grams_with_misspellings():
     clean = [" ".join(word() for _ in range(60)) for _ in range(150)]
     bad = [" ".join([*(word() for _ in range(30)), rng.choice(("blockhead", "blockheads", "scoundrel")), *(word() for _ in range(30))]) for _ in range(60)]
     model = toxicity.train([t.encode() for t in clean + bad], [0] * 150 + [1] * 60)
-    weights, _ = model.fused()
-    value = lambda w: np.mean([weights[g] for g in toxicity.grams(w)])
+    value = lambda w: np.mean(model.weights[toxicity.grams(w)])
     assert min(value(b"bl0ckhead"), value(b"scoundrell")) > max(value(word().encode()) for _ in range(50))
 
 
@@ -58,7 +57,20 @@ def test_toxicity_odd_cases(spark):
     scored = toxicity.score(docs, model).collect()
     assert len(scored) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.fit(docs, labels.limit(0)).prior == 0.0
-    assert toxicity.remove_toxic(docs.limit(0), labels).columns == docs.columns
+    assert toxicity.remove_toxic(docs.limit(0), labels).count() == 0
+    assert toxicity.fit(docs, labels.where("toxic = 1")).prior == 1.0
+    assert toxicity.remove_toxic(docs, labels.where("toxic = 0")).columns == docs.columns
+
+
+def test_toxicity_repeats_and_borders(spark):
+    weights = np.zeros(toxicity.BUCKETS, np.float32)
+    for word in (b"scoundrel", b"quiet"):
+        weights[toxicity.grams(word)] = 8.0 if word == b"scoundrel" else -1.0
+    model, calm = toxicity.Model(weights, -4.0, 0.25), ["quiet"] * 200
+    texts = [" ".join(calm), " ".join(["scoundrel"] * 24), *(" ".join(calm[:k] + ["scoundrel"] * 12 + calm[k:]) for k in (0, 13, 94, 99, 200))]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    got = [r.score for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    assert got[0] < 0.1 and min(got[1:-1]) > 0.3 and got[-1] == 0.25
 
 
 def test_targets_water_filling():
