@@ -211,6 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # One task holds the sample, whose size is bounded whatever the table's.
     whole = texts.select(F.col("t").cast("binary").alias("t"), F.col("__ep_y").cast("int").alias("y")).repartition(1)
     found = whole.mapInArrow(learn, "weights binary, bias double, prior double").first()
+    if found is None:  # an empty sample has no task
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0)
     return Model(np.frombuffer(bytes(found.weights), "<f4"), found.bias, found.prior)
 
 
