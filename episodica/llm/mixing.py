@@ -15,6 +15,8 @@ The driver holds one row per source and the quota table (sources x shards), neve
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .common import n_words, stash, table
 #: Records in a block on average; a source has at most MAX_BLOCKS blocks.
 BLOCK_ROWS = 64
 MAX_BLOCKS = 4096
+#: More sources are refused: the driver holds their quotas.
+MAX_SOURCES = 100_000
 
 
 def targets(sizes: dict, weights: dict, max_repeats: float = 3.0) -> dict:
@@ -32,6 +36,8 @@ def targets(sizes: dict, weights: dict, max_repeats: float = 3.0) -> dict:
     free = {s: float(w) for s, w in weights.items() if sizes[s] > 0}
     while free:
         rest, by = whole - sum(capped.values()), sum(free.values())
+        if by <= 0:
+            break
         over = [s for s, w in free.items() if rest * w / by > max_repeats * sizes[s]]
         if not over:
             capped.update({s: rest * w / by for s, w in free.items()})
@@ -63,12 +69,16 @@ def _plan(docs: DataFrame, source_col: str, id_col: str, size: Column, weights,
     """Draw for each source: columns source, source_size, target, passes, blocks, cut block, cut key."""
     key = F.xxhash64(F.col(id_col), F.lit(seed))
     sized = stash(docs.select(F.col(source_col).alias("s"), key.alias("k"), size.alias("n")), "mix-sizes")
-    per = sized.groupBy("s").agg(F.sum("n").alias("words"), F.count("*").alias("rows")).collect()
+    per = sized.groupBy("s").agg(F.sum("n").alias("words"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
+    if len(per) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group rare sources first")
     per = sorted(per, key=lambda r: (r.s is None, r.s or ""))
     sizes = {r.s: int(r.words) for r in per}
     weight = weights(list(sizes)) if callable(weights) else {s: weights.get(s, 0) for s in sizes}
     target = targets(sizes, weight, max_repeats)
-    n_blocks = {r.s: int(min(MAX_BLOCKS, max(1, r.rows // BLOCK_ROWS))) for r in per}
+    # The splitting tree draws from fewer than 10**9 blocks in all.
+    most = int(min(MAX_BLOCKS, max(1, 9 * 10**8 // (len(per) * (math.ceil(max_repeats) + 1) or 1))))
+    n_blocks = {r.s: int(min(most, max(1, r.rows // BLOCK_ROWS))) for r in per}
     passes = {s: int(target[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
     rest = {s: target[s] - passes[s] * sizes[s] for s in sizes}
     rows = [(s, sizes[s], target[s], n_blocks[s], passes[s], rest[s]) for s in sizes]
@@ -88,7 +98,8 @@ def _plan(docs: DataFrame, source_col: str, id_col: str, size: Column, weights,
     cut = {r.s: r.cut for r in ends.select("s", "cut").collect()}
     cut_key = {r.s: r.k for r in inner.groupBy("s").agg(F.max("k").alias("k")).collect()}
     none = -(1 << 63)
-    drawn = [(*r[:5], cut.get(r[0], r[3]), cut_key.get(r[0], none)) for r in rows]
+    # A source at its cap has no rest, so no record is taken once more; one of empty texts only is taken whole.
+    drawn = [(*r[:5], -1 if r[1] and r[5] <= 0 else cut.get(r[0], r[3]), cut_key.get(r[0], none)) for r in rows]
     return drawn, spark.createDataFrame(drawn, kinds.replace("rest double", "cut int, cut_key long"))
 
 
@@ -106,12 +117,11 @@ def draw(docs: DataFrame, *, weights, source_col: str = "source", id_col: str =
     """``(docs with __ep_ columns of the draw, drawn plan rows)``; see the module's docstring.
 
     Added: ``__ep_size`` (words), ``__ep_source_size``, ``__ep_target``, ``__ep_times`` (how often the
-    record is taken), ``__ep_block``. A null source is a source of its own, null texts have size 0 and
-    are taken with their block, records with one id are taken alike.
+    record is taken), ``__ep_block``. A null source is a source of its own, null and empty texts have
+    size 0 and are taken with their block, long texts are taken whole or not at all, records with one
+    id are taken alike, an empty table gives no rows.
     """
     drawn, plan = _plan(docs, source_col, id_col, n_words(F.col(text_col)), weights, max_repeats, seed)
-    if len(drawn) > 100_000:
-        raise ValueError(f"{len(drawn)} sources; group rare sources first")
     plan = plan.select([F.col(c).alias(f"__ep_{c}") for c in plan.columns])
     key = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = docs.join(F.broadcast(plan), F.col(source_col).eqNullSafe(F.col("__ep_s")))
@@ -129,8 +139,10 @@ def by_rank(sources: list) -> dict:
 def mix(docs: DataFrame, *, weights=by_rank, n_shards: int = 16, seed: int = 11, **columns) -> DataFrame:
     """The mix itself: records repeated as often as drawn, in shards, shuffled inside them.
 
-    Columns of ``docs`` plus ``mix_shard``. Equal inputs and seeds give equal shards.
+    Columns of ``docs`` plus ``mix_shard`` (a column of that name is replaced). Equal inputs and seeds
+    give equal shards. For odd cases see ``draw``.
     """
+    docs = docs.drop("mix_shard")
     rows, drawn = draw(docs, weights=weights, seed=seed, **columns)
     return _deal(rows, drawn, docs.columns, n_shards, seed)
 
