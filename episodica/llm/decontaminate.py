@@ -6,7 +6,7 @@ words: a block's shift says how far the search may jump because no pattern has t
 its end; at shift 0 the hash bucket of the block selects the test windows and a direct comparison of
 the words confirms them. So most words of a clean document are never looked at.
 
-The benchmark is a stated query set: it is read in blocks of at most ``BLOCK_WINDOWS`` windows, each
+The benchmark is a stated query set: its windows are dealt to blocks of about ``BLOCK_WINDOWS``, each
 block is broadcast on its own and all documents pass it; between blocks the documents are written to
 the shared folder, so memory is bounded whatever the size of the benchmark.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,28 @@ def _union(spans) -> list[tuple[int, int]]:
     return out
 
 
+class _Tables:
+    """A broadcast block of windows and a name for it."""
+
+    def __init__(self, windows):
+        self.windows, self.id = windows, uuid.uuid4().hex
+
+    @property
+    def value(self) -> dict:
+        return self.windows.value
+
+
+_built: dict[str, WuManber] = {}
+
+
+def _search(tables):
+    """Search of a broadcast block; a Python worker keeps the tables of its last block for its next task."""
+    if tables.id not in _built:
+        _built.clear()
+        _built[tables.id] = WuManber(tables.value)
+    return _built[tables.id].search
+
+
 _ADDED = "__ep_words long, __ep_spans array<struct<a:int,b:int>>, __ep_items array<string>"
 
 
@@ -92,11 +115,11 @@ def _scan(docs: DataFrame, text_col: str, windows: dict) -> DataFrame:
     """``docs`` with the spans and items of one block of windows merged into the ``__ep_`` columns."""
     known = "__ep_spans" in docs.columns
     carried = [c for c in docs.columns if not c.startswith("__ep_")]
-    tables = docs.sparkSession.sparkContext.broadcast(windows)
+    tables = _Tables(docs.sparkSession.sparkContext.broadcast(windows))
     spans_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches):
-        search = WuManber(tables.value).search
+        search = _search(tables)
         for batch in batches:
             count, spans, items = [], [], []
             old = zip(batch["__ep_spans"].to_pylist(), batch["__ep_items"].to_pylist(), strict=True) if known else None
@@ -124,19 +147,28 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
 
     ``__ep_items`` are the ids (as strings, sorted) of items with an occurring window. A null or empty
     document has no words and no hits; items without words have no windows; repeated items and ids
-    count once; an empty benchmark hits nothing. A null item id is the string "null".
+    count once; an empty benchmark hits nothing. A null item id is the string "null". Repeated
+    documents are searched each, long texts whole; an empty table gives no rows; columns of ``docs``
+    that begin with ``__ep_`` are dropped.
     """
-    listed = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
-    # Every word starts one window at most, so the text's length bounds the windows of a block.
-    size = listed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / 2 / BLOCK_WINDOWS))
+    def windows(batches):
+        for batch in batches:
+            for item, text in zip(batch["i"].to_pylist(), batch["t"].to_pylist(), strict=True):
+                own = [b" ".join(w) for w in windows_of(words_of(text))]
+                for k in range(0, len(own), 10_000):
+                    some = own[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.string()), pa.array(some, pa.binary())], names=["i", "w"])
+
+    listed = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("binary").alias("t"))
+    listed = stash(listed.where("t is not null").mapInArrow(windows, "i string, w binary").distinct(), "windows")
+    # Blocks are drawn from pairs of a window and an item, so neither a long item nor a common window fills one.
+    n_blocks = max(1, math.ceil(listed.count() / BLOCK_WINDOWS))
     out = docs
     for k in range(n_blocks):
-        windows: dict[tuple, list[str]] = {}
-        for item, text in listed.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).toLocalIterator():
-            for window in windows_of(words_of(bytes(text))):
-                windows.setdefault(window, []).append(item)
-        out = _scan(out, text_col, windows)
+        known: dict[tuple, list[str]] = {}
+        for item, window in listed.where(F.pmod(F.xxhash64("i", "w"), F.lit(n_blocks)) == k).toLocalIterator():
+            known.setdefault(tuple(bytes(window).split(b" ")), []).append(item)
+        out = _scan(out, text_col, known)
         if k + 1 < n_blocks:
             out = stash(out, "decontaminate")
     return out
