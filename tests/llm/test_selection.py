@@ -28,7 +28,7 @@ def test_wu_manber_against_brute_force(spark, monkeypatch):
             got = (r["__ep_words"], sum(s.b - s.a for s in r["__ep_spans"]), hashlib.sha256(",".join(r["__ep_items"]).encode()).hexdigest())
             assert got == decontaminate.brute_force(r.text, [(str(i), t) for i, t in items])
     assert decontaminate.find_benchmark(docs, bench.limit(0)).where("size(__ep_spans) > 0").count() == 0
-    assert decontaminate.remove_contaminated(docs.limit(0), bench).columns == docs.columns
+    assert decontaminate.remove_contaminated(docs.limit(0), bench).count() == 0
 
 
 def test_toxicity_held_out(spark):
@@ -142,6 +142,59 @@ def test_shards(spark):
     assert sharding.assign_shards(docs.limit(0), 8).count() == 0
 
 
+def test_shards_divide_a_hot_text(spark, monkeypatch):
+    rows = [(i, "one text that was copied very often") for i in range(1200)] + [(i, f"text {i} " * (i % 7)) for i in range(2000, 3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cells, own = [], sharding._placed
+    monkeypatch.setattr(sharding, "_placed", lambda df, splits: cells.append(own(df, splits)) or cells[-1])
+    for few in (10_000, 0):
+        monkeypatch.setattr(sharding, "FEW", few)
+        out = sharding.assign_shards(docs, 4, target_bytes=1000).collect()
+        held = Counter()
+        for r in out:
+            held[r.shard] += r.size
+        assert len(out) == len(rows) and max(held.values()) - min(held.values()) <= 2 * max(r.size for r in out)
+        assert all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in range(4))
+        assert cells[0].groupBy("__ep_range", "__ep_part", "__ep_sub").agg(F.sum("__ep_size").alias("b")).agg(F.max("b")).first()[0] <= 1000
+        cells.clear()
+
+
+def test_sharding_query(spark):
+    rows = {r.doc_id: r for r in sharding.op10_sharding(spark, D).collect()}
+    docs = spark.read.parquet(f"{D}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    held, slots = Counter(), {}
+    for d in docs:
+        raw, r = (d.text or "").encode(), rows[d.doc_id]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, crc32(raw), "bytes", None) and 0 <= r.shard < 40
+        held[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert max(held.values()) - min(held.values()) <= 2 * max(r.size for r in rows.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_mix_repeats_no_text_too_often(spark):
+    rows = [(i, "a", "w " * 20) for i in range(200)] + [(1000 + i, "b", "" if i % 2 else "w w") for i in range(40)] + [(2000 + i, "c", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("mix_shard", F.lit("own"))
+    held = Counter(r.doc_id for r in mixing.mix(docs, weights={"a": 1, "b": 50, "c": 1}).collect())
+    assert max(held.values()) == 3 and all(held[1000 + i] == 3 for i in range(40)) and held[2000] == 1
+    assert mixing.targets({"a": 5, "b": 5}, {"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}
+
+
+def test_one_long_item_is_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 100)
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(420))
+    words = long.split()
+    docs = spark.createDataFrame([(k, " ".join(words[k * 20 : k * 20 + 15])) for k in range(20)] + [(99, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, long), (1, long), (None, words[0])], "item_id long, text string")
+    sizes, scan = [], decontaminate._scan
+    monkeypatch.setattr(decontaminate, "_scan", lambda d, t, w: sizes.append(len(w)) or scan(d, t, w))
+    got = {r.doc_id: (sum(s.b - s.a for s in r["__ep_spans"]), r["__ep_items"]) for r in decontaminate.find_benchmark(docs, bench).collect()}
+    assert len(sizes) == 5 and max(sizes) <= 200
+    assert got == {99: (0, []), 0: (15, ["1", "null"]), **{k: (15, ["1"]) for k in range(1, 20)}}
+
+
 def test_shards_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     a = sharding.assign_shards(docs, 8).select("doc_id", "shard", "slot")
