@@ -9,8 +9,8 @@ is as toxic as its worst passage, so a few words in a long text are not averaged
 the worst passages stand for a toxic document, and all passages, the worst first, for a clean one.
 
 Labels are learned from a bounded sample: in an order drawn by a hash of the id, the first ``SAMPLE``
-documents of each class that together have at most ``SAMPLE_CHARS`` characters (and none of more than
-an eighth of that). The sample is turned
+documents of each class that together have at most ``SAMPLE_CHARS`` characters (and none of more
+than a million). The sample is turned
 into the model by one task, so the driver sees one number for each bucket. Buckets that fewer than
 ``LEAST_DOCS`` documents of the sample have stay neutral: they could only be learned by heart.
 Scores cover every whole text.
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE = 3000
+#: Documents of label 0 and 1 in the sample.
+SAMPLE = (9000, 3000)
 #: Characters of all documents of one class in the sample.
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 24_000_000
 BUCKETS, DIM, HALF = 1 << 16, 12, 8
 #: Lengths of the character n-grams.
 GRAMS = (3, 4, 5, 6, 7)
@@ -40,7 +41,7 @@ LEAST_DOCS = 3
 #: Share of the words that a step leaves out, so that no passage is learned by heart.
 DROP = 0.2
 #: Added to every logit, as learning sees more clean passages than toxic ones.
-SHIFT = 1.8
+SHIFT = 1.5
 #: Words whose scores a task keeps; the cache starts again when it is full.
 CACHE = 300_000
 
@@ -192,13 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = known.where(allowed) if allowed is not None else known
     known = known.groupBy(F.col(id_col).alias("__ep_id")).agg(F.min(label_col).alias("__ep_y"), F.max(label_col).alias("__ep_z")).where("__ep_y = __ep_z")
     # More ids than needed are drawn, as some labelled ids may have no document or a very long one.
-    drawn = [known.where(F.col("__ep_y") == y).orderBy(F.xxhash64("__ep_id", F.lit(5)), "__ep_id").limit(2 * SAMPLE) for y in (0, 1)]
+    drawn = [known.where(F.col("__ep_y") == y).orderBy(F.xxhash64("__ep_id", F.lit(5)), "__ep_id").limit(2 * SAMPLE[y]) for y in (0, 1)]
     ids = drawn[0].unionByName(drawn[1]).select("__ep_id", "__ep_y")
-    texts = docs.where(F.length(text_col).between(1, SAMPLE_CHARS // 8)).join(F.broadcast(ids), F.col(id_col) == F.col("__ep_id"))
+    texts = docs.where(F.length(text_col).between(1, SAMPLE_CHARS // 24)).join(F.broadcast(ids), F.col(id_col) == F.col("__ep_id"))
     texts = texts.groupBy("__ep_id", "__ep_y").agg(F.min(text_col).alias("t"))
     order = Window.partitionBy("__ep_y").orderBy(F.xxhash64("__ep_id", F.lit(5)), "__ep_id")
     texts = texts.withColumn("__ep_chars", F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__ep_nth", F.row_number().over(order))
-    texts = texts.where((F.col("__ep_chars") <= SAMPLE_CHARS) & (F.col("__ep_nth") <= SAMPLE))
+    texts = texts.where((F.col("__ep_chars") <= SAMPLE_CHARS) & (F.col("__ep_nth") <= F.when(F.col("__ep_y") == 1, SAMPLE[1]).otherwise(SAMPLE[0])))
 
     def learn(batches):
         rows = {}
