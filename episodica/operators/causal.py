@@ -106,12 +106,16 @@ def do_backdoor(rows: DataFrame, x: str, y: Column, z: list[str]) -> DataFrame:
     One aggregation by (x, z); P(z) and the sum come from its result. Strata without the value of x
     are left out of its sum, as their conditional probability is unknown.
     """
-    cells = rows.groupBy(x, *z).agg(F.count("*").alias("n"), F.count_if(y).alias("n_y"))
-    weights = cells.groupBy(*z).agg(F.sum("n").alias("n_z"))
-    total = weights.agg(F.sum("n_z").alias("n_all"))
+    cells = rows.groupBy(x, *z).agg(F.count("*").alias("__n"), F.count_if(y).alias("__n_y"))
+    weights = cells.groupBy(*z).agg(F.sum("__n").alias("__n_z"))
+    total = weights.agg(F.sum("__n_z").alias("__n_all"))
     joined = cells.join(weights, z) if z else cells.crossJoin(weights)  # without z: one row
     joined = joined.crossJoin(F.broadcast(total))  # one row
-    return joined.groupBy(x).agg(F.sum(F.col("n_y") / F.col("n") * F.col("n_z") / F.col("n_all")).alias("p"))
+    return joined.groupBy(x).agg(F.sum(F.col("__n_y") / F.col("__n") * F.col("__n_z") / F.col("__n_all")).alias("p"))
+
+
+#: Blocks of rows that a bootstrap draws from.
+BLOCKS = 4096
 
 
 def moments(rows: DataFrame, names: list[str], weight: Column | None = None, by: str | None = None):
@@ -155,8 +159,8 @@ def partial_correlation(cov: np.ndarray, i: int, j: int, given: tuple[int, ...]
 
 
 def fisher_z(r: float, n: float) -> float:
-    r = max(-0.9999, min(0.9999, r))
-    return abs(0.5 * math.log((1 + r) / (1 - r))) * math.sqrt(max(n - 3, 1))
+    """How many standard errors a correlation of ``n`` rows is from 0; a full one counts as almost full."""
+    return math.atanh(min(abs(r), 1 - 1e-12)) * math.sqrt(max(n - 3, 1))
 
 
 def independent(cov: np.ndarray, n: float, i: int, j: int, given=(), alpha: float = 0.05) -> bool:
@@ -196,18 +200,25 @@ def learn_structure(rows: DataFrame, names: list[str], **how) -> DataFrame:
     return rows.sparkSession.createDataFrame(pc(names, n, cov, **how), "source string, target string, directed boolean")
 
 
-def bootstrap_edges(rows: DataFrame, names: list[str], *, runs: int = 20, stable: float = 0.7, seed: int = 5, key: Column | None = None, **how) -> DataFrame:
+def bootstrap_edges(rows: DataFrame, names: list[str], *, runs: int = 100, stable: float = 0.7, seed: int = 5, key: Column | None = None, **how) -> DataFrame:
     """``source, target, confidence, stable``: share of Poisson bootstrap samples with the edge.
 
-    Each row gets its weights in all samples from a hash, so one pass gives all covariance matrices.
+    Rows are dealt to ``BLOCKS`` blocks by a hash of ``key`` (default: their values) and the blocks are
+    drawn again with Poisson weights: one pass gives the sums of all blocks, whose number does not
+    depend on the rows. Where keys repeat, equal keys are drawn together.
     """
     key = F.xxhash64(*names) if key is None else key
-    rows = rows.select(*names, key.alias("__key")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    u = F.shiftrightunsigned(F.xxhash64("__key", "b", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(10)])
-    weight = sum(((u > F.lit(float(c))).cast("double") for c in cuts), F.lit(0.0))
+    known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in names))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = [F.count("*").cast("double"), *[F.sum(F.col(c).cast("double")) for c in names], *[F.sum(F.col(names[i]).cast("double") * F.col(names[j])) for i, j in pairs]]
+    blocks = known.groupBy(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BLOCKS)).alias("__block")).agg(*[x.alias(f"__m{k}") for k, x in enumerate(sums)])
+    held = np.array(sorted(map(tuple, blocks.collect())), dtype=float).reshape(-1, len(sums) + 1)[:, 1:]
     found: dict[tuple[str, str], int] = {}
-    for n, _, cov in moments(rows, names, weight, by="b").values():
+    for drawn in np.random.default_rng(seed).poisson(1.0, (runs, len(held))) @ held:
+        n = drawn[0]
+        mean, cov = drawn[1 : len(names) + 1] / max(n, 1), np.zeros((len(names),) * 2)
+        for (i, j), x in zip(pairs, drawn[len(names) + 1 :], strict=True):
+            cov[i, j] = cov[j, i] = x / max(n, 1) - mean[i] * mean[j]
         for a, b, _ in pc(names, n, cov, **how):
             found[a, b] = found.get((a, b), 0) + 1
     out = [(a, b, c / runs, c / runs >= stable) for (a, b), c in sorted(found.items())]

@@ -6,6 +6,8 @@ type_attrs: type_name, attr, spec_type, lo, hi, values array<string>, required
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,18 @@ def from_dict(spark, declared: list[dict]) -> tuple[DataFrame, DataFrame]:
 def closure(types: DataFrame) -> DataFrame:
     """``name, ancestor, depth``: reflexive transitive closure with the longest path as depth.
 
-    A recursive query; paths double as rows, so equal (name, ancestor, depth) rows are merged at the end.
+    One join a level: a pair is kept once a level however many paths lead to it, so diamonds do not
+    multiply. A cycle is an error.
     """
-    types.select("name", "parent").createOrReplaceTempView("__types")
-    rows = types.sparkSession.sql(
-        """
-        WITH RECURSIVE up(name, ancestor, depth) AS (
-          SELECT DISTINCT name, name, 0 FROM (SELECT name FROM __types UNION SELECT parent FROM __types WHERE parent IS NOT NULL)
-          UNION ALL
-          SELECT up.name, t.parent, up.depth + 1 FROM up JOIN __types t ON up.ancestor = t.name WHERE t.parent IS NOT NULL
-        ) SELECT name, ancestor, max(depth) AS depth FROM up GROUP BY name, ancestor
-        """
-    )
-    return rows
+    up = types.where("parent IS NOT NULL").select(F.col("name").alias("ancestor"), F.col("parent").alias("above")).distinct()
+    names = types.select("name").union(types.select("parent")).where("name IS NOT NULL").distinct()
+    n, level, found = names.count(), names.select("name", F.col("name").alias("ancestor")), []
+    while not found or not level.isEmpty():
+        if len(found) > n:
+            raise ValueError("the type hierarchy has a cycle")
+        found.append(level.withColumn("depth", F.lit(len(found))))
+        level = level.join(up, "ancestor").select("name", F.col("above").alias("ancestor")).distinct().persist()
+    return reduce(DataFrame.union, found).groupBy("name", "ancestor").agg(F.max("depth").alias("depth"))
 
 
 def depths(closed: DataFrame) -> DataFrame:

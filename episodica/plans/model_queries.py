@@ -91,7 +91,7 @@ def pc_structure(spark, d):
 
 
 def bootstrap_structure(spark, d):
-    return causal.bootstrap_edges(table(spark, d, "lineitem"), NAMES, runs=10)
+    return causal.bootstrap_edges(table(spark, d, "lineitem"), NAMES, key=F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def ate_regression(spark, d):
@@ -197,7 +197,7 @@ _PHI = f"""(WITH e AS {_TOP}, d AS (SELECT patient_id, count(*) AS d FROM e GROU
   v AS (SELECT m.patient_id, m.d, m.m, coalesce(least(1.0, greatest(0.0, sum(e.v + e.k) / (2 * count(e.r)) / 10)), 0.0) AS v FROM m LEFT JOIN e ON e.patient_id = m.patient_id AND (m.m >> CAST(e.r AS BIGINT)) & 1 = 1 GROUP BY ALL)
   SELECT e.patient_id, e.event_id, sum(factorial(CAST(bit_count(a.m) AS INT)) * factorial(CAST(a.d - bit_count(a.m) - 1 AS INT)) / factorial(CAST(a.d AS INT)) * (b.v - a.v)) AS phi
   FROM e JOIN v a ON a.patient_id = e.patient_id AND (a.m >> CAST(e.r AS BIGINT)) & 1 = 0 JOIN v b ON b.patient_id = e.patient_id AND b.m = a.m + (CAST(1 AS BIGINT) << CAST(e.r AS BIGINT)) GROUP BY ALL)"""
-_CF = f"""(WITH e AS (SELECT * FROM (SELECT patient_id, event_id, row_number() OVER (PARTITION BY patient_id ORDER BY t_start, event_id) - 1 AS r, value / 50 AS v, k / 10 AS k FROM {E}) WHERE r < 5),
+_CF = f"""(WITH e AS (SELECT * FROM (SELECT patient_id, event_id, row_number() OVER (PARTITION BY patient_id ORDER BY t_start, event_id) - 1 AS r, value / 50 AS v, k / 10 AS k FROM {E})),
   p AS (SELECT patient_id, sum(v + k) AS s, 2 * count(*) AS n FROM e GROUP BY 1),
   c AS (SELECT patient_id, event_id, r, a.i, a.attr, CASE a.i WHEN 0 THEN v ELSE k END AS x, f.j, f.f FROM e, (VALUES (0, 'value'), (1, 'k')) a(i, attr), (VALUES (0, 0.5), (1, 0.25), (2, 0.1), (3, 0.0)) f(j, f)),
   s AS (SELECT c.*, least(1.0, greatest(0.0, s / n / 10)) AS score, least(1.0, greatest(0.0, (s - x * (1 - f)) / n / 10)) AS new_score FROM c JOIN p USING (patient_id))

@@ -120,7 +120,16 @@ def parse(rows: DataFrame, message: str = "message") -> DataFrame:
         return F.when(F.startswith(s, F.lit("MSH")), head).otherwise(f)
 
     good = F.startswith(text, F.lit("MSH")) & (F.length(F.substring_index(text, "\n", 1)) > 8)
-    return rows.withColumn("segments", F.when(good, F.transform(lines, fields))).withColumn("comp", comp)
+    return once(rows, "*", F.when(good, F.transform(lines, fields)).alias("segments"), comp.alias("comp"))
+
+
+def once(rows: DataFrame, *cols) -> DataFrame:
+    """``select`` whose expressions are computed once a row, however often later columns use them.
+
+    Plain projections are merged, and an expression is then repeated for every use; a generator is not.
+    """
+    names = rows.select(*cols).columns
+    return rows.select(F.explode(F.array(F.struct(*cols))).alias("__once")).select(*[F.col("__once").getField(c).alias(c) for c in names])
 
 
 def segment(name: str) -> Column:
@@ -162,9 +171,10 @@ def to_events(messages: DataFrame, code_map: dict | None = None) -> DataFrame:
     """One event per parsed message; messages without patient or time are dropped."""
     # Segments, then fields, then times are columns of their own, so that each is computed once.
     names = ("MSH", "EVN", "PID", "PV1", "OBR", "OBX")
-    rows = messages.where("segments IS NOT NULL").select("comp", *[segment(s).alias(s) for s in names])
+    rows = once(messages.where("segments IS NOT NULL"), "comp", *[segment(s).alias(s) for s in names])
     seg = lambda s, n, comp=None: field(F.col(s), n, comp)
-    rows = rows.select(
+    rows = once(
+        rows,
         seg("MSH", 10).alias("control_id"),
         seg("PID", 3, 1).alias("patient_id"),
         seg("MSH", 9, 1).alias("kind"),
@@ -206,7 +216,7 @@ def to_live_events(messages: DataFrame) -> DataFrame:
     ``control_id, patient_id, event_type, t_start, confidence, attrs``. Triggers are compared exactly; a
     missing patient is UNKNOWN; unknown messages give HL7Unbekannt with confidence 0.3.
     """
-    at = F.coalesce(timestamp(field(segment("EVN"), 2)), timestamp(field(segment("MSH"), 7)))
+    at = F.col("__at")
     none = F.array().cast("array<struct<event_type:string,confidence:double,t_start:timestamp_ntz,attrs:map<string,string>>>")
 
     def event(name: Column, confidence: float, time: Column = at, **attrs: Column) -> Column:
@@ -253,7 +263,9 @@ def to_live_events(messages: DataFrame) -> DataFrame:
         .when(kind() == "DFT", charges)
         .otherwise(F.array(event(F.lit("HL7Unbekannt"), 0.3, message=F.concat_ws("^", kind(), trigger()))))
     )
-    rows = messages.where("segments IS NOT NULL").select(field(segment("MSH"), 10).alias("control_id"), F.coalesce(patient(), F.lit("UNKNOWN")).alias("patient_id"), F.posexplode(found).alias("n", "e"))
+    time = F.coalesce(timestamp(field(segment("EVN"), 2)), timestamp(field(segment("MSH"), 7)))
+    rows = once(messages.where("segments IS NOT NULL"), "segments", "comp", time.alias("__at"))
+    rows = rows.select(field(segment("MSH"), 10).alias("control_id"), F.coalesce(patient(), F.lit("UNKNOWN")).alias("patient_id"), F.posexplode(found).alias("n", "e"))
     return rows.select("control_id", "patient_id", "n", "e.*").where("event_type IS NOT NULL")
 
 

@@ -62,11 +62,10 @@ def test_prediction_of_an_unseen_context(spark):
 @pytest.mark.parametrize(
     "seqs, how, has, lacks",
     [
-        (["ABC", "XAB", "ABY", "AB"], {"min_support": 0.5}, {"AB": 1.0}, []),
-        (["AB", "XY", "PQ", "AC"], {"min_support": 0.5}, {}, ["AB"]),
-        (["ABCD", "XABC", "ABC"], {"max_length": 3, "min_support": 0.9}, {"ABC": 1.0}, []),
-        (["ABC"] * 5, {"max_length": 2, "min_support": 0.5}, {"AB": 1.0, "BC": 1.0}, ["AC"]),
-        ([], {}, {}, ["AB"]),
+        (["KLKL", "MKL", "LK"], {"min_support": 0.6}, {"KL": 2 / 3, "LK": 2 / 3}, ["MK", "KLK"]),
+        (["RST", "TSR", "STR", "TRS"], {"min_support": 0.75, "min_length": 1}, {"R": 1.0, "S": 1.0, "T": 1.0}, ["RS", "ST", "TR"]),
+        (["VVVV", "VVV", "WVVW"], {"min_length": 2, "max_length": 3, "min_support": 0.6}, {"VV": 1.0, "VVV": 2 / 3}, ["VVVV", "WV"]),
+        (["G", "", "H"], {"min_support": 0.1}, {}, ["GH"]),
     ],
 )
 def test_mining(spark, seqs, how, has, lacks):
@@ -86,22 +85,22 @@ def test_mining_against_brute_force(spark):
         sequence.mine_patterns(rows, min_length=3, max_length=2)
 
 
-RULES = {"S": [("NP", "VP"), ("VB", "NP")], "NP": [("DT", "NN")], "VP": [("VB", "NP"), ("VB", "NN")], "DT": [("the",)], "NN": [("dog",), ("cat",)], "VB": [("saw",), ("barked",)]}
+RULES = {"S": [("IN", "REST"), ("IN", "OUT")], "REST": [("CARE", "OUT"), ("CARE", "REST")], "IN": [("admit",)], "CARE": [("scan",), ("dose",)], "OUT": [("leave",)]}
 
 
 def test_grammar(spark):
     g = sequence.Grammar(RULES)
-    texts = ["the dog saw the cat", "dog the cat", "", "saw the dog"]
+    texts = ["admit scan dose leave", "scan leave admit", "", "admit leave"]
     rows = spark.createDataFrame([(t, t.split()) for t in texts], "t string, tokens array<string>")
     for beam in (None, 100):
         got = {r.t: r.matches for r in sequence.cyk(rows, g, beam=beam).collect()}
         assert got == dict(zip(texts, (True, False, False, True), strict=True))
-    assert g.parse("saw the dog".split())[1] == "(S (VB saw) (NP (DT the) (NN dog)))"
+    assert g.parse("admit dose leave".split())[1] == "(S (IN admit) (REST (CARE dose) (OUT leave)))"
     for bad in ({"S": [("A",)], "A": [("a",)]}, {"S": [("A", "A", "A")], "A": [("a",)]}):
         with pytest.raises(ValueError):
             sequence.Grammar(bad)
-    longer = sequence.extend_with_patterns(g, [("the", "dog", "saw"), ("NP", "VP")])
-    assert "P_0" in longer.rules and longer.parse("the dog saw the cat".split())[0] > -math.inf
+    longer = sequence.extend_with_patterns(g, [("scan", "dose", "scan"), ("CARE", "REST")])
+    assert "P_0" in longer.rules and longer.parse("admit scan dose scan leave".split())[0] > -math.inf
 
 
 def test_store_cascade_and_upsert(spark):

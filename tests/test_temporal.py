@@ -1,13 +1,20 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import temporal
 
-CASES = [
-    (1, 3, 4, 6, "before"), (1, 3, 3, 5, "meets"), (1, 4, 3, 6, "overlaps"), (1, 3, 1, 5, "starts"), (2, 4, 1, 5, "during"), (3, 5, 1, 5, "finishes"), (1, 3, 1, 3, "equals"),
-    (1, 5, 2, 5, "finished_by"), (1, 5, 2, 4, "contains"), (1, 5, 1, 3, "started_by"), (3, 6, 1, 4, "overlapped_by"), (3, 5, 1, 3, "met_by"), (4, 6, 1, 3, "after"),
-    (5, 5, 5, 5, "meets"), (5, 5, 5, 9, "meets"), (3, 5, 5, 5, "meets"), (5, 5, 3, 5, "finishes"), (5, 9, 5, 5, "started_by"), (5, 3, 1, 2, None),
-]
+#: Which of the points p0 < p1 < p2 < p3 are start and end of the first and of the second interval.
+PLACES = {
+    "before": "0123", "meets": "0112", "overlaps": "0213", "starts": "0102", "during": "1203", "finishes": "1202", "equals": "0101",
+    "after": "2301", "met_by": "1201", "overlapped_by": "1302", "started_by": "0201", "contains": "0312", "finished_by": "0212",
+}
+_rng = random.Random(7)
+DRAWN = [sorted(_rng.sample(range(1000), 4)) for _ in range(8)]
+CASES = [(*(p[int(k)] for k in places), name) for name, places in PLACES.items() for p in DRAWN]
+#: Points and an interval that ends before it starts.
+CASES += [(2, 2, 2, 2, "meets"), (2, 2, 2, 8, "meets"), (0, 7, 7, 7, "meets"), (7, 7, 0, 7, "finishes"), (2, 6, 2, 2, "started_by"), (9, 4, 0, 1, None)]
 
 
 def rows(spark):
