@@ -1,124 +1,144 @@
 """Line dedup [native] by a deletion-neighbourhood join.
 
-Lines that differ in at most one character (insertion, deletion or replacement) are near copies.
+Lines of any length that differ in at most one character (insertion, deletion or replacement) are near
+copies.
 
 1. Equal lines are one class, known by the first place (document id, line number) that has it.
 2. Within one edit, one half of a line is untouched: the first ``m / 2`` or the last ``m - m / 2``
    characters, m being the shorter length. Lines that share no half with another line are done.
-3. The rest emit their deletion neighbourhood: for each half they share, the other half with every
-   single character deleted (and undeleted, for partners that are one shorter), as a hashed key.
-   The hash adds up character hashes, so all deletions of one line cost one pass over it.
-4. Lines with an equal key are compared with a bounded edit distance; links become components and the
-   earliest line of each stays. Groups of an equal key are bounded by the alphabet and the length,
-   as they hold distinct lines only: copies never meet each other.
+3. The other half is halved again in the same way until it has at most ``PIECE`` characters; what was
+   set aside on the way is one hash. So the work on a line grows with its length, not its square.
+4. Of what is left a line emits its deletion neighbourhood as hashed keys: every single deletion with
+   its position, which lines of equal length share that differ there only; and every single deletion
+   as a text, next to the texts that lines one shorter have there.
+5. Lines with an equal key are joined with one of them, the first line or the shorter one, and compared
+   with a bounded edit distance; all of them differ from it in that one place only, so no pair of a
+   group is needed besides, and a group costs as many links as it has lines. Links become components
+   and the earliest line of each stays.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, stash, table, text_or_empty
+from .common import SPACES, stash, table, text_or_empty
 from .neardup import components
 
-#: Shorter lines only match equal lines.
-NEAR_FROM = 20
+#: Characters of which all single deletions are taken at once.
+PIECE = 256
 #: Line classes up to this number are broadcast to pick their texts; more are joined by shuffle.
 FEW = 500_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, no, line`` for each line that holds more than white space; rows with a null id are left out."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("no", "line"))
-    return rows.where(F.btrim("line", F.lit(SPACES)) != "")
-
-
-def _halves(line: Column, n: Column) -> Column:
-    """Keys of both halves, for partners as long or longer (m = n) and for those one shorter (m = n - 1)."""
+    """``at, line`` for each line that holds more than white space; ``at`` orders null ids last."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    return rows.where(F.btrim("line", F.lit(SPACES)) != "").select(F.struct(F.col("id").isNull().alias("none"), "id", "t", "no").alias("at"), "line")
 
-    def of(m: Column) -> list[Column]:
-        first = F.floor(m / 2).cast("int")
-        left, right = F.left(line, first), F.right(line, m - first)
-        return [F.struct(F.lit(side).alias("side"), m.alias("m"), F.xxhash64(F.lit(side), m, half).alias("half")) for side, half in (("L", left), ("R", right))]
 
-    return F.array(*of(n), *of(n - 1))
+def _halved(text: Column, m: Column, path: Column) -> list[Column]:
+    """Both ways to set a half aside: ``path`` (hash of what is aside), ``m`` and ``rest`` of the other half."""
+    first = F.floor(m / 2).cast("int")
+    left = F.struct(F.xxhash64(path, F.lit("L"), m, F.left(text, first)).alias("path"), (m - first).alias("m"), F.substring(text, first + 1, F.length(text)).alias("rest"))
+    right = F.struct(F.xxhash64(path, F.lit("R"), m, F.right(text, m - first)).alias("path"), first.alias("m"), F.left(text, F.length(text) - (m - first)).alias("rest"))
+    return [left, right]
 
 
-def _neighbourhood(line: Column, n: Column, side: Column, m: Column) -> Column:
-    """Hashed deletion variants of the half opposite to ``side``; 0 marks undeleted, 1 deleted ones of equal length."""
-    first = F.floor(m / 2).cast("int")
-    rest = F.when(side == "L", F.substring(line, first + 1, n)).otherwise(F.left(line, n - (m - first)))
-    # 40 bits a character, so that a line of millions of characters cannot overflow the sum.
-    weigh = lambda c: F.shiftrightunsigned(F.xxhash64(c), 24)
+def _tops(line: Column, n: Column) -> Column:
+    """Halves for partners as long or longer (m = n) and for those one shorter (m = n - 1)."""
+    return F.array(*[half for m in (n, n - 1) for half in _halved(line, m, F.lit(0))])
 
-    def variants(codes: Column) -> Column:
-        whole = F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c)
-        less = lambda s: F.transform(F.array_distinct(codes), lambda c: s - c)
-        mark = lambda tag, sums: F.transform(sums, lambda s: F.struct(F.lit(tag).alias("tag"), s.alias("sum")))
-        return let(whole, lambda s: F.when(n == m, F.concat(mark(0, F.array(s)), mark(1, less(s)))).otherwise(mark(0, less(s))))
 
-    return let(F.transform(F.split(rest, ""), weigh), variants)
+def _neighbourhood(path: Column, m: Column, rest: Column) -> Column:
+    """Keys of single deletions; ``hub`` marks those that others with the key are compared with."""
+    n = F.length(rest)
+    before, after = lambda i: F.left(rest, i), lambda i: F.substring(rest, i + 2, n)
+    key = lambda hub, *parts: F.struct(F.xxhash64(path, *parts).alias("key"), F.lit(hub).alias("hub"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    changed = F.transform(places, lambda i: key(True, F.lit("at"), i, before(i), after(i)))
+    gone = F.transform(places, lambda i: key(False, F.lit("is"), F.concat(before(i), after(i))))
+    return F.when(n == m, F.concat(changed, F.array(key(True, F.lit("is"), rest)))).otherwise(gone)
 
 
-def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_from: int = NEAR_FROM) -> DataFrame:
-    """Every line's place and the earliest place of its class: ``id, no, of_id, of_no, near``.
+def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every line's place and the earliest place of its class: ``id, t, no, of_id, of_t, of_no, near``.
 
-    ``near`` says that the class's earliest line is not equal to this one. Lines without a
-    character that is not white space, and rows with a null id, have no class. Rows that repeat an
-    id are one document; equal lines of one document belong to its first.
+    ``t`` is a hash of the document's text, ``near`` says that the class's earliest line is not equal
+    to this one. Lines without a character that is not white space have no class. Rows equal in id and
+    text are one document; rows that share an id, or have none, are told apart by their texts, null
+    ids come last; equal lines of one document belong to its first. Texts and lines of any length are
+    compared whole; null and empty texts have no lines, an empty table gives no rows, other columns are
+    ignored.
     """
     h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    place = F.struct("id", "no").alias("at")
     n = F.length("line")
     lines = _lines(docs, id_col, text_col)
-    known = stash(lines.select(*h, place, n.alias("n"), F.transform(_halves(F.col("line"), n), lambda k: k["half"]).alias("halves")), "lines")
+    known = stash(lines.select(*h, "at", n.alias("n"), F.transform(_tops(F.col("line"), n), lambda k: k["path"]).alias("halves")), "lines")
     keys = [F.get("halves", k).alias(f"k{k}") for k in range(4)]
     first = known.select("h1", "h2", "at", "n", *keys).groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")])
-    first = stash(first.select("h1", "h2", "at.*", "n", "k0", "k1", "k2", "k3"), "line-classes")
-
-    half = first.where(F.col("n") >= near_from).select("id", "no", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    live = stash(half.join(shared, "half"), "line-halves")
-    places = live.select("id", "no").distinct()
-    few = places.count() <= FEW
-    picked = lines.join(F.broadcast(places) if few else places, ["id", "no"], "left_semi").groupBy("id", "no").agg(F.first("line").alias("line"))
+    first = stash(first, "line-classes")
+
+    half = first.select("at", "n", F.explode(F.array("k0", "k1", "k2", "k3")).alias("path"))
+    shared = half.groupBy("path").agg(F.count("*").alias("c")).where("c > 1").select("path")
+    live = stash(half.join(shared, "path"), "line-halves")
+    places = live.groupBy("at").agg(F.max("n").alias("n"))
+    few, longest = places.agg(F.count("*"), F.max("n")).first()
+    places = places.select("at")
+    picked = lines.join(F.broadcast(places) if few <= FEW else places, "at", "left_semi").groupBy("at").agg(F.any_value("line").alias("line"))
     picked = stash(picked, "line-texts")
 
-    halves = picked.select("id", "no", "line", F.explode(_halves(F.col("line"), F.length("line"))).alias("k")).select("id", "no", "line", "k.*")
-    halves = halves.join(live, ["id", "no", "half"], "left_semi")
-    near = halves.select("id", "no", "half", F.explode(_neighbourhood(F.col("line"), F.length("line"), F.col("side"), F.col("m"))).alias("v"))
-    near = stash(near.select(F.struct("id", "no").alias("at"), F.xxhash64("half", "v.tag", "v.sum").alias("key")).distinct(), "line-variants")
-    met = near.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    near = near.join(met, "key")
-    pairs = near.withColumnRenamed("at", "a").join(near.withColumnRenamed("at", "b"), "key").where("a < b").select("a", "b").distinct()
-    text = picked.select(F.struct("id", "no").alias("at"), "line")
-    pairs = pairs.join(text.select(F.col("at").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
+    rows = picked.select("at", F.explode(_tops(F.col("line"), n)).alias("k")).select("at", "k.*")
+    rows = rows.join(live.select("at", "path"), ["at", "path"], "left_semi")
+    for _ in range(math.ceil(math.log2(max(1, (longest or 0) / PIECE)))):
+        own = F.struct("path", "m", "rest")
+        rows = rows.select("at", F.explode(F.when(F.col("m") > PIECE, F.array(*_halved(F.col("rest"), F.col("m"), F.col("path")))).otherwise(F.array(own))).alias("k")).select("at", "k.*")
+    near = rows.select("at", F.explode(_neighbourhood(F.col("path"), F.col("m"), F.col("rest"))).alias("v")).select("at", "v.*")
+    near = stash(near.distinct(), "line-variants")
+    hubs = near.groupBy("key").agg(F.min(F.when(F.col("hub"), F.col("at"))).alias("to"), F.count("*").alias("c")).where("c > 1 AND to IS NOT NULL").select("key", "to")
+    pairs = near.join(hubs, "key").where("at <> to").select(F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b")).distinct()
+    pairs = pairs.join(picked.select(F.col("at").alias("a"), F.col("line").alias("x")), "a").join(picked.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
     links = pairs.where(F.levenshtein("x", "y", 1) >= 0).select("a", "b")
     owner = components(links)
 
-    classes = first.select("h1", "h2", F.struct("id", "no").alias("first"))
-    classes = classes.join(owner.select(F.col("id").alias("first"), "component"), "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("of"), F.col("component").isNotNull().alias("moved"), "first")
+    classes = first.select("h1", "h2", F.col("at").alias("first"))
+    classes = classes.join(owner.select(F.col("id").alias("first"), "component"), "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("of"), "first")
     rows = known.select("h1", "h2", "at").distinct().join(classes, ["h1", "h2"])
-    return rows.select("at.*", F.col("of.id").alias("of_id"), F.col("of.no").alias("of_no"), (F.col("of") != F.col("first")).alias("near"))
+    return rows.select("at.id", "at.t", "at.no", F.col("of.id").alias("of_id"), F.col("of.t").alias("of_t"), F.col("of.no").alias("of_no"), (F.col("of") != F.col("first")).alias("near"))
+
 
+def _gone() -> Column:
+    return ~(F.col("id").eqNullSafe(F.col("of_id")) & (F.col("t") == F.col("of_t")) & (F.col("no") == F.col("of_no")))
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` whose texts keep only the earliest line of each class (and blank lines)."""
-    rows = line_classes(docs, id_col=id_col, text_col=text_col, **how).where("id <> of_id OR no <> of_no")
-    gone = rows.groupBy(F.col("id").alias("__ep_id")).agg(F.collect_set("no").alias("__ep_gone"))
+
+def _own(docs_id: Column, text: Column) -> Column:
+    """Join condition of a document with what is known of its id and text."""
+    return docs_id.eqNullSafe(F.col("__ep_id")) & (F.xxhash64(text) == F.col("__ep_t"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` whose texts keep only the earliest line of each class (and blank lines).
+
+    All rows stay, null texts stay null; see ``line_classes`` for the other cases.
+    """
+    rows = line_classes(docs, id_col=id_col, text_col=text_col).where(_gone())
+    gone = rows.groupBy(F.col("id").alias("__ep_id"), F.col("t").alias("__ep_t")).agg(F.collect_set("no").alias("__ep_gone"))
     kept = F.filter(F.split(text_col, "\n"), lambda line, k: ~F.array_contains("__ep_gone", k))
     text = F.when(F.col("__ep_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(gone, F.col(id_col) == F.col("__ep_id"), "left").withColumn(text_col, text).select(*docs.columns)
+    return docs.join(gone, _own(F.col(id_col), text_or_empty(text_col)), "left").withColumn(text_col, text).select(*docs.columns)
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_equal and n_near (removed), removed (line numbers)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = line_classes(docs).withColumn("gone", (F.col("id") != F.col("of_id")) | (F.col("no") != F.col("of_no")))
-    per = rows.groupBy(F.col("id").alias("__id")).agg(
+    rows = line_classes(docs).withColumn("gone", _gone())
+    per = rows.groupBy(F.col("id").alias("__ep_id"), F.col("t").alias("__ep_t")).agg(
         F.count("*").alias("n"), F.count_if(F.col("gone") & ~F.col("near")).alias("e"), F.count_if(F.col("near")).alias("c"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("no")))).alias("g")
     )
-    out = docs.select("doc_id").join(per, F.col("doc_id") == F.col("__id"), "left")
+    out = docs.join(per, _own(F.col("doc_id"), text_or_empty()), "left")
     return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(name) for c, name in (("n", "n_lines"), ("e", "n_equal"), ("c", "n_near"))], F.coalesce(F.array_join("g", ","), F.lit("")).alias("removed"))
 
 
@@ -127,7 +147,7 @@ SQL = {
 WITH RECURSIVE l AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS no, x[k] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x, unnest(range(1, len(x) + 1)) AS k FROM documents)),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS at, length(line) AS len FROM w GROUP BY line),
-h AS (SELECT *, m, unnest([('L' || left(line, m // 2)), ('R' || right(line, m - m // 2))]) AS half FROM (SELECT *, unnest([len, len - 1]) AS m FROM f WHERE len >= 20)),
+h AS (SELECT *, m, unnest([('L' || left(line, m // 2)), ('R' || right(line, m - m // 2))]) AS half FROM (SELECT *, unnest([len, len - 1]) AS m FROM f)),
 e AS (SELECT DISTINCT a.at AS a, b.at AS b FROM h a JOIN h b ON a.half = b.half AND a.m = b.m AND a.at < b.at AND abs(a.len - b.len) <= 1 AND levenshtein(a.line, b.line) <= 1),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),

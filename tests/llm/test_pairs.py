@@ -82,11 +82,11 @@ def test_keep_one_and_empty(spark):
     assert neardup.keep_one(docs.limit(0)).count() == 0
 
 
-def brute_lines(rows, near_from):
+def brute_lines(rows):
     def close(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < near_from or abs(len(a) - len(b)) > 1:
+        if abs(len(a) - len(b)) > 1:
             return False
         k = 0
         while k < min(len(a), len(b)) and a[k] == b[k]:
@@ -118,7 +118,9 @@ def brute_lines(rows, near_from):
     return {(d, no): places[find(line)] for d, text in rows for no, line in enumerate((text or "").split("\n")) if line in places}
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("piece", [4, 256])
+def test_lines_match_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(linededup, "PIECE", piece)
     rng = random.Random(2)
     base = ["".join(rng.choices("abcde ", k=n)) + "." for n in (5, 12, 20, 25, 40, 300) for _ in range(3)]
     own = []
@@ -134,8 +136,27 @@ def test_lines_match_brute_force(spark):
     own += ODD
     docs = documents(spark, own)
     rows = list(enumerate(own))
-    got = {(r.id, r.no): (r.of_id, r.of_no) for r in linededup.line_classes(docs, near_from=10).collect()}
-    assert got == brute_lines(rows, 10)
-    clean = linededup.dedup_lines(docs, near_from=10)
+    got = {(r.id, r.no): (r.of_id, r.of_no) for r in linededup.line_classes(docs).collect() if r.id is not None}
+    assert got == brute_lines(rows)
+    clean = linededup.dedup_lines(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
     assert linededup.line_classes(docs.limit(0)).count() == 0
+
+
+def test_lines_of_repeated_and_missing_ids(spark):
+    rows = [(5, "first line here\nan own line"), (5, "second text here\nan own line"), (5, "second text here\nan own line"), (None, "second text here!"), (None, "only here, no id"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = sorted(((r.doc_id or 99), r.text) for r in linededup.dedup_lines(docs).where("text IS NOT NULL").collect())
+    one = clean[0][1], clean[1][1], clean[2][1]
+    assert sorted(one)[-1] in ("second text here", "second text here\nan own line") and sum("own" in x for x in set(one)) == 1
+    assert clean[3:] == [(99, ""), (99, "only here, no id")]
+
+
+def test_permuted_lines_stay_linear(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = {"record no " + "".join(rng.sample("0123456789", 10)) for _ in range(6000)} | {f"row {a}{b}" for a in "abcdefghij" for b in range(60)}
+    docs = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    sizes, own = {}, linededup.components
+    monkeypatch.setattr(linededup, "components", lambda links: sizes.update(n=links.count()) or own(links))
+    linededup.line_classes(docs).count()
+    assert sizes["n"] <= 4 * len(lines)
