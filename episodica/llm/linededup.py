@@ -148,7 +148,9 @@ WITH RECURSIVE l AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS no, x[k] AS line F
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS at, length(line) AS len FROM w GROUP BY line),
 h AS (SELECT *, m, unnest([('L' || left(line, m // 2)), ('R' || right(line, m - m // 2))]) AS half FROM (SELECT *, unnest([len, len - 1]) AS m FROM f)),
-e AS (SELECT DISTINCT a.at AS a, b.at AS b FROM h a JOIN h b ON a.half = b.half AND a.m = b.m AND a.at < b.at AND abs(a.len - b.len) <= 1 AND levenshtein(a.line, b.line) <= 1),
+q AS (SELECT DISTINCT a.at AS a, b.at AS b, a.line AS x, b.line AS y FROM h a JOIN h b ON a.half = b.half AND a.m = b.m AND a.at < b.at AND abs(a.len - b.len) <= 1),
+i AS (SELECT a, b, x, y, coalesce(list_min([i for i in range(1, least(length(x), length(y)) + 1) if substring(x, i, 1) <> substring(y, i, 1)]), least(length(x), length(y)) + 1) AS i FROM q),
+e AS (SELECT a, b FROM i WHERE substring(x, CASE WHEN length(x) >= length(y) THEN i + 1 ELSE i END) = substring(y, CASE WHEN length(y) >= length(x) THEN i + 1 ELSE i END)),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
 low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
