@@ -36,7 +36,9 @@ FEW = 500_000
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``at, line`` for each line that holds more than white space; ``at`` orders null ids last."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    # The text is hashed below the generator: above it, it would be once a line.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    rows = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return rows.where(F.btrim("line", F.lit(SPACES)) != "").select(F.struct(F.col("id").isNull().alias("none"), "id", "t", "no").alias("at"), "line")
 
 
@@ -48,6 +50,11 @@ def _halved(text: Column, m: Column, path: Column) -> list[Column]:
     return [left, right]
 
 
+def _paths(line: Column, n: Column) -> Column:
+    """The ``path`` of each of ``_tops``, without the rests."""
+    return F.array(*[F.xxhash64(F.lit(0), F.lit(side), m, half) for m in (n, n - 1) for side, half in (("L", F.left(line, F.floor(m / 2).cast("int"))), ("R", F.right(line, m - F.floor(m / 2).cast("int"))))])
+
+
 def _tops(line: Column, n: Column) -> Column:
     """Halves for partners as long or longer (m = n) and for those one shorter (m = n - 1)."""
     return F.array(*[half for m in (n, n - 1) for half in _halved(line, m, F.lit(0))])
@@ -77,7 +84,7 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
     n = F.length("line")
     lines = _lines(docs, id_col, text_col)
-    known = stash(lines.select(*h, "at", n.alias("n"), F.transform(_tops(F.col("line"), n), lambda k: k["path"]).alias("halves")), "lines")
+    known = stash(lines.select(*h, "at", n.alias("n"), _paths(F.col("line"), n).alias("halves")), "lines")
     keys = [F.get("halves", k).alias(f"k{k}") for k in range(4)]
     first = known.select("h1", "h2", "at", "n", *keys).groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.any_value(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")])
     first = stash(first, "line-classes")
