@@ -84,3 +84,9 @@ def fuzzy_distribution(pairs: DataFrame, *, key: list[str], sigma: Column, n_sam
     drawn = drawn.select(*key, *[(F.col(x) + F.col("sigma") * normal(j)).alias(x) for j, x in enumerate("abcd")])
     ends = [f(p, q) for p, q in (("a", "b"), ("c", "d")) for f in (F.least, F.greatest)]
     return drawn.groupBy(*key, allen_relation(*ends).alias("relation")).agg((F.count("*") / n_samples).alias("p"))
+
+
+def relation_confidence(pairs: DataFrame, relation: str, *, key: list[str], sigma: Column, n_samples: int = 1000, seed: int = 42) -> DataFrame:
+    """``key, p``: the share of draws with one relation, 0 where none has it (see :func:`fuzzy_distribution`)."""
+    p = F.max(F.when(F.col("relation") == relation, F.col("p")))
+    return fuzzy_distribution(pairs, key=key, sigma=sigma, n_samples=n_samples, seed=seed).groupBy(*key).agg(F.coalesce(p, F.lit(0.0)).alias("p"))

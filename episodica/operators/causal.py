@@ -99,6 +99,21 @@ class Graph:
     def dot(self) -> str:
         return "digraph {\n" + "".join(f'  "{a}" -> "{b}";\n' for a, b in sorted(self.edges)) + "}\n"
 
+    def gml(self) -> str:
+        names = {n: k for k, n in enumerate(sorted(self.nodes))}
+        lines = [f'  node [ id {k} label "{n}" ]' for n, k in names.items()]
+        lines += [f"  edge [ source {names[a]} target {names[b]} ]" for a, b in sorted(self.edges)]
+        return "\n".join(["graph [", "  directed 1", *lines, "]"]) + "\n"
+
+    def to_dict(self) -> dict:
+        return {"nodes": sorted(self.nodes), "edges": [list(e) for e in sorted(self.edges)]}
+
+    @classmethod
+    def from_dict(cls, declared: dict) -> Graph:
+        graph = cls([tuple(e) for e in declared.get("edges", [])])
+        graph.nodes |= set(declared.get("nodes", []))
+        return graph
+
 
 def do_backdoor(rows: DataFrame, x: str, y: Column, z: list[str]) -> DataFrame:
     """``x, p``: P(y | do(x)) = sum over z of P(y | x, z) P(z), from counts.
@@ -114,6 +129,41 @@ def do_backdoor(rows: DataFrame, x: str, y: Column, z: list[str]) -> DataFrame:
     return joined.groupBy(x).agg(F.sum(F.col("__n_y") / F.col("__n") * F.col("__n_z") / F.col("__n_all")).alias("p"))
 
 
+def do_monte_carlo(rows: DataFrame, x: str, y: Column, z: list[str], *, key: list[Column], n_samples: int = 10_000, seed: int = 0) -> DataFrame:
+    """``x, p``: the mean of P(y | x, z) over about ``n_samples`` rows, drawn by a hash of ``key``.
+
+    A drawn row brings its own z, so strata come up as often as they occur and need no further weight.
+    """
+    cells = rows.groupBy(x, *z).agg((F.count_if(y) / F.count("*")).alias("__p"))
+    u = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    total = rows.agg(F.count("*").alias("__total"))
+    drawn = rows.select(*z, u.alias("__u")).crossJoin(F.broadcast(total))  # one row
+    drawn = drawn.where(F.col("__u") * F.col("__total") < n_samples).groupBy(*z).agg(F.count("*").alias("__n"))
+    joined = cells.join(drawn, z) if z else cells.crossJoin(drawn)  # without z: one row
+    return joined.groupBy(x).agg((F.sum(F.col("__p") * F.col("__n")) / F.sum("__n")).alias("p"))
+
+
+#: Most values of one confounder in a grid of strata.
+DOMAIN = 1000
+
+
+def strata(rows: DataFrame, z: list[str]) -> DataFrame:
+    """All combinations of the values of ``z``, also those that no row has, with ``n`` rows each.
+
+    Confounders have few values; one with more than ``DOMAIN`` is refused before any are combined.
+    """
+    if not z:
+        return rows.agg(F.count("*").alias("n"))
+    sizes = rows.agg(*[F.countDistinct(c) for c in z]).first()
+    if max(sizes) > DOMAIN:
+        raise ValueError(f"{z[sizes.index(max(sizes))]} has more than {DOMAIN} values")
+    grid = rows.agg(*[F.collect_set(c).alias(c) for c in z])
+    for c in z:
+        grid = grid.withColumn(c, F.explode(c))
+    counts = rows.groupBy(*z).agg(F.count("*").alias("n"))
+    return grid.join(counts, z, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 #: Blocks of rows that a bootstrap draws from.
 BLOCKS = 4096
 

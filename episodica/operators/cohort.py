@@ -87,6 +87,37 @@ class Cohort:
             found = found.where(holds & (F.col("__n") > 0))
         return found.select("patient_id", "n_events")
 
+    def report(self, events: DataFrame, *, patients: DataFrame | None = None, max_patients: int | None = None) -> DataFrame:
+        """``patient_id, n_events, in_cohort`` for every patient of the universe.
+
+        The universe is ``patients`` or else those with an event of the type (all, if no type is named);
+        ``max_patients`` keeps the first by id. Patients without a match count 0.
+        """
+        hit, every = self.matches(), F.lit(True)
+        of_type = F.col("event_type") == self.event_type if self.event_type else every
+        rows = events.where(two_valued(of_type))
+        if patients is not None:
+            rows = rows.join(patients.select("patient_id").distinct(), "patient_id", "left_semi")
+        counted, holds = [F.count_if(hit).alias("n_events")], every
+        if self.aggregate:
+            fn, name, op, threshold = self.aggregate
+            make = {"max": F.max, "min": F.min, "count": F.count}.get(fn, F.avg)
+            counted += [make(F.when(hit, num(name))).cast("double").alias("__agg"), F.count(F.when(hit, num(name))).alias("__n")]
+            holds = two_valued(_OPS[op](F.col("__agg"), F.lit(float(threshold)))) if op in _OPS and op != "!=" else F.lit(False)
+            holds = holds & two_valued(F.col("__n") > 0)
+        found = rows.groupBy("patient_id").agg(*counted)
+        if patients is not None:
+            found = patients.select("patient_id").distinct().join(found, "patient_id", "left")
+        if max_patients is not None:
+            found = found.orderBy("patient_id").limit(max_patients)
+        n = F.coalesce("n_events", F.lit(0))
+        return found.select("patient_id", n.alias("n_events"), ((n >= self.min_count) & holds).alias("in_cohort"))
+
+
+def report_size(report: DataFrame) -> DataFrame:
+    """One row: cohort_size, total_patients and n_events of the universe."""
+    return report.agg(F.count_if("in_cohort").alias("cohort_size"), F.count("*").alias("total_patients"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("n_events"))
+
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("patient_id").intersect(b.select("patient_id"))

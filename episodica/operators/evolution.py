@@ -52,6 +52,37 @@ def migration_result(migrated: DataFrame) -> DataFrame:
     return migrated.agg(F.count_if(~F.col("rejected")).alias("migrated"), F.count_if("rejected").alias("rejected"))
 
 
+def run_migration(events: DataFrame, operations: list[tuple], from_version: str, to_version: str, *, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, log) after the migration of the events with ``version_id`` = ``from_version``.
+
+    Rejected events stay as they were, in their old version; the log has one row per event tried:
+    event_id, from_version, to_version, status. A dry run changes nothing but gives the same log.
+    """
+    of_version = F.coalesce(F.col("version_id") == from_version, F.lit(False))
+    tried = migrate(events.where(of_version), operations)
+    status = F.when(F.col("rejected"), "rejected").otherwise("migrated")
+    log = tried.select("event_id", F.lit(from_version).alias("from_version"), F.lit(to_version).alias("to_version"), status.alias("status"))
+    if dry_run:
+        return events, log
+    moved = migrate(events, operations).withColumn("__move", of_version & ~F.col("rejected"))
+    new = moved.where("__move").drop("rejected", "__move").withColumn("version_id", F.lit(to_version))
+    old = migrate(events, operations).withColumn("__stay", ~of_version | F.col("rejected")).where("__stay").select("event_id")
+    return new.unionByName(events.join(old, "event_id", "left_semi")), log
+
+
+def register(versions: list[dict], version: dict) -> list[dict]:
+    """Versions with ``version`` in place of one of the same id."""
+    return [*[v for v in versions if v["version_id"] != version["version_id"]], dict(version)]
+
+
+def current(versions: list[dict]) -> dict:
+    """The newest begun version without an end; an error if there is none."""
+    active = [v for v in versions if v["t_begin"] is not None and v["t_end"] is None]
+    if not active:
+        raise LookupError("no active version")
+    return max(active, key=lambda v: v["t_begin"])
+
+
 def compatibility(operations: list[tuple]) -> dict[str, bool]:
     """Backward: old events stay readable; forward: new events are readable by the old schema."""
     kinds = {op for op, *_ in operations}

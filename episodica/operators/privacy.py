@@ -105,3 +105,19 @@ def fingerprint(attributes: Column) -> Column:
 def safe_path(path: Column) -> Column:
     """The last part of a path."""
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def release_matches(matches: DataFrame, budget: Budget | None = None, epsilon: float | None = None, *, seed: int | None = None) -> tuple[float, DataFrame | None]:
+    """(size, ids) of a cohort; under a budget the size is noisy and the ids are withheld."""
+    if budget is None:
+        ids = matches.select("patient_id").distinct()
+        return float(ids.count()), ids
+    return dp_count(matches, budget, epsilon, seed=seed), None
+
+
+def simulate_federation(spark, *, institutions: int = 3, patients: int = 100, fraction: float = 0.3, epsilon: float = 1.0, noise: bool = True, seed: int = 0) -> DataFrame:
+    """Released counts of invented institutions, each with the whole part of ``fraction`` of its patients in the cohort."""
+    name = lambda c: F.concat(F.lit("institution_"), (F.col(c) + 1).cast("string"))
+    own = spark.range(institutions).select(name("id").alias("institution_id"), F.explode(F.sequence(F.lit(1), F.lit(patients))).alias("patient_id"))
+    budgets = spark.range(institutions).select(name("id").alias("institution_id"), F.lit(float(epsilon)).alias("epsilon"))
+    return federated_counts(own.where(F.col("patient_id") <= int(patients * fraction)), budgets, noise=noise, seed=seed)

@@ -104,10 +104,19 @@ def z_score(names: list[str]) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), sum((F.coalesce(z, F.lit(0.0)) for z in zs), F.lit(0.0)) / n / Z_SCALE)).otherwise(0.0)
 
 
-def detect_anomalies(events: DataFrame, *, ranges: dict = RANGES, threshold: float = 0.5) -> DataFrame:
-    """Events plus ref_score, z_score, score, anomaly, certainty: 0.7 reference range + 0.3 history."""
-    rows = events.withColumns({"ref_score": reference_score(ranges), "z_score": z_score(list(ranges))})
-    rows = rows.withColumn("score", REF_SHARE * F.col("ref_score") + (1 - REF_SHARE) * F.col("z_score"))
+def reasons(ranges: dict = RANGES) -> Column:
+    """The attributes outside their range, each with its value and the bounds, in the order of ``ranges``."""
+    far = [F.when((num(a) < lo) | (num(a) > hi), F.struct(F.lit(a).alias("attr"), num(a).alias("value"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))) for a, (lo, hi) in ranges.items()]
+    return F.array_compact(F.array(*far))
+
+
+def detect_anomalies(events: DataFrame, *, ranges: dict = RANGES, threshold: float = 0.5, calibration: tuple[float, float] | None = None) -> DataFrame:
+    """Events plus ref_score, z_score, score, anomaly, certainty and reasons: 0.7 reference range + 0.3 history.
+
+    With ``calibration`` (of :func:`fit_platt`) the score is calibrated before it meets the threshold.
+    """
+    rows = events.withColumns({"ref_score": reference_score(ranges), "z_score": z_score(list(ranges)), "reasons": reasons(ranges)})
+    rows = rows.withColumn("score", calibrate(REF_SHARE * F.col("ref_score") + (1 - REF_SHARE) * F.col("z_score"), calibration))
     return rows.withColumns({"anomaly": F.col("score") >= threshold, "certainty": 1 - F.abs(F.col("score") - threshold)})
 
 
@@ -127,6 +136,45 @@ def risk(events: DataFrame, *, weights: dict = WEIGHTS, diagnosis: str = "Diagno
     return rows.withColumn("level", F.when(F.col("score") > 0.6, "hoch").when(F.col("score") > 0.3, "mittel").otherwise("niedrig"))
 
 
+def risk_labels(events: DataFrame, *, weights: dict = WEIGHTS, diagnosis: str = "Diagnose") -> DataFrame:
+    """``event_id, label``: every event with the risk level of its patient, as :func:`learn_rules` takes them."""
+    levels = risk(events, weights=weights, diagnosis=diagnosis).select("patient_id", F.col("level").alias("label"))
+    return events.select("event_id", "patient_id").join(levels, "patient_id").select("event_id", "label")
+
+
+def extract_events(docs: DataFrame, *, key: str = "doc_id", text: str = "text", conditions: dict = CONDITIONS, values: dict = VALUES, diagnosis: str = "Diagnose") -> DataFrame:
+    """Events of what the texts say; the document is the patient and its entry time the start of all.
+
+    Without a column ``t_start`` all start at 1970, which leaves the order to the ids.
+    """
+    at = F.col("t_start") if "t_start" in docs.columns else F.lit("1970-01-01").cast("timestamp_ntz")
+    times = docs.select(key, at.alias("t_start"))
+    of = lambda mark, name, kind, number, texts: (F.concat_ws(":", F.col(key), F.lit(mark), name).alias("event_id"), F.col(key).cast("string").alias("patient_id"), kind.alias("event_type"), number.alias("num"), texts.alias("cat"), "confidence", key)
+    said = extract_conditions(docs, key=key, text=text, conditions=conditions)
+    said = said.select(*of("c", F.col("keyword"), F.lit(diagnosis), F.create_map().cast("map<string,double>"), F.create_map(F.lit("code"), "code", F.lit("label"), "label")))
+    read = extract_values(docs, key=key, text=text, values=values)
+    read = read.select(*of("v", F.col("attr"), F.col("event_type"), F.create_map("attr", "value"), F.create_map("attr", F.col("value").cast("string"))))
+    both = said.unionByName(read)
+    if "t_start" not in docs.columns:
+        return both.drop(key).withColumn("t_start", at)
+    return both.join(times, key).drop(key)
+
+
+def layers(docs: DataFrame, *, key: str = "doc_id", text: str = "text", conditions: dict = CONDITIONS, values: dict = VALUES, ranges: dict = RANGES, weights: dict = WEIGHTS, rules: list = (), c_min: float = 0.5, threshold: float = 0.5, diagnosis: str = "Diagnose") -> DataFrame:
+    """All layers over texts: extraction, validation, anomalies, risk and rules; one row per document with a finding.
+
+    ``patient_id, extracted, accepted, n_anomalies, risk_score, risk_level, prediction``. The layers after
+    the first see accepted events only; without any the rest is null. The rules judge a document's first event.
+    """
+    found = validate(extract_events(docs, key=key, text=text, conditions=conditions, values=values, diagnosis=diagnosis), c_min=c_min)
+    counts = found.groupBy("patient_id").agg(F.count("*").alias("extracted"), F.count_if("accepted").alias("accepted"))
+    kept = found.where("accepted")
+    scored = apply_rules(detect_anomalies(kept, ranges=ranges, threshold=threshold), list(rules))
+    scored = scored.groupBy("patient_id").agg(F.count_if("anomaly").alias("n_anomalies"), F.min_by("predicted", F.struct("t_start", "event_id")).alias("prediction"))
+    level = risk(kept, weights=weights, diagnosis=diagnosis).select("patient_id", F.col("score").alias("risk_score"), F.col("level").alias("risk_level"))
+    return counts.join(scored, "patient_id", "left").join(level, "patient_id", "left")
+
+
 def log_loss(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(1e-7)), F.lit(1 - 1e-7))
     return rows.agg(F.avg(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))).alias("loss"))

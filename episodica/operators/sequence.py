@@ -90,7 +90,20 @@ class Grammar:
 
 
 def _bracket(tree) -> str | None:
-    return None if tree is None else f"({tree[0]} {tree[1]})" if len(tree) == 2 and isinstance(tree[1], str) else f"({tree[0]} {_bracket(tree[1])} {_bracket(tree[2])})"
+    """A tree in brackets; a stack instead of recursion, as a long sequence gives a deep tree."""
+    if tree is None:
+        return None
+    out, todo = [], [tree]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif len(at) == 2:
+            out.append(f"({at[0]} {at[1]})")
+        else:
+            out.append(f"({at[0]} ")
+            todo += [")", at[2], " ", at[1]]
+    return "".join(out)
 
 
 def cyk(seqs: DataFrame, grammar: Grammar, *, beam: int | None = None) -> DataFrame:
@@ -110,23 +123,65 @@ def cyk(seqs: DataFrame, grammar: Grammar, *, beam: int | None = None) -> DataFr
 
 
 def extend_with_patterns(grammar: Grammar, patterns: list[tuple[str, ...]], prefix: str = "P_") -> Grammar:
-    """A grammar with one nonterminal per pattern, binarized to the right; terminals get pre-terminals."""
+    """A grammar in which each pattern of two or more symbols is a nonterminal of its own, used by the rules.
+
+    Patterns are binarized to the right, longest first; terminals get pre-terminals. Where a rule has a child
+    that derives the pattern, half of the rule's probability goes to the same rule with the pattern's
+    nonterminal in that place, so the language stays and parses show the pattern. If the start symbol itself
+    derives it, it takes over the pattern's production, as normal form has no rule of one nonterminal.
+    """
     rules = {k: list(v) for k, v in grammar.rules.items()}
+    chance = dict(grammar.probabilities)
+
+    def add(left: str, production: tuple[str, ...], p: float = 1.0) -> None:
+        if production not in rules.setdefault(left, []):
+            rules[left].append(production)
+            chance[left, production] = 0.0
+        chance[left, production] += p
 
     def symbol(x: str) -> str:
         if x in grammar.rules:
             return x
-        rules.setdefault(f"{prefix}T_{x}", [(x,)])
+        if f"{prefix}T_{x}" not in rules:
+            add(f"{prefix}T_{x}", (x,))
         return f"{prefix}T_{x}"
 
-    for k, pattern in enumerate(patterns):
-        parts, left = [symbol(x) for x in pattern], f"{prefix}{k}"
-        if len(parts) == 1:
-            rules[left] = list(rules[parts[0]])
+    for k, pattern in sorted(enumerate(patterns), key=lambda x: (-len(x[1]), x[0])):
+        if len(pattern) < 2:
             continue
-        for j in range(len(parts) - 2):
-            rest = f"{prefix}{k}_{j}"
-            rules[left] = [(parts[j], rest)]
-            left = rest
-        rules[left] = [(parts[-2], parts[-1])]
-    return Grammar(rules, grammar.start)
+        whole = f"{prefix}{k}"
+        fits = _deriving(grammar, pattern)
+        parts = [symbol(x) for x in pattern]
+        lefts = [whole, *(f"{whole}_{j}" for j in range(len(parts) - 2))]
+        for j, left in enumerate(lefts):
+            add(left, (parts[j], lefts[j + 1] if j + 1 < len(lefts) else parts[j + 1]))
+        for left, productions in grammar.rules.items():
+            for p in productions:
+                if len(p) < 2:
+                    continue
+                for at in (0, 1):
+                    if p[at] in fits and (half := chance[left, tuple(p)] / 2) > 0:
+                        chance[left, tuple(p)] -= half
+                        add(left, (whole, p[1]) if at == 0 else (p[0], whole), half)
+        if grammar.start in fits:
+            old = {p: chance[grammar.start, tuple(p)] for p in rules[grammar.start]}
+            for p, c in old.items():
+                chance[grammar.start, tuple(p)] = c / 2
+            add(grammar.start, rules[whole][0], sum(old.values()) / 2)
+    return Grammar(rules, grammar.start, chance)
+
+
+def _deriving(grammar: Grammar, pattern: tuple[str, ...]) -> set[str]:
+    """Nonterminals that derive exactly the symbols of ``pattern`` (terminals or nonterminals)."""
+    n = len(pattern)
+    cell = {(i, i + 1): {x} | {left for left, ps in grammar.rules.items() if (x,) in map(tuple, ps)} for i, x in enumerate(pattern)}
+    for span in range(2, n + 1):
+        for i in range(n - span + 1):
+            pairs = {(b, c) for k in range(i + 1, i + span) for b in cell[i, k] for c in cell[k, i + span]}
+            cell[i, i + span] = {left for left, ps in grammar.rules.items() if any(tuple(p) in pairs for p in ps)}
+    return cell[0, n]
+
+
+def pattern_types(patterns: DataFrame, parent: str) -> DataFrame:
+    """``name, parent``: mined patterns as types below ``parent``, to append to a type table."""
+    return patterns.select(F.concat(F.lit("P_"), F.array_join("pattern", "_")).alias("name"), F.lit(parent).alias("parent")).distinct()

@@ -23,7 +23,7 @@ INVERSE = {
 }
 
 
-def by_patient(events: DataFrame, patient_id: str, *, t_from=None, t_to=None, event_type: str | None = None, limit: int | None = None) -> DataFrame:
+def by_patient(events: DataFrame, patient_id: str, *, t_from=None, t_to=None, event_type: str | None = None, version_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Events of a patient by start; both bounds test the start, inclusively."""
     rows = events.where(F.col("patient_id") == patient_id)
     if t_from is not None:
@@ -32,10 +32,17 @@ def by_patient(events: DataFrame, patient_id: str, *, t_from=None, t_to=None, ev
         rows = rows.where(F.col("t_start") <= t_to)
     if event_type is not None:
         rows = rows.where(F.col("event_type") == event_type)
+    if version_id is not None:
+        rows = rows.where(F.col("version_id") == version_id)
     rows = rows.orderBy("t_start", "event_id")
     return rows if limit is None else rows.limit(limit)
 
 
+def append(new: DataFrame, path: str) -> None:
+    """Append ``new`` to the event table at ``path`` under fresh random ids."""
+    new.withColumn("event_id", F.expr("uuid()")).write.mode("append").parquet(path)
+
+
 def upsert(events: DataFrame, changes: DataFrame, *, refs: DataFrame | None = None, new_refs: DataFrame | None = None):
     """Insert or replace by event_id; a replaced event loses its old outgoing references.
 
@@ -104,17 +111,45 @@ def first_per_patient(events: DataFrame, n: int) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+_TIMES = ("t_start", "t_end", "stay_start", "stay_end")
+
+
 def to_json(events: DataFrame) -> DataFrame:
-    """``event_id, json`` with times as ISO text."""
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    body = F.struct("event_id", "patient_id", "event_type", iso("t_start").alias("t_start"), iso("t_end").alias("t_end"), F.col("num").alias("attributes"), "confidence")
-    return events.select("event_id", F.to_json(body).alias("json"))
+    """``event_id, json``: times as ISO text, numbers as numbers, other attributes as text, references as a map.
+
+    References come from a column ``references`` (:func:`with_references`); stays and text attributes are
+    written where the events have them.
+    """
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    have = events.columns
+    rest = [F.col("references")] if "references" in have else []
+    body = F.to_json(F.struct("event_id", "patient_id", "event_type", *[iso(c) for c in _TIMES if c in have], *rest, "confidence"))
+    inner = lambda m: F.nullif(F.regexp_extract(F.to_json(m), r"(?s)^\{(.*)\}$", 1), F.lit(""))
+    numbers = F.map_filter("num", lambda k, v: v.isNotNull())
+    parts = [inner(numbers)]
+    if "cat" in have:
+        parts.append(inner(F.map_filter("cat", lambda k, v: v.isNotNull() & F.col("num").getItem(k).isNull())))
+    attributes = F.concat(F.lit('"attributes":{'), F.concat_ws(",", *parts), F.lit("}}"))
+    return events.select("event_id", F.concat(F.regexp_replace(body, r"\}$", ","), attributes).alias("json"))
 
 
 def from_json(rows: DataFrame) -> DataFrame:
-    kind = "event_id string, patient_id string, event_type string, t_start string, t_end string, attributes map<string,double>, confidence double"
-    x = rows.select(F.from_json("json", kind).alias("x")).select("x.*")
-    return x.withColumns({c: F.to_timestamp_ntz(c, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")) for c in ("t_start", "t_end")}).withColumnRenamed("attributes", "num")
+    """Events from JSON with ``num``, ``cat``, ``references``; a text that reads as a number is in ``num`` too.
+
+    References may be a map or a list of ids (relation "references"). Without confidence it is 1, without
+    an id a random one is drawn; a text that is no object gives no row.
+    """
+    kind = "event_id string, patient_id string, event_type string, t_start string, t_end string, stay_start string, stay_end string, attributes map<string,string>, references string, confidence double"
+    x = rows.select(F.explode(F.array(F.from_json("json", kind))).alias("x")).select("x.*").where("patient_id IS NOT NULL")
+    listed = F.map_from_entries(F.transform(F.array_distinct(F.from_json("references", "array<string>")), lambda r: F.struct(r, F.lit("references"))))
+    references = F.when(F.ltrim("references").startswith("["), listed).otherwise(F.from_json("references", "map<string,string>"))
+    cat = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
+    number = F.map_filter(F.transform_values(cat, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+    return x.select(
+        F.coalesce("event_id", F.expr("uuid()")).alias("event_id"), "patient_id", "event_type",
+        *[F.col(c).try_cast("timestamp_ntz").alias(c) for c in _TIMES],
+        number.alias("num"), cat.alias("cat"), F.coalesce(references, F.create_map().cast("map<string,string>")).alias("references"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+    )
 
 
 def audit_query(audit: DataFrame, *, action=None, user=None, patient_hash=None, since=None, until=None, success=None, limit: int = 100) -> DataFrame:

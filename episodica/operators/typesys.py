@@ -6,6 +6,7 @@ type_attrs: type_name, attr, spec_type, lo, hi, values array<string>, required
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,7 @@ def from_dict(spark, declared: list[dict]) -> tuple[DataFrame, DataFrame]:
     edges, attrs = [], []
     for entry in declared:
         parents = entry.get("parents") or [entry.get("parent")]
-        edges += [(entry["name"], p) for p in parents]
+        edges += [(entry["name"], p) for p in parents or [None]]
         for name, spec in (entry.get("attributes") or {}).items():
             lo, hi = spec.get("range") or (None, None)
             attrs.append((entry["name"], name, spec.get("type", "any"), None if lo is None else float(lo), None if hi is None else float(hi), [str(v) for v in spec.get("values") or []] or None, bool(spec.get("required"))))
@@ -46,6 +47,52 @@ def from_dict(spark, declared: list[dict]) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(edges, "name string, parent string"), spark.createDataFrame(attrs, "type_name string, attr string, spec_type string, lo double, hi double, values array<string>, required boolean")
 
 
+def parents_of(types: DataFrame, name: str) -> DataFrame:
+    return types.where((F.col("name") == name) & F.col("parent").isNotNull()).select("parent").distinct()
+
+
+def children_of(types: DataFrame, name: str) -> DataFrame:
+    return types.where(F.col("parent") == name).select("name").distinct()
+
+
+def remove_type(types: DataFrame, name: str, *, top: str | None = None) -> DataFrame:
+    """Types without ``name``; children that had no other parent hang below ``top`` (null: become roots)."""
+    if top is not None and name == top:
+        raise ValueError("the root cannot be removed")
+    others = types.where(F.col("name") != name)
+    kept = others.where(F.col("parent").isNull() | (F.col("parent") != name))
+    orphans = others.where(F.col("parent") == name).select("name").distinct().join(kept.select("name"), "name", "left_anti")
+    return kept.unionByName(orphans.select("name", F.lit(top).cast("string").alias("parent")))
+
+
+def to_dict(types: DataFrame, type_attrs: DataFrame) -> list[dict]:
+    """The declared schema as entries that :func:`from_dict` reads; a schema is written by hand, so it is small."""
+    out = {r.name: {"name": r.name, "parents": sorted(r.parents)} for r in types.groupBy("name").agg(F.collect_set("parent").alias("parents")).collect()}
+    for r in type_attrs.orderBy("type_name", "attr").collect():
+        spec = {"type": r.spec_type, "required": r.required}
+        if r.lo is not None or r.hi is not None:
+            spec["range"] = [r.lo, r.hi]
+        if r["values"] is not None:
+            spec["values"] = list(r["values"])
+        out.setdefault(r.type_name, {"name": r.type_name, "parents": []}).setdefault("attributes", {})[r.attr] = spec
+    return [out[k] for k in sorted(out)]
+
+
+def to_text(types: DataFrame, type_attrs: DataFrame) -> str:
+    return json.dumps(to_dict(types, type_attrs), ensure_ascii=False, indent=2)
+
+
+def from_text(spark, text: str) -> tuple[DataFrame, DataFrame]:
+    """(types, type_attrs) of a schema in JSON, or in YAML where a reader for it is installed."""
+    try:
+        declared = json.loads(text)
+    except ValueError:
+        import yaml
+
+        declared = yaml.safe_load(text)
+    return from_dict(spark, declared)
+
+
 def closure(types: DataFrame) -> DataFrame:
     """``name, ancestor, depth``: reflexive transitive closure with the longest path as depth.
 

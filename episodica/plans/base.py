@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+import uuid
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a temporary folder; a cluster has none that would do.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="episodica-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 #: Point events.
 E = """(SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS patient_id, event_type, ts AS t_start, ts AS t_end,
   ts - INTERVAL 1 HOUR AS stay_start, ts + INTERVAL 1 HOUR AS stay_end, value, CAST(regexp_extract(props, ':\\s*(\\d+)', 1) AS DOUBLE) AS k FROM events)"""

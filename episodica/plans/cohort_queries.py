@@ -155,6 +155,24 @@ def frequent_patterns(spark, d):
     return rows.select(F.array_join("pattern", ">").alias("pattern"), "length", "n", r6("support").alias("support"))
 
 
+def pattern_types(spark, d):
+    rows = sequence.mine_patterns(sequence.sequences(point_events(spark, d)), min_length=2, max_length=4, min_support=0.2)
+    return sequence.pattern_types(rows, "Pattern")
+
+
+def _report(spark, d, **how):
+    rule = cohort.Cohort(event_type="purchase", vals=[("value", ">", 100)], min_count=3, aggregate=("mean", "value", ">", 250))
+    return rule.report(point_events(spark, d), **how)
+
+
+def cohort_report(spark, d):
+    return _report(spark, d)
+
+
+def cohort_report_size(spark, d):
+    return cohort.report_size(_report(spark, d, max_patients=100))
+
+
 def role_patterns(spark, d):
     """Patterns of speaker roles over whole conversations."""
     turns = spark.read.parquet(f"{d}/conversations.parquet")
@@ -219,6 +237,7 @@ def _patterns(seqs: str, low: int, high: int, support: float) -> str:
     return f"SELECT pattern, CAST(n AS INTEGER) AS length, count(*) AS n, round(count(*) / {total}, 6) AS support FROM {_grams(seqs, low, high)} g GROUP BY pattern, g.n HAVING count(*) >= {support} * {total} - 1e-9"
 
 
+_REPORT = f"SELECT patient_id, count(*) FILTER (value > 100) AS n_events, count(*) FILTER (value > 100) >= 3 AND coalesce(avg(value) FILTER (value > 100) > 250, false) AS in_cohort FROM {E} WHERE event_type = 'purchase' GROUP BY 1"
 SQL = {
     "cohort_purchase_mean": f"SELECT patient_id, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM {E} WHERE event_type = 'purchase' AND value > 50 GROUP BY 1 HAVING count(*) >= 3 AND avg(value) > 60",
     "cohort_predicates": f"SELECT patient_id, count(*) AS n_events FROM {E} WHERE (event_type IN ('click', 'view') AND k <= 40) OR NOT value <> 100 OR k = 7 GROUP BY 1",
@@ -248,6 +267,9 @@ SQL = {
       SELECT patient_id, context, coalesce(next_type, context) AS next_type, round(coalesce(p, 0.3), 6) AS confidence, round(coalesce(mean_gap_days, 30.0), 6) AS gap_days FROM l LEFT JOIN b USING (context)""",
     "sequences": f"SELECT patient_id, string_agg(event_type, ',' ORDER BY t_start, event_id) AS tokens FROM {E} GROUP BY 1",
     "frequent_patterns": _patterns(_SEQ, 2, 4, 0.2),
+    "pattern_types": f"SELECT 'P_' || replace(pattern, '>', '_') AS name, 'Pattern' AS parent FROM ({_patterns(_SEQ, 2, 4, 0.2)})",
+    "cohort_report": _REPORT,
+    "cohort_report_size": f"SELECT count(*) FILTER (in_cohort) AS cohort_size, count(*) AS total_patients, CAST(sum(n_events) AS BIGINT) AS n_events FROM (SELECT * FROM ({_REPORT}) ORDER BY patient_id LIMIT 100)",
     "role_patterns": _patterns(_ROLES, 2, 3, 0.05),
     "cyk_parse": f"SELECT id AS conv_id, regexp_full_match(array_to_string(s, ' ') || ' ', '(system )*(user assistant (system )*)*user assistant ') AS matches FROM {_ROLES}",
     "beam_parse": f"SELECT id AS conv_id, regexp_full_match(array_to_string(s, ' ') || ' ', '(system )*(user assistant (system )*)*user assistant ') AS matches FROM {_ROLES}",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import causal, evolution, explain, privacy, typesys
 from ..schema import attrs, point_events, table
+from ..sources import fhir
 from .base import E, r6
 
 
@@ -184,6 +185,52 @@ def version_asof(spark, d):
     return evolution.with_version(point_events(spark, d), VERSIONS).groupBy("version_id").agg(F.count("*").alias("n"))
 
 
+def migration_log(spark, d):
+    events = evolution.with_version(point_events(spark, d), VERSIONS)
+    return evolution.run_migration(events, OPERATIONS, "v2", "v3", dry_run=True)[1]
+
+
+def migration_run(spark, d):
+    events = evolution.run_migration(evolution.with_version(point_events(spark, d), VERSIONS), OPERATIONS, "v2", "v3")[0]
+    return events.groupBy("version_id", "event_type", F.col("cat").getItem("unit").alias("unit")).agg(F.count("*").alias("n"))
+
+
+def _first_type(spark, d):
+    return table(spark, d, "part").agg(F.min("p_type")).first()[0]
+
+
+def type_removal(spark, d):
+    return typesys.remove_type(_types(spark, d), _first_type(spark, d), top="ANY")
+
+
+def type_neighbours(spark, d):
+    name, types = _first_type(spark, d), _types(spark, d)
+    above = typesys.parents_of(types, name).select(F.lit("parent").alias("side"), F.col("parent").alias("name"))
+    return above.unionByName(typesys.children_of(types, name).select(F.lit("child").alias("side"), "name"))
+
+
+def nearest_resources(spark, d):
+    types = _types(spark, d)
+    name = F.col("name")
+    resource = F.when(name.startswith("PROMO"), "Procedure").when(name.startswith("STANDARD"), "Condition").when(name == "ANY", "Observation")
+    declared = types.select("name").union(types.select("parent")).distinct().withColumn("resource", resource)
+    return fhir.nearest_resource(typesys.closure(types), declared)
+
+
+def strata_grid(spark, d):
+    return causal.strata(table(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+def do_monte_carlo(spark, d):
+    rows = _orders(spark, d)
+    return causal.do_monte_carlo(rows, "x", F.col("y"), ["z"], key=[F.col("o_totalprice"), F.col("c_acctbal")]).select("x", r6("p").alias("p"))
+
+
+def federated_simulation(spark, d):
+    rows = privacy.simulate_federation(spark, institutions=4, patients=150, fraction=0.35, epsilon=2.0, noise=False)
+    return rows.select("institution_id", "n", "epsilon", "released", "level", r6("variance").alias("variance"))
+
+
 _T = "(SELECT DISTINCT p_brand AS name, p_type AS parent FROM part UNION SELECT DISTINCT p_type, 'ANY' FROM part)"
 _C = f"""(WITH RECURSIVE u(name, ancestor, depth) AS (SELECT name, name, 0 FROM (SELECT name FROM {_T} UNION SELECT parent FROM {_T})
   UNION ALL SELECT u.name, t.parent, u.depth + 1 FROM u JOIN {_T} t ON u.ancestor = t.name) SELECT name, ancestor, CAST(max(depth) AS INTEGER) AS depth FROM u GROUP BY ALL)"""
@@ -204,6 +251,9 @@ _CF = f"""(WITH e AS (SELECT * FROM (SELECT patient_id, event_id, row_number() O
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY r, i, j) AS q FROM s WHERE new_score <= score - 0.05) WHERE q = 1)"""
 _FED = """(SELECT n_name AS institution_id, count(DISTINCT c_custkey) AS n, 0.5 + n_nationkey / 4.0 AS epsilon FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey)"""
 
+_VERSION = "CASE WHEN t_start >= TIMESTAMP '2024-01-22' THEN 'v3' WHEN t_start >= TIMESTAMP '2024-01-12' AND t_start < TIMESTAMP '2024-01-20' THEN 'v2' WHEN t_start >= TIMESTAMP '2024-01-05' AND t_start < TIMESTAMP '2024-01-12' THEN 'v1' ELSE 'v3' END"
+_MOVED = f"(SELECT *, v = 'v2' AND event_type <> 'error' AS moved FROM (SELECT *, {_VERSION} AS v FROM {E}))"
+
 SQL = {
     "type_closure": f"SELECT name, ancestor, depth FROM {_C}",
     "type_depths": f"SELECT name, max(depth) AS depth FROM {_C} GROUP BY 1",
@@ -225,7 +275,16 @@ SQL = {
     "federated_total": f"SELECT count(*) AS institutions, CAST(sum(n) AS DOUBLE) AS total, round(sqrt(sum(2 / (epsilon * epsilon))), 6) AS std_error FROM {_FED}",
     "migrate_events": f"SELECT event_id, CASE event_type WHEN 'click' THEN 'tap' ELSE event_type END AS event_type, 'eur' AS unit, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS k FROM {E} WHERE event_type <> 'error'",
     "migration_result": "SELECT count(*) FILTER (event_type <> 'error') AS migrated, count(*) FILTER (event_type = 'error') AS rejected FROM events",
+    "migration_log": f"SELECT event_id, 'v2' AS from_version, 'v3' AS to_version, CASE WHEN moved THEN 'migrated' ELSE 'rejected' END AS status FROM {_MOVED} WHERE v = 'v2'",
+    "migration_run": f"SELECT CASE WHEN moved THEN 'v3' ELSE v END AS version_id, CASE WHEN moved AND event_type = 'click' THEN 'tap' ELSE event_type END AS event_type, CASE WHEN moved THEN 'eur' END AS unit, count(*) AS n FROM {_MOVED} GROUP BY ALL",
+    "type_removal": f"""WITH t AS {_T}, k AS (SELECT * FROM t WHERE name <> (SELECT min(p_type) FROM part) AND parent <> (SELECT min(p_type) FROM part))
+      SELECT * FROM k UNION ALL SELECT name, 'ANY' FROM t WHERE parent = (SELECT min(p_type) FROM part) AND name NOT IN (SELECT name FROM k)""",
+    "type_neighbours": f"SELECT 'parent' AS side, parent AS name FROM {_T} WHERE name = (SELECT min(p_type) FROM part) UNION ALL SELECT 'child', name FROM {_T} WHERE parent = (SELECT min(p_type) FROM part)",
+    "nearest_resources": f"""SELECT name AS event_type, resource FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY depth, ancestor) AS q FROM (SELECT name, ancestor, depth,
+      CASE WHEN starts_with(ancestor, 'PROMO') THEN 'Procedure' WHEN starts_with(ancestor, 'STANDARD') THEN 'Condition' WHEN ancestor = 'ANY' THEN 'Observation' END AS resource FROM {_C}) WHERE resource IS NOT NULL) WHERE q = 1""",
+    "strata_grid": """SELECT c_mktsegment, c_nationkey, count(c_custkey) AS n FROM (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT c_nationkey FROM customer)) LEFT JOIN customer USING (c_mktsegment, c_nationkey) GROUP BY ALL""",
+    "federated_simulation": "SELECT 'institution_' || (i + 1) AS institution_id, CAST(52 AS BIGINT) AS n, CAST(2.0 AS DOUBLE) AS epsilon, CAST(52 AS DOUBLE) AS released, 'moderat' AS level, CAST(0.5 AS DOUBLE) AS variance FROM range(4) r(i)",
     "version_asof": f"""SELECT CASE WHEN t_start >= TIMESTAMP '2024-01-22' THEN 'v3' WHEN t_start >= TIMESTAMP '2024-01-12' AND t_start < TIMESTAMP '2024-01-20' THEN 'v2'
       WHEN t_start >= TIMESTAMP '2024-01-05' AND t_start < TIMESTAMP '2024-01-12' THEN 'v1' ELSE 'v3' END AS version_id, count(*) AS n FROM {E} GROUP BY 1""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "pc_structure", "bootstrap_structure", "ate_refutation", "sufficient_explanations", "bounded_explanations", "federated_noisy", "dp_release"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "do_monte_carlo", "pc_structure", "bootstrap_structure", "ate_refutation", "sufficient_explanations", "bounded_explanations", "federated_noisy", "dp_release"]}

@@ -95,6 +95,32 @@ def text_pipeline(spark, d):
     return rows.groupBy("patient_id").agg(F.count("*").alias("n_events"), F.count_if("accepted").alias("n_accepted"), r6(F.max("confidence")).alias("best"))
 
 
+def anomaly_reasons(spark, d):
+    rows = scoring.detect_anomalies(point_events(spark, d), ranges=RANGES, threshold=0.25)
+    return rows.select("event_id", F.array_join(F.transform("reasons", lambda r: r["attr"]), ",").alias("outside"))
+
+
+def anomaly_calibrated(spark, d):
+    rows = scoring.detect_anomalies(point_events(spark, d), ranges=RANGES, threshold=0.5, calibration=(4.0, -1.0))
+    return rows.select("event_id", r6("score").alias("score"), r6("certainty").alias("certainty"))
+
+
+def risk_labels(spark, d):
+    return scoring.risk_labels(point_events(spark, d), weights=WEIGHTS, diagnosis="error")
+
+
+LAYERS = {
+    "ranges": {"token": (0.0, 5.0), "version": (1.0, 2.0)},
+    "weights": {"token": 0.02, "version": 0.1, "n_ereignisse": 0.3, "n_diagnosen": -0.2},
+    "rules": [{"attr": "token", "op": ">", "threshold": 3.0, "label": "many"}, {"attr": "version", "op": ">", "threshold": 1.5, "label": "new"}],
+}
+
+
+def layer_chain(spark, d):
+    rows = scoring.layers(table(spark, d, "documents"), conditions=KEYWORDS, values=NUMBERS, c_min=0.7, threshold=0.3, **LAYERS)
+    return rows.select("patient_id", "extracted", "accepted", "n_anomalies", F.round("risk_score", 3).alias("risk_score"), "risk_level", "prediction")
+
+
 _UNSURE = f"(SELECT *, 1 - k / 100 AS confidence, CASE WHEN k = 3 THEN NULL ELSE patient_id END AS pid FROM {E})"
 _KEYS = ", ".join(f"('{k}', '{a}', '{b}', {c}::DOUBLE)" for k, (a, b, c) in KEYWORDS.items())
 _Z = """CASE WHEN count({a}) OVER w >= 3 AND stddev_pop({a}) OVER w > 1e-6 THEN abs({a} - avg({a}) OVER w) / stddev_pop({a}) OVER w END"""
@@ -123,6 +149,17 @@ SQL = {
       SELECT label, attr, op, round(threshold, 6) AS threshold, round(n / na, 6) AS support, round(own / n, 6) AS confidence, round(own / n / (nl / na), 6) AS lift FROM g JOIN b USING (label)
       WHERE n / na >= 0.1 AND own / n >= 0.3""",
     "rule_predictions": f"SELECT CASE WHEN k > 60 THEN 'high' WHEN value <= 100 THEN 'low' ELSE 'none' END AS predicted, count(*) AS n FROM {E} GROUP BY 1",
+    "anomaly_reasons": f"SELECT event_id, concat_ws(',', CASE WHEN value < 50 OR value > 300 THEN 'value' END, CASE WHEN k < 10 OR k > 60 THEN 'k' END) AS outside FROM {E}",
+    "anomaly_calibrated": f"SELECT event_id, round(c, 6) AS score, round(1 - abs(c - 0.5), 6) AS certainty FROM (SELECT event_id, 1 / (1 + exp(-(4 * score - 1))) AS c FROM {_ANOMALY})",
+    "risk_labels": f"""SELECT event_id, CASE WHEN s > 0.6 THEN 'hoch' WHEN s > 0.3 THEN 'mittel' ELSE 'niedrig' END AS label FROM {E} JOIN (SELECT patient_id,
+      round(1 / (1 + exp(-(0.004 * avg(value) - 0.05 * avg(k) + 0.01 * count(*) - 0.02 * count(*) FILTER (event_type = 'error')))), 4) AS s FROM {E} GROUP BY 1) USING (patient_id)""",
+    "layer_chain": f"""WITH v AS (SELECT doc_id, event_type, attr, CAST(replace(raw, ',', '.') AS DOUBLE) AS x FROM ({_NUM}) WHERE raw <> ''),
+      e AS (SELECT CAST(doc_id AS VARCHAR) AS patient_id, concat_ws(':', doc_id, 'c', keyword) AS event_id, CAST(NULL AS DOUBLE) AS token, CAST(NULL AS DOUBLE) AS version, 1 AS diagnosis, confidence FROM documents, (VALUES {_KEYS}) k(keyword, label, code, confidence) WHERE contains(lower(text), keyword)
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), concat_ws(':', doc_id, 'v', attr), CASE attr WHEN 'token' THEN x END, CASE attr WHEN 'version' THEN x END, 0, 0.9 FROM v),
+      k AS (SELECT *, 0.7 * coalesce(least(1.0, greatest(-token, token - 5, 0) / 5), least(1.0, greatest(1 - version, version - 2, 0)), 0) AS score, CASE WHEN token > 3 THEN 'many' WHEN version > 1.5 THEN 'new' END AS label FROM e WHERE confidence >= 0.7),
+      a AS (SELECT patient_id, count(*) FILTER (score >= 0.3) AS n_anomalies, (array_agg(label ORDER BY event_id))[1] AS prediction, round(1 / (1 + exp(-(0.02 * coalesce(avg(token), 0) + 0.1 * coalesce(avg(version), 0) + 0.3 * count(*) - 0.2 * sum(diagnosis)))), 4) AS s FROM k GROUP BY 1)
+      SELECT patient_id, extracted, accepted, n_anomalies, round(s, 3) AS risk_score, CASE WHEN s > 0.6 THEN 'hoch' WHEN s > 0.3 THEN 'mittel' WHEN s IS NOT NULL THEN 'niedrig' END AS risk_level, prediction
+      FROM (SELECT patient_id, count(*) AS extracted, count(*) FILTER (confidence >= 0.7) AS accepted FROM e GROUP BY 1) LEFT JOIN a USING (patient_id)""",
     "log_loss": f"SELECT round(avg(-(quality * ln(q) + (1 - quality) * ln(1 - q))), 6) AS loss FROM (SELECT quality, least(greatest(p, 1e-7), 1 - 1e-7) AS q FROM {_SCORED})",
     "f1_loss": f"SELECT round(1 - 2.0 * tp / (2.0 * tp + fp + fn), 6) AS loss FROM (SELECT count(*) FILTER (p > 0.4 AND quality = 1) AS tp, count(*) FILTER (p > 0.4 AND quality <> 1) AS fp, count(*) FILTER (p <= 0.4 AND quality = 1) AS fn FROM {_SCORED})",
     "text_pipeline": f"SELECT CAST(doc_id AS VARCHAR) AS patient_id, count(*) AS n_events, count(*) FILTER (confidence >= 0.7) AS n_accepted, round(max(confidence), 6) AS best FROM documents, (VALUES {_KEYS}) v(keyword, label, code, confidence) WHERE contains(lower(text), keyword) GROUP BY 1",

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..schema import num, point_events, table
+from ..operators import store
+from ..schema import attrs, num, point_events, preceded_by, table, texts
 from ..sources import fhir, hl7
 from ..streaming import ingest
-from .base import E, r6
+from .base import E, P, r6, scratch
 
 _CODES = {"signup": "ADT^A01", "click": "ADT^A03", "view": "ORU^R01", "purchase": "ORU^R01", "error": "ADT^A99"}
 
@@ -65,6 +63,56 @@ def fhir_round_trip(spark, d):
     return back.select("event_id", "patient_id", "event_type", "t_start", "t_end", r6(num("value")).alias("value"), "confidence")
 
 
+_ROLES = {"signup": "Diagnose", "click": "Medikation", "view": "Beobachtung", "purchase": "Prozedur", "error": "Alarm"}
+
+
+def _clinical(spark, d):
+    """Point events of four kinds of resources, with texts, doses and references."""
+    events = point_events(spark, d)
+    rows = store.with_references(events, preceded_by(events))
+    kind = F.create_map(*[F.lit(x) for p in _ROLES.items() for x in p])[F.col("event_type")]
+    dose = F.col("event_type") == "click"
+    return rows.withColumns({
+        "event_type": kind,
+        "num": attrs(value=F.when(~dose, num("value")), dose=F.when(dose, num("value")), k=num("k")),
+        "cat": texts(value=F.when(~dose, num("value")), dose=F.when(dose, num("value")), k=num("k"), unit=F.lit("mg"), route=F.when(dose, "oral"), severity=F.when(F.col("event_type") == "signup", "mild"), note=F.concat(F.lit('a "quoted" \\ note '), "event_type")),
+    })
+
+
+def _readable(rows):
+    refs = F.array_join(F.transform(F.array_sort(F.map_entries("references")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    text = lambda a: F.col("cat").getItem(a).alias(a)
+    return rows.select("event_id", "patient_id", "event_type", "t_start", "t_end", "stay_start", "stay_end", r6(num("value")).alias("value"), r6(num("dose")).alias("dose"), num("k").cast("long").alias("k"), *map(text, ("unit", "route", "severity", "note")), refs.alias("refs"), "confidence")
+
+
+def fhir_clinical(spark, d):
+    """Events of four kinds to resources and back, with all attributes, stays and references."""
+    return _readable(fhir.from_resources(fhir.to_resources(_clinical(spark, d))))
+
+
+def fhir_clinical_bundles(spark, d):
+    events = _clinical(spark, d)
+    return _readable(fhir.from_bundles(fhir.to_bundles(fhir.to_resources(events), events)))
+
+
+def fhir_general(spark, d):
+    """Resources as other systems write them: foreign codes, plain times, components, one kind that is skipped."""
+    rows = table(spark, d, "events")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    head = F.concat(F.lit('"id":"r'), "event_id", F.lit('","subject":{"reference":"urn:uuid:'), "user_id", F.lit('"},'))
+    code = lambda c, t: F.lit(f'"code":{{"coding":[{{"system":"http://loinc.org","code":"{c}","display":"{t}"}}]}},')
+    part = F.concat(F.lit('"component":[{"code":{"coding":[{"code":"8480-6","display":"systolic"}]},"valueQuantity":{"value":'), F.col("value").cast("string"), F.lit("}}]}"))
+    body = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit('{"resourceType":"Observation",'), head, code("85354-9", "Pressure"), F.lit('"effectiveDateTime":"'), at, F.lit('+02:00",'), part))
+        .when(F.col("event_type") == "click", F.concat(F.lit('{"resourceType":"Procedure",'), head, F.lit('"code":{"text":"Biopsy"},"performedPeriod":{"start":"'), at, F.lit('Z","end":"'), at, F.lit('Z"},"reason":[{"reference":{"reference":"Condition/c1"}}]}')))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"resourceType":"Device",'), head, F.lit('"x":1}')))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"resourceType":"Condition",'), head, F.lit('"severity":{"coding":[{"code":"255604002"}]},"onsetDateTime":"'), at, F.lit('"}')))
+        .otherwise(F.lit("no json"))
+    )
+    found = fhir.from_resources(rows.select(body.alias("json")))
+    return found.select("event_id", "patient_id", "event_type", "t_start", "t_end", r6(num("systolic")).alias("systolic"), F.col("cat").getItem("severity").alias("severity"), F.col("references").getItem("c1").alias("c1"))
+
+
 def fhir_bundles(spark, d):
     events = point_events(spark, d)
     bundles = fhir.to_bundles(fhir.to_resources(events), events)
@@ -94,10 +142,9 @@ def bundle_import(spark, d):
 
 def stream_ingest(spark, d):
     """Messages through a file stream: events of the good ones, dead letters for the rest, counted by type."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="episodica-stream-")
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     bad = F.when(F.col("event_id") == 0, F.lit("MSH|bad\r")).otherwise(F.lit(""))
-    _messages(spark, d).select(F.concat("raw", bad).alias("value")).coalesce(8).write.text(f"{base}/in", lineSep="\r")
+    _messages(spark, d).select(F.concat("raw", bad).alias("value")).write.option("maxRecordsPerFile", 50_000).text(f"{base}/in", lineSep="\r")
     query = ingest.ingest(ingest.message_stream(spark, f"{base}/in"), events_path=f"{base}/events", dead_path=f"{base}/dead", checkpoint=f"{base}/checkpoint")
     query.awaitTermination()
     found = spark.read.parquet(f"{base}/events").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -106,10 +153,19 @@ def stream_ingest(spark, d):
 
 
 def _out(stream, columns, mode="append"):
-    """All rows that a bounded stream gives."""
-    name = f"s{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name).select(*columns)
+    """All rows that a bounded stream gives, by way of Parquet in the shared folder.
+
+    In complete mode every batch replaces the one before it.
+    """
+    spark = stream.sparkSession
+    base = scratch(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start()
+    else:
+        query = writer.format("parquet").start(f"{base}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(*columns)
 
 
 def _event_stream(spark, d):
@@ -132,6 +188,9 @@ def stream_z(spark, d):
 _AT = "date_trunc('second', ts)"
 _KIND = "CASE event_type WHEN 'signup' THEN 'ADT^A01' WHEN 'click' THEN 'ADT^A03' WHEN 'error' THEN 'ADT^A99' ELSE 'ORU^R01' END"
 _NAME = "CASE event_type WHEN 'signup' THEN 'Aufnahme' WHEN 'click' THEN 'Entlassung' WHEN 'error' THEN 'HL7_ADT_A99' WHEN 'view' THEN 'Herzfrequenz' ELSE 'HL7_ORU_R01' END"
+_CLINICAL = f"""SELECT e.event_id, patient_id, CASE event_type WHEN 'signup' THEN 'Diagnose' WHEN 'click' THEN 'Medikation' WHEN 'view' THEN 'Beobachtung' WHEN 'purchase' THEN 'Prozedur' ELSE 'Alarm' END AS event_type, t_start, t_end, stay_start, stay_end,
+  CASE WHEN event_type <> 'click' THEN round(value, 6) END AS value, CASE event_type WHEN 'click' THEN round(value, 6) END AS dose, CAST(k AS BIGINT) AS k, 'mg' AS unit, CASE event_type WHEN 'click' THEN 'oral' END AS route,
+  CASE event_type WHEN 'signup' THEN 'mild' END AS severity, 'a "quoted" \\ note ' || event_type AS note, coalesce(ref_id || '=preceded_by', '') AS refs, CAST(1.0 AS DOUBLE) AS confidence FROM {E} e LEFT JOIN {P} p ON e.event_id = p.event_id"""
 SQL = {
     "hl7_segments": f"SELECT 'M' || event_id AS control_id, 'MSH,EVN,PID' || CASE event_type WHEN 'click' THEN ',DG1' WHEN 'signup' THEN ',PV1' WHEN 'error' THEN '' ELSE ',OBX' END AS segments, {_KIND} AS kind FROM events",
     "hl7_events": f"""SELECT 'M' || event_id AS control_id, 'P' || user_id AS patient_id, {_NAME} AS event_type, {_AT} AS t_start,
@@ -147,6 +206,10 @@ SQL = {
       ('202401', TIMESTAMP '2024-01-01'), ('2024', TIMESTAMP '2024-01-01'), ('', NULL), ('x', NULL), ('20241301', NULL)) v(raw, t)""",
     "fhir_round_trip": f"SELECT event_id, patient_id, event_type, t_start, t_end, round(value, 6) AS value, CAST(1.0 AS DOUBLE) AS confidence FROM {E}",
     "fhir_bundles": f"SELECT patient_id, CAST(count(*) AS INTEGER) AS entries FROM {E} GROUP BY 1",
+    "fhir_clinical": _CLINICAL,
+    "fhir_clinical_bundles": _CLINICAL,
+    "fhir_general": """SELECT 'r' || event_id AS event_id, CAST(user_id AS VARCHAR) AS patient_id, CASE event_type WHEN 'view' THEN 'Pressure' WHEN 'click' THEN 'Biopsy' ELSE 'Condition' END AS event_type, date_trunc('second', ts) AS t_start, date_trunc('second', ts) AS t_end,
+      CASE event_type WHEN 'view' THEN round(value, 6) END AS systolic, CASE event_type WHEN 'purchase' THEN '255604002' END AS severity, CASE event_type WHEN 'click' THEN 'response_to' END AS c1 FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
     "bundle_import": f"""WITH u AS (SELECT user_id, {_AT.replace('ts', 'min(ts)')} AS b, {_AT.replace('ts', 'max(ts)')} AS e FROM events GROUP BY 1)
       SELECT 'o' || event_id AS event_id, 'P' || user_id AS patient_id, CASE event_type WHEN 'view' THEN 'Herzfrequenz' WHEN 'click' THEN 'Körpergewicht' ELSE 'FHIR_Observation' END AS event_type, {_AT} AS t_start,
         CASE WHEN value > 250 THEN b ELSE {_AT} - INTERVAL 1 HOUR END AS stay_start, CASE WHEN value > 250 THEN e ELSE {_AT} + INTERVAL 1 HOUR END AS stay_end, round(value, 6) AS value,

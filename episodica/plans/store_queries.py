@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import privacy, store
+from ..operators import audit, privacy, store
 from ..schema import interval_events, num, part_of, point_events, preceded_by
 from .base import E, I, P, flat, r6
 
@@ -133,6 +133,22 @@ def audit_query(spark, d):
     return store.audit_query(_audit(spark, d), action="error", success=False, since=_ntz("2024-01-05 00:00:00"), limit=200)
 
 
+def audit_entries(spark, d):
+    rows = point_events(spark, d).select(F.col("event_type").alias("action"), F.col("event_id").alias("resource_id"), F.when(F.col("event_type") != "error", F.col("patient_id")).alias("patient_id"), (num("value") >= 50).alias("success"))
+    return audit.entries(rows, "salt").select("action", "user", "resource_id", "patient_hash", "success")
+
+
+def audit_count(spark, d):
+    return audit.count(_audit(spark, d))
+
+
+def json_full_round_trip(spark, d):
+    """Stays, text attributes and references of interval events through JSON."""
+    back = store.from_json(store.to_json(store.with_references(interval_events(spark, d), part_of(spark, d))))
+    refs = F.array_join(F.transform(F.map_entries("references"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return back.select("event_id", "patient_id", "event_type", "t_start", "t_end", "stay_start", "stay_end", r6(num("quantity")).alias("quantity"), F.col("cat").getItem("flag").alias("flag"), refs.alias("refs"))
+
+
 def pseudonyms(spark, d):
     rows = point_events(spark, d).select("patient_id").distinct()
     return rows.select("patient_id", privacy.pseudonym(F.col("patient_id"), "salt").alias("pseudonym"))
@@ -168,6 +184,9 @@ SQL = {
     "refs_by_relation": f"SELECT relation, count(*) AS n, count(DISTINCT ref_id) AS targets FROM (SELECT ref_id, relation FROM {P} UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'part_of' FROM lineitem) GROUP BY 1",
     "json_round_trip": f"SELECT event_id, patient_id, event_type, t_start, round(value, 6) AS value, CAST(k AS BIGINT) AS k FROM {E}",
     "audit_query": f"SELECT CAST(event_id AS BIGINT) AS audit_id, t_start AS timestamp, event_type AS action, 'p#' || left(sha256('salt' || patient_id), 8) AS patient_hash, value >= 50 AS success FROM {E} WHERE event_type = 'error' AND value < 50 AND t_start >= {_DAY} ORDER BY audit_id DESC LIMIT 200",
+    "audit_entries": f"SELECT event_type AS action, CAST(NULL AS VARCHAR) AS user, event_id AS resource_id, CASE WHEN event_type <> 'error' THEN 'p#' || left(sha256('salt' || patient_id), 8) END AS patient_hash, value >= 50 AS success FROM {E}",
+    "audit_count": "SELECT count(*) AS n FROM events",
+    "json_full_round_trip": f"SELECT event_id, patient_id, event_type, CAST(t_start AS TIMESTAMP) AS t_start, CAST(t_end AS TIMESTAMP) AS t_end, CAST(stay_start AS TIMESTAMP) AS stay_start, CAST(stay_end AS TIMESTAMP) AS stay_end, round(quantity, 6) AS quantity, flag, split_part(event_id, '-', 1) || '=part_of' AS refs FROM {I}",
     "pseudonyms": f"SELECT DISTINCT patient_id, 'p#' || left(sha256('salt' || patient_id), 8) AS pseudonym FROM {E}",
     "fingerprints": f"SELECT 'discount,price,quantity' AS names, event_type AS last, count(*) AS n FROM {I} GROUP BY ALL",
 }

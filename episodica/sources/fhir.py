@@ -47,23 +47,88 @@ def _iso(t: str) -> Column:
     return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def to_resources(events: DataFrame) -> DataFrame:
-    """``event_id, resource_type, json``: one resource per event; attributes go into an extension."""
-    kind = resource_type(F.col("event_type"))
-    ref = lambda c: F.struct(F.concat(F.lit("Patient/"), c).alias("reference"))
-    when = lambda k, c: F.when(kind == k, c)
+def nearest_resource(closed: DataFrame, declared: DataFrame) -> DataFrame:
+    """``event_type, resource``: what a type or else its nearest ancestor declares (``name, resource``)."""
+    above = closed.join(declared.where("resource IS NOT NULL").select(F.col("name").alias("ancestor"), "resource"), "ancestor")
+    return above.groupBy(F.col("name").alias("event_type")).agg(F.min_by("resource", F.struct("depth", "ancestor")).alias("resource"))
+
+
+#: Own code system, and own extensions for what the resources have no field for.
+SYSTEM, URL = "urn:episodica:type", "urn:episodica:"
+_QUANTITY = "struct<value:double,unit:string,code:string>"
+_LINK = "struct<reference:string,extension:array<struct<url:string,valueString:string>>>"
+#: The parts of the four resources that become events.
+SINGLE = (
+    f"resourceType string, id string, subject {_REF}, patient {_REF}, code {_CONCEPT}, medication struct<concept:{_CONCEPT}>, medicationCodeableConcept {_CONCEPT}, severity {_CONCEPT}, "
+    f"dosage struct<dose:{_QUANTITY},route:{_CONCEPT}>, effectiveDateTime string, onsetDateTime string, occurrenceDateTime string, performedDateTime string, recordedDate string, issued string, "
+    f"effectivePeriod {_PERIOD}, onsetPeriod {_PERIOD}, occurrencePeriod {_PERIOD}, occurencePeriod {_PERIOD}, performedPeriod {_PERIOD}, valueQuantity {_QUANTITY}, valueString string, valueBoolean boolean, "
+    f"valueCodeableConcept {_CONCEPT}, component array<struct<code:{_CONCEPT},valueQuantity:{_QUANTITY}>>, derivedFrom array<{_LINK}>, evidence array<struct<reference:{_LINK}>>, reason array<struct<reference:{_LINK}>>, "
+    f"extension array<struct<url:string,valueString:string,valueDecimal:double,valuePeriod:{_PERIOD}>>"
+)
+#: What a reference means where the resource does not say.
+MEANS = {"Observation": "observation_of", "Condition": "confirms"}
+
+
+def to_resources(events: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """``event_id, resource_type, json``: one resource per event.
+
+    ``resources`` (see :func:`nearest_resource`) names the resource of some types; the others go by hints in
+    their names. Value, unit, dose, route and severity have fields of their own, other numbers of an
+    observation are components; stay, confidence and the rest are extensions. References (a map column
+    ``references``) become links with their relation.
+    """
+    have = set(events.columns)
+    if resources is not None:
+        events = events.join(resources.select("event_type", F.col("resource").alias("__resource")), "event_type", "left")
+    kind = resource_type(F.col("event_type")) if resources is None else F.coalesce("__resource", resource_type(F.col("event_type")))
+    is_a = lambda *names: kind.isin(*names)
+    when = lambda name, c: F.when(kind == name, c)
+    concept = lambda c: F.struct(F.array(F.struct(F.lit(SYSTEM).alias("system"), c.alias("code"), c.alias("display"))).alias("coding"), c.alias("text"))
+    number, no_text = lambda a: F.col("num").getItem(a), F.lit(None).cast("string")
+    text = lambda a: F.col("cat").getItem(a) if "cat" in have else no_text
+    quantity = lambda c: F.struct(c.alias("value"), text("unit").alias("unit"))
+
+    def extension(name, string=None, decimal=None, period=None):
+        empty = F.lit(None).cast(_PERIOD)
+        return F.struct(F.concat(F.lit(URL), name).alias("url"), (no_text if string is None else string).alias("valueString"), (F.lit(None).cast("double") if decimal is None else decimal).alias("valueDecimal"), (empty if period is None else period).alias("valuePeriod"))
+
     period = F.struct(_iso("t_start").alias("start"), _iso("t_end").alias("end"))
+    extra = [F.array(extension(F.lit("confidence"), decimal=F.col("confidence").cast("double")))]
+    if {"stay_start", "stay_end"} <= have:
+        extra.append(F.array(extension(F.lit("stay"), period=F.struct(_iso("stay_start").alias("start"), _iso("stay_end").alias("end")))))
+    others = F.map_filter("num", lambda k, v: v.isNotNull() & ~(is_a("Observation") | (is_a("MedicationAdministration") & (k == "dose"))))
+    extra.append(F.transform(F.map_entries(others), lambda e: extension(F.concat(F.lit("number:"), e["key"]), decimal=e["value"])))
+    if "cat" in have:
+        own = (is_a("Observation") & number("value").isNotNull() | is_a("MedicationAdministration") & number("dose").isNotNull(), "unit"), (is_a("MedicationAdministration") & number("dose").isNotNull(), "route"), (is_a("Condition"), "severity")
+        placed = lambda k: F.coalesce((own[0][0] & (k == "unit")) | (own[1][0] & (k == "route")) | (own[2][0] & (k == "severity")), F.lit(False))
+        left = F.map_filter("cat", lambda k, v: v.isNotNull() & F.col("num").getItem(k).isNull() & ~placed(k))
+        extra.append(F.transform(F.map_entries(left), lambda e: extension(F.concat(F.lit("text:"), e["key"]), string=e["value"])))
+    components = F.filter(F.map_entries("num"), lambda e: (e["key"] != "value") & e["value"].isNotNull())
+    components = F.transform(components, lambda e: F.struct(concept(e["key"]).alias("code"), F.struct(e["value"].alias("value")).alias("valueQuantity")))
+    links = []
+    if "references" in have:
+        link = lambda e: F.struct(F.concat(F.lit("Event/"), e["key"]).alias("reference"), F.array(F.struct(F.lit(f"{URL}relation").alias("url"), e["value"].alias("valueString"))).alias("extension"))
+        named = F.transform(F.map_entries("references"), link)
+        named = F.when(F.size(named) > 0, named)
+        wrapped = F.transform(named, lambda x: F.struct(x.alias("reference")))
+        links = [when("Observation", named).alias("derivedFrom"), when("Condition", wrapped).alias("evidence"), F.when(~is_a("Observation", "Condition"), wrapped).alias("reason")]
+    one = lambda c: F.when(c.isNotNull(), F.struct(F.array(F.struct(c.alias("code"))).alias("coding")))
     body = F.struct(
         kind.alias("resourceType"),
         F.col("event_id").alias("id"),
-        ref(F.col("patient_id")).alias("subject"),
-        F.struct(F.array(F.struct(F.col("event_type").alias("code"), F.col("event_type").alias("display"))).alias("coding"), F.col("event_type").alias("text")).alias("code"),
-        when("Observation", _iso("t_start")).alias("effectiveDateTime"),
+        F.when(~is_a("Condition"), F.when(is_a("Observation"), "final").otherwise("completed")).alias("status"),
+        F.struct(F.concat(F.lit("Patient/"), "patient_id").alias("reference")).alias("subject"),
+        F.when(~is_a("MedicationAdministration"), concept(F.col("event_type"))).alias("code"),
+        when("MedicationAdministration", F.struct(concept(F.col("event_type")).alias("concept"))).alias("medication"),
+        when("Condition", one(text("severity"))).alias("severity"),
+        F.when(is_a("MedicationAdministration") & number("dose").isNotNull(), F.struct(quantity(number("dose")).alias("dose"), one(text("route")).alias("route"))).alias("dosage"),
         when("Condition", _iso("t_start")).alias("onsetDateTime"),
-        when("MedicationAdministration", period).alias("effectivePeriod"),
-        when("Procedure", period).alias("performedPeriod"),
-        when("Observation", F.struct(F.col("num").getItem("value").alias("value"))).alias("valueQuantity"),
-        F.struct(F.col("num").alias("num"), F.col("confidence").alias("confidence"), _iso("t_end").alias("t_end")).alias("extension"),
+        when("Observation", period).alias("effectivePeriod"),
+        F.when(is_a("MedicationAdministration", "Procedure"), period).alias("occurrencePeriod"),
+        F.when(is_a("Observation") & number("value").isNotNull(), quantity(number("value"))).alias("valueQuantity"),
+        F.when(is_a("Observation") & (F.size(components) > 0), components).alias("component"),
+        *links,
+        F.concat(*extra).alias("extension"),
     )
     return events.select("event_id", kind.alias("resource_type"), F.to_json(body).alias("json"))
 
@@ -73,20 +138,71 @@ def _time(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")).cast("timestamp_ntz")
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Entries (key, value) without those that a later one of the same key replaces, or without a key or value."""
+    known = F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    return F.get(F.transform(F.array(known), lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["key"] == e["key"])))), F.lit(0))
+
+
 def from_resources(rows: DataFrame) -> DataFrame:
-    """Events from resource JSON; rows that are no resource are dropped."""
-    kind = "resourceType string, id string, subject struct<reference:string>, code struct<text:string>, effectiveDateTime string, onsetDateTime string, effectivePeriod struct<start:string,end:string>, performedPeriod struct<start:string,end:string>, extension struct<num:map<string,double>,confidence:double,t_end:string>"
-    x = rows.select(F.from_json("json", kind).alias("x")).select("x.*").where("resourceType IS NOT NULL AND id IS NOT NULL")
-    start = F.coalesce("effectiveDateTime", "onsetDateTime", "effectivePeriod.start", "performedPeriod.start")
-    return x.select(
+    """Events from the JSON of observations, conditions, procedures and medication administrations.
+
+    The type is the code of the own system, else the first display or code, else the resource's name. What is
+    no such resource, or has no patient, gives no row. A condition ends at its onset; an own period gives both
+    ends, and without a stay the event is its own stay.
+    """
+    # The generator keeps the parse out of the expressions below, which would repeat it.
+    x = rows.select(F.explode(F.array(F.from_json("json", SINGLE))).alias("x")).select("x.*")
+    x = x.where(F.col("resourceType").isin("Observation", "Condition", "Procedure", "MedicationAdministration") & F.col("id").isNotNull())
+    code = F.coalesce("code", "medication.concept", "medicationCodeableConcept")
+    first = F.get(code["coding"], F.lit(0))
+    own = F.get(F.filter(code["coding"], lambda c: c["system"] == SYSTEM), F.lit(0))["code"]
+    start = F.coalesce("effectivePeriod.start", "onsetPeriod.start", "occurrencePeriod.start", "occurencePeriod.start", "performedPeriod.start", "effectiveDateTime", "onsetDateTime", "occurrenceDateTime", "performedDateTime", "issued", "recordedDate")
+    end = F.coalesce("effectivePeriod.end", "onsetPeriod.end", "occurrencePeriod.end", "occurencePeriod.end", "performedPeriod.end", start)
+    named = lambda mark: F.filter(F.coalesce("extension", F.array().cast(x.schema["extension"].dataType)), lambda e: e["url"].startswith(URL + mark))
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    after = lambda e, mark: F.substring(e["url"], len(URL + mark) + 1, 10_000)
+    part = lambda c: F.coalesce(F.get(F.filter(c["code"]["coding"], lambda k: k["system"] == SYSTEM), F.lit(0))["code"], F.get(c["code"]["coding"], F.lit(0))["display"], F.get(c["code"]["coding"], F.lit(0))["code"], c["code"]["text"])
+    parts = F.transform("component", lambda c: entry(part(c), c["valueQuantity"]["value"]))
+    numbers = F.concat(
+        F.array(entry(F.lit("value"), F.col("valueQuantity.value")), entry(F.lit("dose"), F.col("dosage.dose.value"))),
+        F.coalesce(parts, F.array().cast("array<struct<key:string,value:double>>")),
+        F.transform(named("number:"), lambda e: entry(after(e, "number:"), e["valueDecimal"])),
+    )
+    told = F.coalesce(F.get("valueCodeableConcept.coding", F.lit(0))["display"], "valueString", F.col("valueBoolean").cast("string"))
+    unit = F.coalesce("valueQuantity.unit", "valueQuantity.code", "dosage.dose.unit")
+    texts = F.concat(
+        F.array(entry(F.lit("value"), told), entry(F.lit("unit"), unit), entry(F.lit("route"), F.get("dosage.route.coding", F.lit(0))["code"]), entry(F.lit("severity"), F.get("severity.coding", F.lit(0))["code"])),
+        F.transform(named("text:"), lambda e: entry(after(e, "text:"), e["valueString"])),
+    )
+    links = F.coalesce("derivedFrom", F.transform("evidence", lambda r: r["reference"]), F.transform("reason", lambda r: r["reference"]))
+    meant = F.coalesce(*[F.when(F.col("resourceType") == k, v) for k, v in MEANS.items()], F.lit("response_to"))
+    told_by = lambda r: F.get(F.filter(r["extension"], lambda e: e["url"] == f"{URL}relation"), F.lit(0))["valueString"]
+    links = F.transform(links, lambda r: entry(F.element_at(F.split(r["reference"], "/", 2), -1), F.coalesce(told_by(r), meant)))
+    stay = F.get(named("stay"), F.lit(0))["valuePeriod"]
+    found = x.select(
         F.col("id").alias("event_id"),
-        F.regexp_replace("subject.reference", "^Patient/", "").alias("patient_id"),
-        F.col("code.text").alias("event_type"),
+        F.regexp_replace(F.coalesce("subject.reference", "patient.reference"), "^(Patient/|urn:uuid:)", "").alias("patient_id"),
+        F.coalesce(own, first["display"], first["code"], code["text"], "resourceType").alias("event_type"),
         _time(start).alias("t_start"),
-        _time(F.coalesce("extension.t_end", start)).alias("t_end"),
-        F.col("extension.num").alias("num"),
-        F.col("extension.confidence").alias("confidence"),
+        _time(end).alias("t_end"),
+        F.coalesce(_time(stay["start"]), _time(start)).alias("stay_start"),
+        F.coalesce(_time(stay["end"]), _time(end)).alias("stay_end"),
+        _last_of_each(numbers).alias("num"),
+        _last_of_each(texts).alias("texts"),
+        F.coalesce(_last_of_each(links), F.create_map().cast("map<string,string>")).alias("references"),
+        F.coalesce(F.get(named("confidence"), F.lit(0))["valueDecimal"], F.lit(1.0)).alias("confidence"),
     )
+    # Every attribute as text: the numbers, and the texts that are no number's name.
+    plain = F.map_filter("texts", lambda k, v: F.col("num").getItem(k).isNull())
+    cat = F.map_concat(F.transform_values("num", lambda k, v: v.cast("string")), plain)
+    return found.where("patient_id IS NOT NULL").withColumn("cat", cat).drop("texts")
+
+
+def from_bundles(bundles: DataFrame) -> DataFrame:
+    """Events of all entries of the bundles that :func:`from_resources` reads; others are skipped."""
+    entries = F.from_json("bundle", "entry array<struct<resource:string>>")["entry"]
+    return from_resources(bundles.select(F.explode(entries).alias("x")).select(F.col("x.resource").alias("json")))
 
 
 def to_bundles(resources: DataFrame, by: DataFrame) -> DataFrame:
@@ -123,6 +239,7 @@ def import_bundles(bundles: DataFrame, *, code_map: dict | None = None, include_
         F.col("id").alias("event_id"), "patient_id", _lookup(coding, F.col("resourceType"), code_map).alias("event_type"), at.alias("t_start"), at.alias("t_end"),
         F.coalesce("stay_start", at - hour).alias("stay_start"), F.coalesce("stay_end", at + hour).alias("stay_end"),
         F.col("valueQuantity.value").alias("value"), F.col("valueQuantity.unit").alias("unit"), text.alias("text"), coding["code"].alias("code"), coding["display"].alias("display"), "status",
+        F.coalesce(F.get("severity.coding", F.lit(0))["display"], "severity.text").alias("severity"),
     )
     if include_encounters:
         first = F.get(F.flatten(F.transform("type", lambda t: t["coding"])), F.lit(0))
@@ -131,7 +248,7 @@ def import_bundles(bundles: DataFrame, *, code_map: dict | None = None, include_
         found = found.unionByName(
             visits.select(
                 F.col("id").alias("event_id"), "patient_id", kind.alias("event_type"), start.alias("t_start"), (start + F.expr("INTERVAL 1 MINUTE")).alias("t_end"), start.alias("stay_start"), F.coalesce(end, start + hour).alias("stay_end"),
-                F.lit(None).cast("double").alias("value"), nothing.alias("unit"), nothing.alias("text"), first["code"].alias("code"), first["display"].alias("display"), "status",
+                F.lit(None).cast("double").alias("value"), nothing.alias("unit"), nothing.alias("text"), first["code"].alias("code"), first["display"].alias("display"), "status", nothing.alias("severity"),
             )
         )
     return found.where("patient_id IS NOT NULL AND t_start IS NOT NULL")

@@ -82,3 +82,18 @@ def streaming_z(events: DataFrame, attr: str, *, history: int = 100, least: int
 
     rows = events.select("patient_id", "event_id", "t_start", F.col("num").getItem(attr).alias("x"))
     return rows.groupBy("patient_id").applyInPandasWithState(score, "patient_id string, event_id string, z double", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def queue_status(spark: SparkSession, events_path: str, dead_path: str) -> DataFrame:
+    """``kind, batches, n`` of what :func:`ingest` has stored and set aside."""
+    read = lambda kind, path: spark.read.parquet(path).select(F.lit(kind).alias("kind"), "batch")
+    rows = read("stored", events_path).unionByName(read("dead", dead_path))
+    return rows.groupBy("kind").agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("n"))
+
+
+def predicted(events: DataFrame, model: DataFrame) -> DataFrame:
+    """Stream of events plus ``next_type`` from a stored model (``event_type, next_type``); null if unknown.
+
+    A stream-static join reads the model anew with every batch, so a model that another job replaced takes effect.
+    """
+    return events.join(model.select("event_type", "next_type"), "event_type", "left")
