@@ -128,7 +128,7 @@ def _listed(kinds) -> Column:
 def _weigh(found: DataFrame, words: DataFrame, n_docs: int, disclosure: float, support: int) -> DataFrame:
     """``(t, ratio)`` of the revealing terms; counts cover all documents.
 
-    ``found`` has ``__ep_row`` and ``__ep_own`` (its entities), ``words`` has ``__ep_row`` and ``t``.
+    ``found`` has ``__ep_row`` and ``__ep_own`` (its entities), ``words`` has ``__ep_row`` and ``__ep_words``.
     """
     # One row per document and entity, then per surroundings, so a frequent entity is summed in parts.
     own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x")).groupBy("__ep_row", "x.kind", "x.value").agg(F.min("x.context").alias("context"))
@@ -136,11 +136,15 @@ def _weigh(found: DataFrame, words: DataFrame, n_docs: int, disclosure: float, s
     entity = own.groupBy("kind", "value", "context").agg(F.count("*").alias("n")).groupBy("kind", "value").agg(F.sum("n").alias("n_c"), F.count("*").alias("apart"))
     # A pair is never seen in more surroundings than its entity.
     entity = stash(entity.where(F.col("apart") >= support).drop("apart"), "pii-entities")
-    pairs = own.join(entity.drop("n_c"), ["kind", "value"]).join(words, "__ep_row")
+    # Entities meet the words of their documents as arrays, one row a document: only documents with an
+    # entity cross the join, and words become rows behind it.
+    held = own.join(entity.drop("n_c"), ["kind", "value"]).groupBy("__ep_row").agg(F.collect_list(F.struct("kind", "value", "context")).alias("x"))
+    pairs = held.join(words.where(F.size("__ep_own") > 0).select("__ep_row", "__ep_words"), "__ep_row")
+    pairs = pairs.select(F.explode("x").alias("x"), "__ep_words").select("x.*", F.explode("__ep_words").alias("t"))
     pairs = pairs.groupBy("kind", "value", "t", "context").agg(F.count("*").alias("n")).groupBy("kind", "value", "t").agg(F.sum("n").alias("n_ct"), F.count("*").alias("apart")).where(F.col("apart") >= support)
     pairs = stash(pairs.join(entity, ["kind", "value"]), "pii-pairs")
     # All terms are counted before the join, so common words cross it as one row, not one per document.
-    counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
+    counts = words.select(F.explode("__ep_words").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n = F.lit(float(max(n_docs, 2)))
     joint = F.least("n_ct", "n_t", "n_c")
     pmi = F.log(n * joint / (F.col("n_c") * F.col("n_t")))
@@ -167,10 +171,10 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", disclosure: float = DIS
     # Written once, so the row numbers stay what they are whatever is recomputed later.
     found = stash(found, "pii")
     masked = _masked(text)
-    words = found.select("__ep_row", F.explode(_words(masked)).alias("t"))
+    words = found.select("__ep_row", "__ep_own", _words(masked).alias("__ep_words"))
     revealing = stash(_weigh(found, words, found.count(), disclosure, support), "pii-terms")
     parted = revealing.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    marked = words.withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"])
+    marked = words.select("__ep_row", F.explode("__ep_words").alias("t")).withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"])
     marked = stash(marked.groupBy("__ep_row").agg(F.map_from_entries(F.collect_list(F.struct("t", "ratio"))).alias("__ep_ratios")), "pii-marks")
     out = found.drop("__ep_own").join(marked, "__ep_row", "left").withColumn("term", _places(masked, F.col("__ep_ratios")))
     return out.drop("__ep_row", "__ep_ratios", *([] if carry else [text_col]))
