@@ -113,4 +113,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_chat": op7_chat}
-SQL: dict[str, str] = {}
+SQL = {
+    # A text with a control string, escaped or not, gets one character more for each of them.
+    "op7_chat": r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    sized AS (
+        SELECT *, len(regexp_extract_all(said, '[<\[]\\*(?:/?s>|/?INST\]|</?SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)')) AS escapes
+        FROM turns),
+    talks AS (
+        SELECT conv_id, count(*) AS n_turns,
+            string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said) AS whole,
+            coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, role, said) FILTER (WHERE role = 'assistant'), '') AS loss,
+            sum(length('<|im_start|>') + length(url_encode(role)) + 1 + length(said) + escapes + length('<|im_end|>') + 1) AS size
+        FROM sized GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+        CAST(size AS BIGINT) AS formatted_chars
+    FROM talks
+    """
+}

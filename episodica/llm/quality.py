@@ -123,4 +123,48 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_quality": op9_quality}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_quality": rf"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    worded AS (
+        SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars
+        FROM texts),
+    windows AS (
+        SELECT r, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+        FROM worded WHERE len(w) >= 3),
+    again AS (
+        SELECT r, p FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    fresh AS (
+        SELECT r, least(3, p - lag(p, 1, p - 3) OVER (PARTITION BY r ORDER BY p)) AS more FROM again),
+    repeats AS (
+        SELECT r, sum(more) AS n_repeat_words FROM fresh GROUP BY r),
+    split AS (
+        SELECT r, unnest(string_split(t, chr(10))) AS l FROM texts),
+    lines AS (
+        SELECT r, l, length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
+            length(l) - length(translate(l, '#*$%&<>{{}}[]~^=\', '')) AS symbols,
+            length(regexp_replace(l, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(l, '\P{{Lu}}+', '', 'g')) AS capitals,
+            length(l) - length(translate(l, '{_SEPARATORS}', '')) AS separators
+        FROM split),
+    judged AS (
+        SELECT *, (words < 6 AND NOT regexp_matches(l, '[.!?…。！？:;]["''”’»)\]]*[\x20\x09-\x0D]*$'))
+            OR 10 * symbols > 3 * words + 10 OR (letters >= 12 AND 10 * capitals > 7 * letters)
+            OR (separators >= 3 AND 5 * separators >= words)
+            OR (words <= 30 AND regexp_matches(lower(l), '{"|".join(BOILERPLATE)}')) AS fails
+        FROM lines WHERE chars > 0),
+    cleaned AS (
+        SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE NOT fails), 0) AS remains
+        FROM judged GROUP BY r),
+    measured AS (
+        SELECT doc_id, len(w) AS n_words, word_chars, length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+            CASE WHEN word_chars > 0 THEN 1 - coalesce(remains, 0) / word_chars ELSE 0.0 END AS lost
+        FROM worded LEFT JOIN repeats USING (r) LEFT JOIN cleaned USING (r)),
+    based AS (
+        SELECT *, n_words < {MIN_WORDS} OR n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM measured)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND lost <= {MAX_LOST} AS kept, round(CAST(lost AS DOUBLE), 6) AS lost
+    FROM based
+    """
+}
