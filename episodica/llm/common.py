@@ -10,9 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space that separates words in several contracts: space, \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
@@ -68,3 +72,53 @@ def n_words(text: Column) -> Column:
 def unit(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the values of ``cols`` alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+
+
+def crc32_of(text: Column) -> Column:
+    """Unsigned CRC-32 of a string's UTF-8 bytes; null for null."""
+    return F.crc32(text.cast("binary"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of the ASCII string expression ``text``, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda r, b: xor(xor(r, b) >> 1, (xor(r, b) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295)"
+
+
+def runs_sha256(df: DataFrame, key: str, value: str, separator: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``sha256`` (lowercase hex digest of the strings ``value`` of each run of one key, joined) and
+    ``carry`` (columns as in the run's last row). Null values add nothing.
+
+    The rows of a key must stand together in one partition, in order. They are hashed as they pass, so
+    a key of any number of rows needs the memory of one Arrow batch.
+    """
+    sep = separator.encode()
+    kinds = {c: df.schema[c].dataType for c in (key, *carry)}
+    schema = pa.schema([(key, to_arrow_type(kinds[key])), ("sha256", pa.string()), *((c, to_arrow_type(kinds[c])) for c in carry)])
+
+    def run(batches):
+        now, out = None, []
+
+        def made():
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for k, said, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or k != now[0]:
+                    if now:
+                        out.append((now[0], now[1].hexdigest(), *now[3]))
+                    now = [k, sha256(), False, rest]
+                if said is not None:
+                    now[1].update(sep + said if now[2] else said)
+                    now[2] = True
+                now[3] = rest
+            yield made()
+        if now:
+            out.append((now[0], now[1].hexdigest(), *now[3]))
+            yield made()
+
+    told = ", ".join(f"`{c}` {t.simpleString()}" for c, t in [(key, kinds[key]), ("sha256", T.StringType()), *((c, kinds[c]) for c in carry)])
+    return df.select(key, F.col(value).cast("binary").alias("__ep_value"), *carry).mapInArrow(run, told)
