@@ -8,7 +8,7 @@ from episodica.llm import queries
 D = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op7_chat", "op9_quality", "op13_repair"])
+@pytest.mark.parametrize("name", ["op7_chat", "op9_quality", "op12_trie", "op13_repair"])
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "conversations"):
