@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, mixing, neardup, pii, quality, repair, sharding, tokens, toxicity, trie
+from . import chat, decontaminate, language, linededup, mixing, neardup, pii, quality, repair, sharding, tokens, toxicity, trie
 
-_MODULES = (chat, decontaminate, linededup, mixing, neardup, pii, quality, repair, sharding, tokens, toxicity, trie)
+_MODULES = (chat, decontaminate, language, linededup, mixing, neardup, pii, quality, repair, sharding, tokens, toxicity, trie)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
