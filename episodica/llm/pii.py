@@ -1,28 +1,41 @@
 """PII [native]: information-theoretic sanitisation.
 
-Base finders mark emails, IP addresses, payment cards and phone numbers. Each distinct value found is
-a protected entity c. Terms t of the documents that hold c are weighed by corpus co-occurrence: with
+Base finders mark emails, IP addresses, payment cards and phone numbers. What is protected are the
+values found and the wider entities they belong to: a mail domain, the first two numbers of an address,
+the issuer's six digits of a card, a phone number without its last seven digits. Terms t of the
+documents that hold an entity c are weighed by corpus co-occurrence: with
 ``PMI(c, t) = log(N * n_ct / (n_c * n_t))`` and the entity's own information ``IC(c) = log(N / n_c)``,
 the ratio PMI / IC tells which share of the entity's information the term gives away (1: the term
 occurs only beside the entity); n counts documents. A term at or above ``DISCLOSURE`` is generalised
-to a mark, at or above ``REMOVAL`` it is removed, wherever in the corpus it stands. A pair needs
-``SUPPORT`` documents in which the entity stands in different surroundings, so mere copies of one
-passage are left alone; in one document alone any rare word would be as telling as any other.
+to a mark, at or above ``REMOVAL`` it is removed, wherever in the corpus it stands.
+
+A ratio alone says little where counts are small: in one document any rare word has ratio 1. So a pair
+is believed only if chance can hardly make it: with q = n_ct / n_t, p = n_c / N and k independent
+sightings, a term that met the entity by chance would do so with a probability of at most
+``exp(-k / q * KL(q || p))`` (Chernoff), and over all pairs there are, fewer than ``CHANCE`` such terms may be
+expected. Copies are one sighting: of a value, different surroundings are counted, of a wider entity,
+different values. So a value seen in one passage, however often copied, reveals nothing.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, stash, table, text_or_empty
 
-DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 2
+DISCLOSURE, REMOVAL = 0.8, 0.95
+#: Terms that may be marked by chance in a whole corpus, as expected number.
+CHANCE = 0.5
 #: Characters before and after an entity that tell its surroundings from those of a copy.
 NEAR = 60
-#: Parts that the documents of a term are dealt to, as a common term has many.
-PARTS = 16
+#: Bytes of terms that are broadcast; more are joined by shuffle, in ``PARTS`` for each term.
+SENT, PARTS = 16 << 20, 16
 TERM = r"[\p{L}][\p{L}\p{N}'-]{2,}"
+#: Prefix of the columns of the base finders while they are at work.
+OWN = "__ep_"
 
 # The contract's patterns, written so that each start is tried once: a run of address characters
 # or digits is entered at its first character only (or right after the match before).
@@ -112,79 +125,120 @@ def _places(masked: Column, ratios: Column) -> Column:
     return F.when(ratios.isNull(), nothing).otherwise(let(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), located))
 
 
-def _per_kind(kinds, each) -> Column:
+def _per_kind(kinds, each, prefix: str = OWN) -> Column:
     """One array of ``each(kind, x)`` over the spans of all ``kinds`` (columns), kind by kind."""
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda x: each(kind, x))
+        return F.transform(prefix + kind, lambda x: each(kind, x))
 
     return F.concat(*map(of, kinds))
 
 
 def _listed(kinds) -> Column:
-    return F.array_join(_per_kind(kinds, lambda kind, x: F.concat(F.lit(f"{kind}:"), x["s"], F.lit(":"), x["e"])), ",")
+    return F.array_join(_per_kind(kinds, lambda kind, x: F.concat(F.lit(f"{kind}:"), x["s"], F.lit(":"), x["e"]), ""), ",")
+
+
+def _entities(x: Column) -> Column:
+    """The entities of a value found (struct of kind, m, context): itself, seen in its surroundings, and the wider
+    one, seen by its values; as ``array<struct<c, sighting>>``."""
+    kind, value = x["kind"], F.lower(x["m"])
+    digits = _digits(x["m"])
+    wide = (
+        F.when(kind == "email", F.substring_index(value, "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.left(digits, F.lit(6)))
+        .otherwise(F.left(digits, F.length(digits) - 7))
+    )
+    exact = F.struct(F.xxhash64(kind, value).alias("c"), x["context"].alias("sighting"))
+    return F.array(exact, F.struct(F.xxhash64(kind, F.lit("wide"), wide).alias("c"), F.xxhash64(value).alias("sighting")))
+
 
+def _terms(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``words`` (__ep_row, __ep_words), exploded as ``t``, that ``wanted`` (distinct t, and more) has."""
+    size = wanted.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    rows = words.select("__ep_row", F.explode("__ep_words").alias("t"))
+    if size <= SENT:
+        return rows.join(F.broadcast(wanted), "t")
+    # A common term has many rows: they are dealt to parts, and the term to all of them.
+    parted = wanted.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"]).drop("__ep_part")
 
-def _weigh(found: DataFrame, words: DataFrame, n_docs: int, disclosure: float, support: int) -> DataFrame:
+
+def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float) -> DataFrame:
     """``(t, ratio)`` of the revealing terms; counts cover all documents.
 
     ``found`` has ``__ep_row`` and ``__ep_own`` (its entities), ``words`` has ``__ep_row`` and ``__ep_words``.
     """
-    # One row per document and entity, then per surroundings, so a frequent entity is summed in parts.
-    own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x")).groupBy("__ep_row", "x.kind", "x.value").agg(F.min("x.context").alias("context"))
+    n_docs = max(found.count(), 2)
+    n = F.lit(float(n_docs))
+    own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x"))
+    own = own.groupBy("__ep_row", "x.c").agg(F.min("x.sighting").alias("sighting"))
     own = stash(own, "pii-own")
-    entity = own.groupBy("kind", "value", "context").agg(F.count("*").alias("n")).groupBy("kind", "value").agg(F.sum("n").alias("n_c"), F.count("*").alias("apart"))
-    # A pair is never seen in more surroundings than its entity.
-    entity = stash(entity.where(F.col("apart") >= support).drop("apart"), "pii-entities")
-    # Entities meet the words of their documents as arrays, one row a document: only documents with an
-    # entity cross the join, and words become rows behind it.
-    held = own.join(entity.drop("n_c"), ["kind", "value"]).groupBy("__ep_row").agg(F.collect_list(F.struct("kind", "value", "context")).alias("x"))
-    pairs = held.join(words.where(F.size("__ep_own") > 0).select("__ep_row", "__ep_words"), "__ep_row")
-    pairs = pairs.select(F.explode("x").alias("x"), "__ep_words").select("x.*", F.explode("__ep_words").alias("t"))
-    pairs = pairs.groupBy("kind", "value", "t", "context").agg(F.count("*").alias("n")).groupBy("kind", "value", "t").agg(F.sum("n").alias("n_ct"), F.count("*").alias("apart")).where(F.col("apart") >= support)
-    pairs = stash(pairs.join(entity, ["kind", "value"]), "pii-pairs")
-    # All terms are counted before the join, so common words cross it as one row, not one per document.
-    counts = words.select(F.explode("__ep_words").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(max(n_docs, 2)))
-    joint = F.least("n_ct", "n_t", "n_c")
-    pmi = F.log(n * joint / (F.col("n_c") * F.col("n_t")))
-    own = F.log(n / F.least(F.col("n_c"), n - 1))
-    return pairs.join(counts, "t").select("t", (pmi / own).alias("ratio")).where(F.col("ratio") >= disclosure).groupBy("t").agg(F.max("ratio").alias("ratio"))
-
-
-def find_pii(docs: DataFrame, *, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, carry: bool = True) -> DataFrame:
-    """``docs`` plus ``email``, ``ip``, ``card``, ``phone`` (arrays of s, e, m), ``term`` (array of s, e, t,
-    ratio), i.e. what the base finders and the corpus statistics mark. ``carry=False`` leaves the text out.
-
-    Null counts as an empty text. Repeated rows are marked alike; an empty table gives no rows.
-    """
+    # Only documents with an entity meet their words, as arrays, one row a document.
+    held = own.groupBy("__ep_row").agg(F.collect_list(F.struct("c", "sighting")).alias("x"))
+    held = stash(held.join(words.where(F.size("__ep_own") > 0).select("__ep_row", "__ep_words"), "__ep_row"), "pii-held")
+    tried = held.agg(F.sum(F.size("x").cast("double") * F.size("__ep_words"))).first()[0] or 0.0
+    least = log(max(tried, 1.0) / chance)
+
+    entity = own.groupBy("c").agg(F.count("*").alias("n_c"), F.countDistinct("sighting").alias("apart")).where("apart > 1")
+    entity = entity.withColumn("ic", F.log(n / F.least(F.col("n_c"), n - 1)))
+    entity = stash(entity.where(F.col("apart") * F.col("ic") >= least).drop("apart"), "pii-entities")
+    pairs = held.select("__ep_words", F.explode("x").alias("x")).select("x.*", "__ep_words").join(entity.select("c"), "c", "left_semi")
+    pairs = pairs.select("c", "sighting", F.explode("__ep_words").alias("t")).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart"))
+    pairs = stash(pairs.where("apart > 1").join(entity, "c").where(F.col("apart") * F.col("ic") >= least), "pii-pairs")
+    # Only terms that some pair may yet be believed for are counted over all documents.
+    asked = stash(pairs.select("t").distinct(), "pii-asked")
+    counts = _terms(words, asked).groupBy("t").agg(F.count("*").alias("n_t"))
+    q, p = F.col("n_ct") / F.col("n_t"), F.least(F.col("n_c"), n - 1) / n
+    pmi = F.log(q / p)
+    rest = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    believed = (q > p) & (F.col("apart") * (pmi + rest) >= least)
+    return pairs.join(counts, "t").where(believed).select("t", (pmi / F.col("ic")).alias("ratio")).where(F.col("ratio") >= disclosure).groupBy("t").agg(F.max("ratio").alias("ratio"))
+
+
+def _found(docs: DataFrame, text_col: str, disclosure: float, chance: float) -> DataFrame:
+    """``docs`` plus the columns of ``find_pii``, named with the prefix ``OWN``."""
     text = text_or_empty(text_col)
-    found = docs.withColumns({kind: find(kind, text) for kind in PATTERNS})
-    values = _per_kind(PATTERNS, lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.lower(x["m"]).alias("value"), x["s"].alias("s"), x["e"].alias("e")))
+    found = docs.withColumns({OWN + kind: find(kind, text) for kind in PATTERNS})
 
-    def context(x: Column) -> Column:
+    def context(kind: str, x: Column) -> Column:
         left = F.substring(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.least(x["s"], F.lit(NEAR)))
         right = F.substring(text, x["e"] + 1, F.lit(NEAR))
-        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), F.xxhash64(left, right).alias("context"))
+        return F.struct(F.lit(kind).alias("kind"), x["m"].alias("m"), F.xxhash64(left, right).alias("context"))
 
-    found = found.withColumn("__ep_own", F.transform(values, context)).withColumn("__ep_row", F.monotonically_increasing_id())
+    found = found.withColumn("__ep_own", F.flatten(F.transform(_per_kind(PATTERNS, context), _entities)))
     # Written once, so the row numbers stay what they are whatever is recomputed later.
-    found = stash(found, "pii")
+    found = stash(found.withColumn("__ep_row", F.monotonically_increasing_id()), "pii")
     masked = _masked(text)
     words = found.select("__ep_row", "__ep_own", _words(masked).alias("__ep_words"))
-    revealing = stash(_weigh(found, words, found.count(), disclosure, support), "pii-terms")
-    parted = revealing.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    marked = words.select("__ep_row", F.explode("__ep_words").alias("t")).withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"])
-    marked = stash(marked.groupBy("__ep_row").agg(F.map_from_entries(F.collect_list(F.struct("t", "ratio"))).alias("__ep_ratios")), "pii-marks")
-    out = found.drop("__ep_own").join(marked, "__ep_row", "left").withColumn("term", _places(masked, F.col("__ep_ratios")))
-    return out.drop("__ep_row", "__ep_ratios", *([] if carry else [text_col]))
+    revealing = stash(_weigh(found, words, disclosure, chance), "pii-terms")
+    marked = _terms(words.select("__ep_row", "__ep_words"), revealing).groupBy("__ep_row")
+    marked = stash(marked.agg(F.map_from_entries(F.collect_list(F.struct("t", "ratio"))).alias("__ep_ratios")), "pii-marks")
+    return found.drop("__ep_own").join(marked, "__ep_row", "left").withColumn(f"{OWN}term", _places(masked, F.col("__ep_ratios"))).drop("__ep_row", "__ep_ratios")
+
+
+def find_pii(docs: DataFrame, *, text_col: str = "text", disclosure: float = DISCLOSURE, chance: float = CHANCE, carry: bool = True) -> DataFrame:
+    """``docs`` plus ``email``, ``ip``, ``card``, ``phone`` (arrays of s, e, m), ``term`` (array of s, e, t,
+    ratio), i.e. what the base finders and the corpus statistics mark. ``carry=False`` leaves the text out.
+
+    Null counts as an empty text; long texts are read whole; repeated rows are marked alike; terms of equal
+    ratio are all marked; an empty table gives no rows; columns of ``docs`` with the outputs' names are replaced.
+    """
+    names = [*PATTERNS, "term"]
+    kept = [c for c in docs.columns if c not in names and (carry or c != text_col)]
+    found = _found(docs.select(text_col, *(c for c in docs.columns if c not in names and c != text_col)), text_col, disclosure, chance)
+    return found.select(*kept, *(F.col(OWN + name).alias(name) for name in names))
+
 
+def sanitise(docs: DataFrame, *, text_col: str = "text", removal: float = REMOVAL, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """``docs`` with the text's personal data replaced by its kind, revealing terms by ``[TERM]`` or nothing.
 
-def sanitise(docs: DataFrame, *, text_col: str = "text", removal: float = REMOVAL, **how) -> DataFrame:
-    """``docs`` with the text's personal data replaced by its kind, revealing terms by ``[TERM]`` or nothing."""
-    found = find_pii(docs, text_col=text_col, **how)
+    All columns keep their names, order and, but for the text, their values; a null text stays null; the
+    other cases are those of ``find_pii``.
+    """
+    found = _found(docs, text_col, disclosure, chance)
     base = _per_kind(PATTERNS, lambda kind, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("by")))
-    terms = F.transform("term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["ratio"] >= removal, "").otherwise("[TERM]").alias("by")))
+    terms = F.transform(f"{OWN}term", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["ratio"] >= removal, "").otherwise("[TERM]").alias("by")))
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -208,5 +262,40 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _base_sql() -> str:
+    forms = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digits}[-i]::INT ELSE (2 * {digits}[-i]::INT) // 10 + (2 * {digits}[-i]::INT) % 10 END))"
+    valid = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda x: x::HUGEINT)) <= 255",
+        "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {doubled} % 10 = 0 ELSE false END",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    found = ", ".join(f"regexp_extract_all(t, '{p}') AS {k}_m, string_split_regex(t, '{p}') AS {k}_g" for k, p in forms.items())
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {n} AS nth, m, s, s + length(m) AS e, {valid[k]} AS good FROM ("
+        f"SELECT doc_id, unnest({k}_m) AS m, unnest(list_transform(range(1, len({k}_m) + 1), "
+        f"lambda i: list_sum(list_transform({k}_g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({k}_m[1:i - 1], lambda x: length(x))), 0))) AS s FROM found)"
+        for n, k in enumerate(forms)
+    )
+    return f"""
+    WITH found AS (SELECT doc_id, {found} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    spans AS (SELECT * FROM ({each}) WHERE good),
+    listed AS (
+        SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in forms)},
+            string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY nth, s) AS base FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in forms)}, sha256(coalesce(base, '')) AS base_sha256
+    FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id
+    """
+
+
 QUERIES = {"op4_pii": op4_pii}
+#: SQL for the base columns alone; the terms depend on statistics that are held against planted terms in tests.
+BASE_SQL = _base_sql()
 SQL: dict[str, str] = {}

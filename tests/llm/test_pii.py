@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import duckdb
+
 from episodica.llm import pii
 
 from .cases import ODD, documents
@@ -94,3 +97,44 @@ def test_revealing_terms_are_marked_wherever_they_stand(spark):
     assert not any(rows[i].term for i in range(3, len(rows)))
     assert all("zebulon" not in r.text.lower() for r in pii.sanitise(docs).collect())
     assert "text" not in pii.find_pii(docs, carry=False).columns
+
+
+def test_base_columns_equal_sql(spark):
+    d = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    columns = ["doc_id", *(f"n_{kind}" for kind in P), "base_sha256"]
+    said = sorted(duck.execute(f"SELECT {', '.join(columns)} FROM ({pii.BASE_SQL})").fetchall())
+    assert sorted(tuple(r) for r in pii.op4_pii(spark, d).select(*columns).collect()) == said
+    assert sum(r[1] for r in said) > 0 and sum(r[3] for r in said) > 0
+
+
+def test_planted_terms_are_found_and_no_others(spark):
+    """Each of ten mail domains has terms of its own in four of five documents; each document has another
+    sender, words of a common and of a rare vocabulary, and may be copied."""
+    rng = random.Random(5)
+    common, rare = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], [f"rare{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(4000)]
+    planted = {k: [f"secret{chr(97 + k)}x", f"secret{chr(97 + k)}y"] for k in range(10)}
+    docs = []
+    for k in range(4000):
+        words = rng.choices(common, k=40) + rng.choices(rare, k=6)
+        if k % 20 == 0:
+            own = k // 20 % 10
+            words += [w for w in planted[own] if rng.random() < 0.8]
+            words.append(f"person{k}@mail{own}.example.org")
+        rng.shuffle(words)
+        docs += [" ".join(words)] * (4 if k % 400 == 0 else 1)
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).select("term").collect()
+    marked = {x.t for r in rows for x in r.term}
+    true = {w for own in planted.values() for w in own}
+    assert len(marked & true) >= 0.9 * len(true)
+    assert len(marked & true) >= 0.9 * len(marked)
+
+
+def test_columns_of_callers_stay(spark):
+    rows = [(1, "a@b.org wrote", "mine", 5, "x", None, "t", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, email string, ip int, card string, phone string, term string, own string")
+    (clean,) = pii.sanitise(docs).collect()
+    assert tuple(clean) == (1, "[EMAIL] wrote", "mine", 5, "x", None, "t", "o")
+    (found,) = pii.find_pii(docs).collect()
+    assert (found.own, found.email[0].m, found.ip) == ("o", "a@b.org", [])
