@@ -13,8 +13,12 @@ A ratio alone says little where counts are small: in one document any rare word
 is believed only if chance can hardly make it: with q = n_ct / n_t, p = n_c / N and k independent
 sightings, a term that met the entity by chance would do so with a probability of at most
 ``exp(-k / q * KL(q || p))`` (Chernoff), and over all pairs there are, fewer than ``CHANCE`` such terms may be
-expected. Copies are one sighting: of a value, different surroundings are counted, of a wider entity,
-different values. So a value seen in one passage, however often copied, reveals nothing.
+expected. Copies are one sighting, in two ways. Of a value, different surroundings are counted, of a wider
+entity, different values. And the entity's documents are counted by their own words, those that no
+document without the entity has: who shares ``COPY`` of them with the entity's first document, or is as
+similar to it in five-word shingles, is a copy of it; the others count once for each minimum of their own
+words' hashes, which copies mostly share. The lesser count is k.
+So a value seen in one passage, and an entity seen in one text, however often copied, reveals nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ DISCLOSURE, REMOVAL = 0.8, 0.95
 CHANCE = 0.5
 #: Characters before and after an entity that tell its surroundings from those of a copy.
 NEAR = 60
+#: Share of its own words that makes a document a copy of its entity's first one, of at least so many words.
+COPY, OWN_WORDS, SHINGLE = 0.5, 3, 5
 #: Bytes of terms that are broadcast; more are joined by shuffle, in ``PARTS`` for each term.
 SENT, PARTS = 16 << 20, 16
 TERM = r"[\p{L}][\p{L}\p{N}'-]{2,}"
@@ -102,7 +108,7 @@ def _masked(text: Column) -> Column:
 
 
 def _words(masked: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), F.lower))
+    return F.transform(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def _places(masked: Column, ratios: Column) -> Column:
@@ -153,17 +159,51 @@ def _entities(x: Column) -> Column:
     return F.array(exact, F.struct(F.xxhash64(kind, F.lit("wide"), wide).alias("c"), F.xxhash64(value).alias("sighting")))
 
 
-def _terms(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``words`` (__ep_row, __ep_words), exploded as ``t``, that ``wanted`` (distinct t, and more) has."""
-    size = wanted.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    rows = words.select("__ep_row", F.explode("__ep_words").alias("t"))
-    if size <= SENT:
-        return rows.join(F.broadcast(wanted), "t")
+def _sent(wanted: DataFrame) -> bool:
+    """Whether the distinct terms ``t`` of ``wanted`` may be broadcast."""
+    return (wanted.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0) <= SENT
+
+
+def _counts(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """``t`` and ``n_t``: how many documents have each of the terms that are asked for."""
+    rows = words.select(F.explode(F.array_distinct("__ep_words")).alias("t"))
+    if _sent(asked):
+        return rows.join(F.broadcast(asked), "t").groupBy("t").agg(F.count("*").alias("n_t"))
+    return rows.groupBy("t").agg(F.count("*").alias("n_t")).join(asked, "t")
+
+
+def _occurrences(words: DataFrame, revealing: DataFrame) -> DataFrame:
+    """``__ep_row``, ``t`` and ``ratio`` wherever a revealing term stands."""
+    rows = words.select("__ep_row", F.explode(F.array_distinct("__ep_words")).alias("t"))
+    if _sent(revealing):
+        return rows.join(F.broadcast(revealing), "t")
     # A common term has many rows: they are dealt to parts, and the term to all of them.
-    parted = wanted.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parted = revealing.withColumn("__ep_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return rows.withColumn("__ep_part", F.pmod(F.xxhash64("__ep_row"), F.lit(PARTS)).cast("int")).join(parted, ["t", "__ep_part"]).drop("__ep_part")
 
 
+def _shingles(words: Column) -> Column:
+    """Hashes of the distinct five-word runs; of fewer words, the one run they are."""
+    last = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.slice(words, k, SHINGLE))))
+
+
+def _labels(said: DataFrame, counted: DataFrame, held: DataFrame, seen: DataFrame) -> DataFrame:
+    """``__ep_row``, ``c`` and ``label`` for the documents of ``seen``: equal for those that copy the entity's first."""
+    alone = counted.where("n_t = n_ct").select("c", "t")
+    seen = seen.select("c", "__ep_row").distinct()
+    own = said.join(seen, ["c", "__ep_row"], "left_semi").join(alone, ["c", "t"]).groupBy("c", "__ep_row").agg(F.collect_set(F.xxhash64("t")).alias("own"))
+    texts = seen.join(own, ["c", "__ep_row"], "left").join(held.select("__ep_row", "shingles"), "__ep_row")
+    texts = stash(texts.withColumn("own", F.coalesce("own", F.array().cast("array<long>"))), "pii-texts")
+    first = texts.groupBy("c").agg(F.min("__ep_row").alias("__ep_row")).join(texts, ["c", "__ep_row"]).select("c", F.col("own").alias("first_own"), F.col("shingles").alias("first_shingles"))
+    alike = lambda a, b, of: F.size(F.array_intersect(a, b)) >= COPY * of
+    few = F.least(F.size("own"), F.size("first_own"))
+    both = F.size("shingles") + F.size("first_shingles")
+    near = (few >= OWN_WORDS) & alike("own", "first_own", few) | (F.size(F.array_intersect("shingles", "first_shingles")) * (1 + COPY) >= COPY * both)
+    label = F.when(near, F.lit(0).cast("long")).when(F.size("own") >= OWN_WORDS, F.array_min("own"))
+    return texts.join(first, "c").select("c", "__ep_row", label.alias("label"))
+
+
 def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float) -> DataFrame:
     """``(t, ratio)`` of the revealing terms; counts cover all documents.
 
@@ -172,28 +212,33 @@ def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float)
     n_docs = max(found.count(), 2)
     n = F.lit(float(n_docs))
     own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x"))
-    own = own.groupBy("__ep_row", "x.c").agg(F.min("x.sighting").alias("sighting"))
-    own = stash(own, "pii-own")
+    own = stash(own.groupBy("__ep_row", "x.c").agg(F.min("x.sighting").alias("sighting")), "pii-own")
     # Only documents with an entity meet their words, as arrays, one row a document.
     held = own.groupBy("__ep_row").agg(F.collect_list(F.struct("c", "sighting")).alias("x"))
-    held = stash(held.join(words.where(F.size("__ep_own") > 0).select("__ep_row", "__ep_words"), "__ep_row"), "pii-held")
+    texts = words.where(F.size("__ep_own") > 0).select("__ep_row", _shingles(F.col("__ep_words")).alias("shingles"), F.array_distinct("__ep_words").alias("__ep_words"))
+    held = stash(held.join(texts, "__ep_row"), "pii-held")
     tried = held.agg(F.sum(F.size("x").cast("double") * F.size("__ep_words"))).first()[0] or 0.0
     least = log(max(tried, 1.0) / chance)
 
     entity = own.groupBy("c").agg(F.count("*").alias("n_c"), F.countDistinct("sighting").alias("apart")).where("apart > 1")
     entity = entity.withColumn("ic", F.log(n / F.least(F.col("n_c"), n - 1)))
     entity = stash(entity.where(F.col("apart") * F.col("ic") >= least).drop("apart"), "pii-entities")
-    pairs = held.select("__ep_words", F.explode("x").alias("x")).select("x.*", "__ep_words").join(entity.select("c"), "c", "left_semi")
-    pairs = pairs.select("c", "sighting", F.explode("__ep_words").alias("t")).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart"))
-    pairs = stash(pairs.where("apart > 1").join(entity, "c").where(F.col("apart") * F.col("ic") >= least), "pii-pairs")
-    # Only terms that some pair may yet be believed for are counted over all documents.
-    asked = stash(pairs.select("t").distinct(), "pii-asked")
-    counts = _terms(words, asked).groupBy("t").agg(F.count("*").alias("n_t"))
+    said = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(entity.select("c"), "c", "left_semi")
+    said = said.select("__ep_row", "c", "sighting", F.explode("__ep_words").alias("t"))
+    pairs = stash(said.groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart")), "pii-pairs")
+    # Only terms of documents with an entity that may be believed are counted over all documents.
+    counts = _counts(words, stash(pairs.select("t").distinct(), "pii-asked"))
     q, p = F.col("n_ct") / F.col("n_t"), F.least(F.col("n_c"), n - 1) / n
     pmi = F.log(q / p)
     rest = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    believed = (q > p) & (F.col("apart") * (pmi + rest) >= least)
-    return pairs.join(counts, "t").where(believed).select("t", (pmi / F.col("ic")).alias("ratio")).where(F.col("ratio") >= disclosure).groupBy("t").agg(F.max("ratio").alias("ratio"))
+    counted = stash(pairs.join(counts, "t").join(entity, "c").select("c", "t", "n_ct", "n_t", "apart", (pmi / F.col("ic")).alias("ratio"), (pmi + rest).alias("nats")), "pii-counted")
+    likely = (F.col("ratio") >= disclosure) & (F.col("nats") > 0) & (F.col("apart") * F.col("nats") >= least)
+    likely = stash(counted.where(likely).select("c", "t", "ratio", "nats"), "pii-likely")
+    # What is left is held against the copies.
+    seen = stash(said.join(likely, ["c", "t"]), "pii-seen")
+    seen = seen.join(_labels(said, counted, held, seen), ["c", "__ep_row"], "left")
+    seen = seen.groupBy("c", "t", "ratio", "nats").agg(F.countDistinct("sighting").alias("apart"), F.countDistinct(F.coalesce("label", "sighting")).alias("texts"))
+    return seen.where((F.least("apart", "texts") * F.col("nats")) >= least).groupBy("t").agg(F.max("ratio").alias("ratio"))
 
 
 def _found(docs: DataFrame, text_col: str, disclosure: float, chance: float) -> DataFrame:
@@ -212,8 +257,11 @@ def _found(docs: DataFrame, text_col: str, disclosure: float, chance: float) ->
     masked = _masked(text)
     words = found.select("__ep_row", "__ep_own", _words(masked).alias("__ep_words"))
     revealing = stash(_weigh(found, words, disclosure, chance), "pii-terms")
-    marked = _terms(words.select("__ep_row", "__ep_words"), revealing).groupBy("__ep_row")
+    marked = _occurrences(words, revealing).groupBy("__ep_row")
     marked = stash(marked.agg(F.map_from_entries(F.collect_list(F.struct("t", "ratio"))).alias("__ep_ratios")), "pii-marks")
+    # Few marks are sent to the texts; else texts and marks meet by row.
+    marks = marked.agg(F.sum(F.size("__ep_ratios") * 40 + 40)).first()[0] or 0
+    marked = F.broadcast(marked) if marks <= SENT else marked
     return found.drop("__ep_own").join(marked, "__ep_row", "left").withColumn(f"{OWN}term", _places(masked, F.col("__ep_ratios"))).drop("__ep_row", "__ep_ratios")
 
 
