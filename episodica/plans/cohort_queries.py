@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import cohort, episodes, sequence
+from ..operators import cohort, episodes, intervals, sequence
 from ..operators.cohort import Cohort
 from ..schema import interval_events, micros, num, point_events
 from .base import E, I, r6
@@ -65,8 +65,14 @@ def followed_by(spark, d):
     return cohort.followed_by(point_events(spark, d), F.col("event_type") == "click", F.col("event_type") == "purchase", within_days=1.0)
 
 
+def _two(spark, d):
+    """A customer's interval events of two priorities."""
+    rows = interval_events(spark, d).select("patient_id", "event_id", "event_type", "t_start", "t_end")
+    return rows.where("event_type = '1-URGENT'"), rows.where("event_type = '5-LOW'")
+
+
 def _pairs(spark, d):
-    """Pairs of a customer's interval events of two priorities: an equi-join with the relation as a column."""
+    """All pairs of a customer's interval events of two priorities: an equi-join with the relation as a column."""
     rows = interval_events(spark, d).select("patient_id", "event_id", "event_type", "t_start", "t_end")
     a = rows.where("event_type = '1-URGENT'").select("patient_id", *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != "patient_id"])
     b = rows.where("event_type = '5-LOW'").select("patient_id", *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "patient_id"])
@@ -74,7 +80,25 @@ def _pairs(spark, d):
 
 
 def allen_matrix(spark, d):
-    return _pairs(spark, d).groupBy(temporal.event_relation("a_", "b_").alias("relation")).agg(F.count("*").alias("n"))
+    return intervals.relation_matrix(*_two(spark, d))
+
+
+def intervals_near(spark, d):
+    """Pairs that share a point of time or lie at most ten days apart, by relation and distance."""
+    rows = intervals.interval_join(*_two(spark, d), within_days=10.0)
+    ends = [F.col(c) for c in ("a_t_start", "a_t_end", "b_t_start", "b_t_end")]
+    return rows.select("a_event_id", "b_event_id", "relation", r6(temporal.distance_days("delta_gap", *ends)).alias("gap"))
+
+
+def intervals_during(spark, d):
+    """Per patient, the pairs in which one event lies inside the other."""
+    rows = intervals.interval_join(*_two(spark, d), relations=("during", "contains"))
+    return rows.groupBy("patient_id", "relation").agg(F.count("*").alias("n"))
+
+
+def pairs_before(spark, d):
+    """Per patient, how many pairs have the first event end before the second starts."""
+    return intervals.count_before(*_two(spark, d)).where("n > 0")
 
 
 def trel_fixed(spark, d):
@@ -199,7 +223,7 @@ def beam_parse(spark, d):
 
 _BUY = f"SELECT patient_id FROM {E} WHERE event_type = 'purchase' AND value > 50 GROUP BY 1 HAVING count(*) >= 3 AND avg(value) > 60"
 _ERR = f"SELECT patient_id FROM {E} WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 2"
-_PAIR = f"""(SELECT a.event_id AS a_event_id, b.event_id AS b_event_id, a.t_start AS a, a.t_end AS b, b.t_start AS c, b.t_end AS d
+_PAIR = f"""(SELECT patient_id, a.event_id AS a_event_id, b.event_id AS b_event_id, a.t_start AS a, a.t_end AS b, b.t_start AS c, b.t_end AS d
   FROM {I} a JOIN {I} b USING (patient_id) WHERE a.event_type = '1-URGENT' AND b.event_type = '5-LOW')"""
 _ALLEN = """CASE WHEN b < c THEN 'before' WHEN b = c THEN 'meets' WHEN a < c AND c < b AND b < d THEN 'overlaps' WHEN a = c AND b < d THEN 'starts'
   WHEN a > c AND b < d THEN 'during' WHEN b = d AND a > c THEN 'finishes' WHEN a = c AND b = d THEN 'equals' WHEN b = d AND a < c THEN 'finished_by'
@@ -252,6 +276,9 @@ SQL = {
     "followed_by": f"""SELECT patient_id, count(*) AS n_pairs FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN t_start END) OVER (PARTITION BY patient_id ORDER BY t_start, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM {E})
       WHERE event_type = 'click' AND {_days('t_end', 'nx')} BETWEEN 0 AND 1 GROUP BY 1""",
     "allen_matrix": f"SELECT {_ALLEN} AS relation, count(*) AS n FROM {_PAIR} GROUP BY 1",
+    "intervals_near": f"SELECT a_event_id, b_event_id, {_ALLEN} AS relation, round(greatest(0.0, {_days('b', 'c')}, {_days('d', 'a')}), 6) AS gap FROM {_PAIR} WHERE greatest(0.0, {_days('b', 'c')}, {_days('d', 'a')}) <= 10",
+    "intervals_during": f"SELECT patient_id, relation, count(*) AS n FROM (SELECT patient_id, {_ALLEN} AS relation FROM {_PAIR}) WHERE relation IN ('during', 'contains') GROUP BY ALL",
+    "pairs_before": f"SELECT patient_id, count(*) AS n FROM {_PAIR} WHERE b < c GROUP BY 1",
     "trel_fixed": f"SELECT event_id, patient_id FROM {I} WHERE t_start > TIMESTAMP '1996-06-01' AND t_end < TIMESTAMP '1996-12-31' AND abs({_days('t_start', chr(39).join(['TIMESTAMP ', '1996-06-01', '']))}) BETWEEN 10 AND 100",
     "distances": f"SELECT a_event_id, b_event_id, round(abs({_days('a', 'c')}), 6) AS delta_start, round(abs({_days('b', 'c')}), 6) AS delta_end_start, round(greatest(0.0, {_days('b', 'c')}, {_days('d', 'a')}), 6) AS delta_gap FROM {_PAIR}",
     "fuzzy_exact": f"SELECT {_ALLEN} AS relation, CAST(count(*) AS DOUBLE) AS total FROM {_PAIR} GROUP BY 1",
