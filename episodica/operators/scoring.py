@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import num
+from .ranks import middle_distinct
+
+#: Different scores that a calibration descends in the driver; more are summed by Spark at every step.
+POINTS = 200_000
 
 #: Reference ranges of the anomaly score.
 RANGES = {
@@ -195,9 +198,7 @@ def learn_rules(events: DataFrame, labels: DataFrame, names: list[str], *, min_s
     labelled = events.join(labels.select("event_id", "label"), "event_id")
     rows = labelled.select("label", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), num(a).alias("x")) for a in names])).alias("y"))
     rows = rows.select("label", "y.*").where("x IS NOT NULL")
-    w = Window.partitionBy("attr")
-    at = rows.select("attr", "x").distinct().withColumns({"r": F.row_number().over(w.orderBy("x")) - 1, "k": F.count("*").over(w)})
-    thresholds = at.where((F.col("k") >= 2) & (F.col("r") == F.floor(F.col("k") / 2))).select("attr", F.col("x").alias("threshold"))
+    thresholds = middle_distinct(rows, "attr", "x").withColumnRenamed("x", "threshold")
     # One threshold for each of the given names, so this side is always tiny.
     sided = rows.join(F.broadcast(thresholds), "attr").withColumn("op", F.when(F.col("x") > F.col("threshold"), ">").otherwise("<="))
     counts = sided.groupBy("attr", "threshold", "op", "label").agg(F.count("*").alias("n_own"))
@@ -216,28 +217,32 @@ def apply_rules(events: DataFrame, rules: list) -> DataFrame:
     return events.withColumn("predicted", F.coalesce(*found) if found else F.lit(None).cast("string"))
 
 
-def fit_platt(scored: DataFrame, score: str, label: str, *, steps: int = 500, rate: float = 0.1, bins: int = 1000) -> tuple[float, float] | None:
-    """Platt scaling sigma(A s + B) by gradient descent; None below five points.
+def fit_platt(scored: DataFrame, score: str, label: str, *, steps: int = 500, rate: float = 0.1) -> tuple[float, float] | None:
+    """Platt scaling sigma(A s + B) by gradient descent over all points; None below five points.
 
-    Scores are summed in ``bins`` equal bins first (their mean, count and positives), so the driver
-    works on a bounded table whatever the number of rows.
+    Rows with a null are no points. Equal scores are summed first, which changes nothing in the gradient.
+    Up to ``POINTS`` different scores are descended in the driver; of more, every step is one distributed
+    sum over the table of scores.
     """
     x, y = F.col(score).cast("double"), F.col(label).cast("double")
-    lo, hi, n = scored.where(x.isNotNull() & y.isNotNull()).agg(F.min(x), F.max(x), F.count("*")).first()
-    if n < 5:
-        return None
-    at = F.least(F.floor((x - lo) / ((hi - lo) or 1.0) * bins), F.lit(bins - 1))
-    binned = scored.where(x.isNotNull() & y.isNotNull()).groupBy(at.alias("bin"))
-    points = [r[1:] for r in binned.agg(F.avg(x), F.count("*"), F.sum(y)).collect()]
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        g_a = g_b = 0.0
-        for s, c, pos in points:
-            d = c / (1 + math.exp(-max(-700.0, min(700.0, a * s + b)))) - pos
-            g_a += d * s / n
-            g_b += d / n
-        a, b = a - rate * g_a, b - rate * g_b
-    return a, b
+    points = scored.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("s")).agg(F.count("*").alias("c"), F.sum(y).alias("pos")).persist()
+    try:
+        n, different = points.agg(F.sum("c"), F.count("*")).first()
+        if (n or 0) < 5:
+            return None
+        near = np.array(points.collect(), dtype=float).T if different <= POINTS else None
+        a, b = 1.0, 0.0
+        for _ in range(steps):
+            if near is not None:
+                d = near[1] / (1 + np.exp(-np.clip(a * near[0] + b, -700, 700))) - near[2]
+                g_a, g_b = float(d @ near[0]), float(d.sum())
+            else:
+                d = F.col("c") / (1 + F.exp(-(F.lit(a) * F.col("s") + F.lit(b)))) - F.col("pos")
+                g_a, g_b = points.agg(F.sum(d * F.col("s")), F.sum(d)).first()
+            a, b = a - rate * g_a / n, b - rate * g_b / n
+        return a, b
+    finally:
+        points.unpersist()
 
 
 def calibrate(score: Column, model: tuple[float, float] | None) -> Column:
