@@ -47,6 +47,57 @@ def hl7_live_events(spark, d):
     return rows.select("control_id", "n", "patient_id", "event_type", "t_start", "confidence", a("attr").alias("attr"), r6(a("number").cast("double")).alias("number"), a("code").alias("code"), a("station").alias("station"))
 
 
+#: Message kinds of the listener's other branches, dealt to events by their number.
+_BRANCHES = ("ADT^A02", "ADT^A04", "ADT^A06", "ADT^A07", "ADT^A08", "ADT^A11", "ADT^A12", "ADT^A13", "ADT^A28", "ADT^A40", "ORM^O01", "OML^O21", "SIU^S12", "SIU^S15", "SIU^S14", "MDM^T02", "BAR^P01", "DFT^P03")
+
+
+def _line(name: str, **fields):
+    """A segment with the fields ``f<number>`` filled; numbers as in the standard."""
+    last = max(int(k[1:]) for k in fields)
+    return F.concat_ws("|", F.lit(name), *[fields.get(f"f{n}", F.lit("")) for n in range(1, last + 1)])
+
+
+def hl7_live_branches(spark, d):
+    """Transfers, registrations, cancellations, merges, orders, appointments, documents, diagnoses and charges."""
+    rows = table(spark, d, "events")
+    kind = F.get(F.array(*map(F.lit, _BRANCHES)), F.pmod("event_id", F.lit(len(_BRANCHES))).cast("int"))
+    after = lambda hours: F.date_format(F.col("ts") + F.expr(f"INTERVAL {hours} HOUR"), "yyyyMMddHHmmss")
+    of = lambda *kinds: kind.isin(*kinds)
+    t = F.lit
+    lines = [
+        F.concat(t("MSH|^~\\&|APP|FAC|RX|RF|"), after(0), t("||"), kind, t("|M"), "event_id", t("|P|2.5")),
+        _line("EVN", f1=t("x"), f2=after(0)),
+        _line("PID", f1=t("1"), f3=F.concat(t("P"), "user_id", t("^^^H"))),
+        F.when(F.startswith(kind, t("ADT")), _line("PV1", f1=t("1"), f2=t("I"), f3=t("3A^12"), f6=t("2B^1"), f7=t("44^Dr"))),
+        F.when(F.startswith(kind, t("ADT")), _line("MRG", f1=F.concat(t("OLD"), "user_id", t("^^^H")))),
+        F.when(of("ORM^O01", "OML^O21"), F.concat_ws("\r", _line("OBR", f1=t("1"), f4=t("718-7^Hb"), f7=after(1)), _line("OBR", f1=t("2"), f4=t("X1")))),
+        F.when(F.startswith(kind, t("SIU")), _line("SCH", f1=t("1"), f7=t("Kontrolle^x"), f11=after(2))),
+        F.when(of("MDM^T02"), F.concat_ws("\r", _line("OBX", f1=t("1"), f5=t("Befund eins")), _line("OBX", f1=t("2"), f5=t("")), _line("OBX", f1=t("3"), f5=t("zwei")))),
+        F.when(of("BAR^P01"), F.concat_ws("\r", _line("DG1", f1=t("1"), f3=t("I21.0^Infarkt")), _line("DG1", f1=t("2"), f3=t("")), _line("PR1", f1=t("1"), f3=t("5-470^x"), f5=after(3)))),
+        F.when(of("DFT^P03"), _line("FT1", f1=t("1"), f4=after(1), f19=t("C19^y"))),
+    ]
+    found = hl7.to_live_events(hl7.parse(hl7.split_messages(rows.select(F.concat_ws("\r", *lines).alias("raw")))))
+    a = lambda k: F.col("attrs").getItem(k).alias(k)
+    return found.select("control_id", "n", "patient_id", "event_type", "t_start", "confidence", *map(a, ("code", "text", "reason", "station", "station_from", "patient_class", "doctor", "prior_id")))
+
+
+def hl7_event_times(spark, d):
+    """Where a message's time comes from: each source in turn is missing, with all those before it."""
+    rows = table(spark, d, "events").withColumn("b", F.pmod("event_id", F.lit(6)))
+    at = lambda k: F.when(F.col("b") <= k, F.date_format(F.col("ts") + F.expr(f"INTERVAL {k} HOUR"), "yyyyMMddHHmmss")).otherwise("")
+    t = F.lit
+    lines = [
+        F.concat(t("MSH|^~\\&|APP|FAC|RX|RF|"), at(4), t("||ADT^A08|M"), "event_id", t("|P|2.5")),
+        _line("EVN", f1=t("x"), f2=at(0)),
+        _line("PID", f1=t("1"), f3=F.concat(t("P"), "user_id")),
+        _line("PV1", f1=t("1"), f2=t("I"), f44=at(1)),
+        _line("OBR", f1=t("1"), f7=at(3)),
+        _line("OBX", f1=t("1"), f14=at(2)),
+    ]
+    found = hl7.to_events(hl7.parse(hl7.split_messages(rows.select(F.concat_ws("\r", *lines).alias("raw")))))
+    return found.select("control_id", "event_type", "t_start", "stay_start", "stay_end")
+
+
 def hl7_acknowledgements(spark, d):
     parsed = hl7.parse(hl7.split_messages(_messages(spark, d)))
     return parsed.select(hl7.field(hl7.segment("MSH"), 10).alias("control_id"), hl7.acknowledgement(F.lit("AA")).alias("ack"))
@@ -181,6 +232,7 @@ def stream_counts(spark, d):
 
 
 def stream_z(spark, d):
+    ingest.list_state(spark)
     rows = _out(ingest.streaming_z(_event_stream(spark, d), "value"), ["patient_id", "event_id", "z"])
     return rows.select("patient_id", "event_id", r6("z").alias("z"))
 
@@ -201,6 +253,24 @@ SQL = {
         CAST(CASE WHEN k IN ('view', 'purchase') THEN 0.98 WHEN k = 'error' THEN 0.3 ELSE 1.0 END AS DOUBLE) AS confidence, CASE k WHEN 'view' THEN 'herzfrequenz' WHEN 'purchase' THEN 'qlaktat' END AS attr,
         CASE WHEN k IN ('view', 'purchase') THEN v END AS number, CAST(NULL AS VARCHAR) AS code, CASE k WHEN 'signup' THEN '3A' END AS station FROM e
       UNION ALL SELECT control_id, 1, patient_id, 'Entlassdiagnose', t_start, CAST(0.95 AS DOUBLE), NULL, NULL, 'I21.0', NULL FROM e WHERE k = 'click'""",
+    "hl7_live_branches": f"""WITH e AS (SELECT 'M' || event_id AS control_id, 'P' || user_id AS patient_id, user_id, ({list(_BRANCHES)})[event_id % {len(_BRANCHES)} + 1] AS kind, {_AT} AS t FROM events),
+      x AS (SELECT control_id, kind, unnest([0, 1, 2]) AS n, patient_id, user_id, t FROM e),
+      y AS (SELECT *, kind[:3] AS k,
+        CASE WHEN kind[:3] = 'ADT' THEN n = 0 WHEN kind[:3] IN ('ORM', 'OML') THEN n < 2 WHEN kind = 'BAR^P01' THEN n <> 1 ELSE n = 0 END AS there FROM x)
+      SELECT control_id, n, patient_id, CASE WHEN k = 'ADT' THEN CASE kind[5:] WHEN 'A02' THEN 'Verlegung' WHEN 'A04' THEN 'Registrierung' WHEN 'A06' THEN 'StatusaenderungAmbulantStationaer' WHEN 'A07' THEN 'StatusaenderungStationaerAmbulant'
+          WHEN 'A08' THEN 'PatientenUpdate' WHEN 'A11' THEN 'AufnahmeStornierung' WHEN 'A12' THEN 'VerlegungStornierung' WHEN 'A13' THEN 'EntlassungStornierung' WHEN 'A28' THEN 'PatientenAnlage' ELSE 'PatientenMerge' END
+        WHEN k IN ('ORM', 'OML') THEN 'Auftrag' WHEN k = 'SIU' THEN CASE kind[5:] WHEN 'S12' THEN 'Termin' WHEN 'S15' THEN 'TerminStornierung' ELSE 'TerminAenderung' END WHEN k = 'MDM' THEN 'Dokument' WHEN k = 'BAR' AND n = 0 THEN 'Diagnose' ELSE 'Prozedur' END AS event_type,
+        t + CASE WHEN k IN ('ORM', 'OML') AND n = 0 OR k = 'DFT' THEN INTERVAL 1 HOUR WHEN k = 'SIU' THEN INTERVAL 2 HOUR WHEN k = 'BAR' AND n = 2 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS t_start,
+        CAST(CASE WHEN k IN ('ADT', 'SIU') THEN 1.0 WHEN k IN ('ORM', 'OML') THEN 0.95 WHEN k = 'MDM' THEN 0.9 ELSE 0.99 END AS DOUBLE) AS confidence,
+        CASE WHEN k IN ('ORM', 'OML') THEN CASE n WHEN 0 THEN '718-7' ELSE 'X1' END WHEN k = 'BAR' THEN CASE n WHEN 0 THEN 'I21.0' ELSE '5-470' END WHEN k = 'DFT' THEN 'C19' END AS code,
+        CASE WHEN k IN ('ORM', 'OML') AND n = 0 THEN 'Hb' WHEN k = 'BAR' AND n = 0 THEN 'Infarkt' WHEN k = 'MDM' THEN 'Befund eins' || chr(10) || 'zwei' END AS text,
+        CASE k WHEN 'SIU' THEN 'Kontrolle' END AS reason, CASE k WHEN 'ADT' THEN '3A' END AS station, CASE kind WHEN 'ADT^A02' THEN '2B' END AS station_from, CASE k WHEN 'ADT' THEN 'I' END AS patient_class,
+        CASE k WHEN 'ADT' THEN '44' END AS doctor, CASE kind WHEN 'ADT^A40' THEN 'OLD' || user_id END AS prior_id
+      FROM y WHERE there""",
+    "hl7_event_times": f"""SELECT 'M' || event_id AS control_id, 'Patienten_Update' AS event_type, t + to_hours(b) AS t_start,
+        CASE WHEN b <= 1 THEN t + INTERVAL 1 HOUR ELSE t + to_hours(b) - INTERVAL 1 HOUR END AS stay_start,
+        CASE WHEN b <= 1 THEN t + INTERVAL 2 HOUR ELSE t + to_hours(b) + INTERVAL 1 HOUR END AS stay_end
+      FROM (SELECT event_id, event_id % 6 AS b, {_AT} AS t FROM events) WHERE b < 5""",
     "hl7_acknowledgements": f"""SELECT 'M' || event_id AS control_id, 'MSH|^~\\&|RX|RF|APP|FAC|' || strftime(ts, '%Y%m%d%H%M%S') || '||ACK^' || split_part({_KIND}, '^', 2) || '|ACKM' || event_id || '|P|2.5' || chr(13) || 'MSA|AA|M' || event_id || chr(13) AS ack FROM events""",
     "hl7_times": """SELECT * FROM (VALUES ('20240105083015.123+0100', TIMESTAMP '2024-01-05 08:30:15'), ('202401050830', TIMESTAMP '2024-01-05 08:30:00'), ('2024010508', TIMESTAMP '2024-01-05 08:00:00'), ('20240105', TIMESTAMP '2024-01-05'),
       ('202401', TIMESTAMP '2024-01-01'), ('2024', TIMESTAMP '2024-01-01'), ('', NULL), ('x', NULL), ('20241301', NULL)) v(raw, t)""",
@@ -208,8 +278,8 @@ SQL = {
     "fhir_bundles": f"SELECT patient_id, CAST(count(*) AS INTEGER) AS entries FROM {E} GROUP BY 1",
     "fhir_clinical": _CLINICAL,
     "fhir_clinical_bundles": _CLINICAL,
-    "fhir_general": """SELECT 'r' || event_id AS event_id, CAST(user_id AS VARCHAR) AS patient_id, CASE event_type WHEN 'view' THEN 'Pressure' WHEN 'click' THEN 'Biopsy' ELSE 'Condition' END AS event_type, date_trunc('second', ts) AS t_start, date_trunc('second', ts) AS t_end,
-      CASE event_type WHEN 'view' THEN round(value, 6) END AS systolic, CASE event_type WHEN 'purchase' THEN '255604002' END AS severity, CASE event_type WHEN 'click' THEN 'response_to' END AS c1 FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
+    "fhir_general": """SELECT 'r' || event_id AS event_id, CAST(user_id AS VARCHAR) AS patient_id, CASE event_type WHEN 'view' THEN 'Pressure' WHEN 'click' THEN 'Biopsy' ELSE 'Condition' END AS event_type, t - CASE event_type WHEN 'view' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS t_start, t - CASE event_type WHEN 'view' THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS t_end,
+      CASE event_type WHEN 'view' THEN round(value, 6) END AS systolic, CASE event_type WHEN 'purchase' THEN '255604002' END AS severity, CASE event_type WHEN 'click' THEN 'response_to' END AS c1 FROM (SELECT *, date_trunc('second', ts) AS t FROM events) WHERE event_type IN ('view', 'click', 'purchase')""",
     "bundle_import": f"""WITH u AS (SELECT user_id, {_AT.replace('ts', 'min(ts)')} AS b, {_AT.replace('ts', 'max(ts)')} AS e FROM events GROUP BY 1)
       SELECT 'o' || event_id AS event_id, 'P' || user_id AS patient_id, CASE event_type WHEN 'view' THEN 'Herzfrequenz' WHEN 'click' THEN 'Körpergewicht' ELSE 'FHIR_Observation' END AS event_type, {_AT} AS t_start,
         CASE WHEN value > 250 THEN b ELSE {_AT} - INTERVAL 1 HOUR END AS stay_start, CASE WHEN value > 250 THEN e ELSE {_AT} + INTERVAL 1 HOUR END AS stay_end, round(value, 6) AS value,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import read_files
 from .hl7 import LOINC, _map
 
 #: Codes of the bundle importer.
@@ -134,8 +135,14 @@ def to_resources(events: DataFrame, resources: DataFrame | None = None) -> DataF
 
 
 def _time(text: Column) -> Column:
-    """ISO time; an offset is dropped."""
-    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")).cast("timestamp_ntz")
+    """ISO time in UTC: an offset is applied; a time without one is UTC already."""
+    zone = F.regexp_extract(text, r"T.*?(Z|[+-]\d{2}:?\d{2})$", 1)
+    plain = F.try_to_timestamp(F.replace(F.left(text, F.length(text) - F.length(zone)), F.lit("T"), F.lit(" "))).cast("timestamp_ntz")
+    digits = F.regexp_replace(zone, ":", "")
+    minutes = F.substring(digits, 2, 2).cast("int") * 60 + F.substring(digits, 4, 2).cast("int")
+    signed = F.when(F.startswith(digits, F.lit("-")), minutes).otherwise(-minutes)
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.when(F.length(digits) == 5, signed).otherwise(0))
+    return F.when(text.isNotNull(), plain + shift)
 
 
 def _last_of_each(entries: Column) -> Column:
@@ -217,6 +224,18 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("bundle"))
 
 
+def import_directory(spark: SparkSession, path: str, *, pattern: str = "*.json", limit: int | None = None, code_map: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events of the bundles in ``path``, the first ``limit`` files by name, and the files that are none.
+
+    A file that is no JSON object, or no bundle, is set aside as ``file, reason``; it counts towards the limit.
+    """
+    files = read_files(spark, path, pattern, limit)
+    kind = F.try_variant_get(F.try_parse_json("raw"), "$.resourceType", "string")
+    reason = F.when(F.try_parse_json("raw").isNull(), "no json").when(~kind.eqNullSafe(F.lit("Bundle")), "no bundle")
+    good = files.where(reason.isNull()).select("file", F.col("raw").alias("bundle"))
+    return import_bundles(good, code_map=code_map), files.where(reason.isNotNull()).select("file", reason.alias("reason"))
+
+
 def import_bundles(bundles: DataFrame, *, code_map: dict | None = None, include_encounters: bool = True, key: str = "file") -> DataFrame:
     """Events of FHIR bundles: stays come from the encounter that a resource names (by id or full URL).
 

@@ -7,9 +7,11 @@ separator, included), so field n of any segment is element n.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import read_files
+
 #: Admission triggers.
 ADT = {
     "A01": "Aufnahme",
@@ -96,6 +98,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("raw"))
 
 
+def import_directory(spark: SparkSession, path: str, *, pattern: str = "*.hl7", limit: int | None = None, code_map: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events of the files in ``path``, the first ``limit`` by name, and the files that give none.
+
+    Events have ``file`` and ``nth``, their place in the file by time (ties as in the file). A file without a message,
+    or none that has a patient and a time, is set aside as ``file, reason``; it counts towards the limit.
+    """
+    files = read_files(spark, path, pattern, limit)
+    found = to_events(parse(split_messages(files)), code_map, keep=("file",))
+    order = Window.partitionBy("file").orderBy("t_start", "control_id")
+    events = found.withColumn("nth", F.row_number().over(order) - 1)
+    some = F.size(F.filter(F.split(F.regexp_replace("raw", "[\\x0B\\x1C]", ""), "[\r\n]+"), lambda s: F.startswith(s, F.lit("MSH")))) > 0
+    dead = files.join(found.select("file").distinct(), "file", "left_anti")
+    return events, dead.select("file", F.when(some, "no patient or time").otherwise("no message").alias("reason"))
+
+
 def split_messages(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per message: text is cut before every line that starts with MSH; MLLP frames are dropped."""
     text = F.regexp_replace(F.regexp_replace(raw, "[\\x0B\\x1C]", ""), "\r\n?", "\n")
@@ -167,14 +184,15 @@ def trigger() -> Column:
     return field(segment("MSH"), 9, 2)
 
 
-def to_events(messages: DataFrame, code_map: dict | None = None) -> DataFrame:
-    """One event per parsed message; messages without patient or time are dropped."""
+def to_events(messages: DataFrame, code_map: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One event per parsed message, with the columns ``keep``; messages without patient or time are dropped."""
     # Segments, then fields, then times are columns of their own, so that each is computed once.
     names = ("MSH", "EVN", "PID", "PV1", "OBR", "OBX")
-    rows = once(messages.where("segments IS NOT NULL"), "comp", *[segment(s).alias(s) for s in names])
+    rows = once(messages.where("segments IS NOT NULL"), *keep, "comp", *[segment(s).alias(s) for s in names])
     seg = lambda s, n, comp=None: field(F.col(s), n, comp)
     rows = once(
         rows,
+        *keep,
         seg("MSH", 10).alias("control_id"),
         seg("PID", 3, 1).alias("patient_id"),
         seg("MSH", 9, 1).alias("kind"),
@@ -194,6 +212,7 @@ def to_events(messages: DataFrame, code_map: dict | None = None) -> DataFrame:
     hour = F.expr("INTERVAL 1 HOUR")
     rows = rows.withColumn("t_start", F.coalesce(*[f"t{k}" for k in range(len(TIMES))])).where("patient_id IS NOT NULL AND t_start IS NOT NULL")
     return rows.select(
+        *keep,
         "control_id",
         "patient_id",
         F.coalesce(own, default, F.concat_ws("_", F.lit("HL7"), "kind", "trigger")).alias("event_type"),

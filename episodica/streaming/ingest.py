@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..sources import hl7
 
@@ -58,30 +57,54 @@ def session_episodes(events: DataFrame, *, gap: str = "12 hours", delay: str = "
     return out.select("patient_id", F.col("w.start").alias("t_begin"), F.col("w.end").alias("t_close"), "n_events")
 
 
+class _RollingZ(StatefulProcessor):
+    """Scores a patient's new values against the last ones, which are a list in the state store."""
+
+    def __init__(self, history: int, least: int):
+        self.history, self.least = history, least
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", "x double")
+
+    def handleInputRows(self, key, rows, timers):
+        # The frames of one batch are of any order: its rows are sorted together before they are scored.
+        frame = pd.concat(list(rows)).sort_values(["t_start", "event_id"], kind="stable")
+        held = [x for (x,) in self.held.get()] if self.held.exists() else []
+        values = np.array([np.nan if x is None else x for x in held] + list(frame["x"]), dtype=float)
+        z = np.zeros(len(frame))
+        # Each row beside the ``history`` values before it; those that are missing count for nothing.
+        padded = np.concatenate([np.full(self.history, np.nan), values])[len(held) :]
+        for lo in range(0, len(frame), 10_000):
+            hi = min(lo + 10_000, len(frame))
+            before = np.lib.stride_tricks.sliding_window_view(padded[lo : hi + self.history - 1], self.history)
+            known = ~np.isnan(before)
+            n = known.sum(1)
+            mean = np.where(known, before, 0).sum(1) / np.maximum(n, 1)
+            spread = np.sqrt(np.where(known, (before - mean[:, None]) ** 2, 0).sum(1) / np.maximum(n, 1))
+            x = padded[self.history + lo : self.history + hi]
+            good = (n >= self.least) & (spread > 1e-6) & ~np.isnan(x)
+            z[lo:hi] = np.where(good, np.abs(x - mean) / np.where(good, spread, 1), 0.0)
+        self.held.put([(None if x != x else float(x),) for x in values[-self.history :]])
+        yield pd.DataFrame({"patient_id": key[0], "event_id": frame["event_id"].to_numpy(), "z": z})
+
+    def close(self) -> None:
+        pass
+
+
 def streaming_z(events: DataFrame, attr: str, *, history: int = 100, least: int = 3) -> DataFrame:
-    """``patient_id, event_id, z`` on a stream: |z| against the patient's last values in order of arrival.
+    """``patient_id, event_id, z`` on a stream: |z| against the patient's last values.
 
-    State is one bounded list per patient; the first events of a patient score 0.
+    A batch's rows of a patient are scored in order of time and id, however many they are, after those
+    of earlier batches. The state of a patient is one list of ``history`` values; the first events, and
+    those without the value, score 0. Needs the state store with list state, see :func:`list_state`.
     """
+    rows = events.select("patient_id", "event_id", "t_start", F.col("num").getItem(attr).alias("x"))
+    return rows.groupBy("patient_id").transformWithStateInPandas(_RollingZ(history, least), "patient_id string, event_id string, z double", "Append", "None")
 
-    def score(key, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(["t_start", "event_id"])
-            out = []
-            for x in frame["x"]:
-                values = [v for v in held if v is not None]
-                z = 0.0
-                if x == x and len(values) >= least:
-                    s = pd.Series(values)
-                    z = abs(x - s.mean()) / s.std(ddof=0) if s.std(ddof=0) > 1e-6 else 0.0
-                out.append(z)
-                held = [*held, float(x) if x == x else None][-history:]
-            yield pd.DataFrame({"patient_id": key[0], "event_id": frame["event_id"], "z": out})
-        state.update((json.dumps(held),))
 
-    rows = events.select("patient_id", "event_id", "t_start", F.col("num").getItem(attr).alias("x"))
-    return rows.groupBy("patient_id").applyInPandasWithState(score, "patient_id string, event_id string, z double", "held string", "append", GroupStateTimeout.NoTimeout)
+def list_state(spark: SparkSession) -> None:
+    """Let streams that start in this session from now on keep lists in their state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def queue_status(spark: SparkSession, events_path: str, dead_path: str) -> DataFrame:
