@@ -203,6 +203,21 @@ def stream_ingest(spark, d):
     return found.unionByName(dead)
 
 
+def stream_acknowledged(spark, d):
+    """What one ingest writes to its four sinks, counted: events, dead letters, answers and audit entries."""
+    base = scratch(spark, "stream")
+    bad = F.when(F.col("event_id") == 0, F.lit("MSH|bad\r")).otherwise(F.lit(""))
+    _messages(spark, d).select(F.concat("raw", bad).alias("value")).write.option("maxRecordsPerFile", 50_000).text(f"{base}/in", lineSep="\r")
+    paths = {f"{k}_path": f"{base}/{k}" for k in ("events", "dead", "ack", "audit")}
+    ingest.ingest(ingest.message_stream(spark, f"{base}/in"), **paths, checkpoint=f"{base}/checkpoint", salt="s").awaitTermination()
+    kinds = {"events": F.lit("stored"), "dead": F.col("reason"), "ack": F.concat(F.lit("ACK "), F.regexp_extract("ack", r"ACK\^(\w+)", 1)), "audit": F.concat(F.lit("audit "), F.col("success").cast("string"))}
+    out = None
+    for k, kind in kinds.items():
+        rows = spark.read.parquet(paths[f"{k}_path"]).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _out(stream, columns, mode="append"):
     """All rows that a bounded stream gives, by way of Parquet in the shared folder.
 
@@ -286,6 +301,9 @@ SQL = {
         CASE event_type WHEN 'view' THEN '8867-4' WHEN 'click' THEN '27113001' ELSE '0' END AS code FROM events JOIN u USING (user_id)
       UNION ALL SELECT 'enc-' || user_id, 'P' || user_id, 'Notaufnahme', b, b, e, NULL, '50849002' FROM u""",
     "stream_ingest": f"SELECT {_NAME} AS event_type, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'dead: unreadable', 1",
+    "stream_acknowledged": f"""SELECT 'stored' AS kind, count(*) AS n FROM events UNION ALL SELECT 'unreadable', 1
+      UNION ALL SELECT 'ACK ' || split_part({_KIND}, '^', 2), count(*) FROM events GROUP BY 1
+      UNION ALL SELECT 'audit true', count(*) FROM events UNION ALL SELECT 'audit false', 1""",
     "stream_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_z": f"""SELECT patient_id, event_id, round(CASE WHEN count(value) OVER w >= 3 AND stddev_pop(value) OVER w > 1e-6 THEN abs(value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0.0 END, 6) AS z
       FROM {E} WINDOW w AS (PARTITION BY patient_id ORDER BY t_start, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)""",

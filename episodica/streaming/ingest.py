@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators import audit
 from ..sources import hl7
 
 
@@ -25,25 +26,62 @@ def deduplicated_events(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("t", delay).dropDuplicatesWithinWatermark(["control_id"])
 
 
-def ingest(messages: DataFrame, *, events_path: str, dead_path: str, checkpoint: str, once: bool = True):
+def ingest(messages: DataFrame, *, events_path: str, dead_path: str, checkpoint: str, ack_path: str | None = None, audit_path: str | None = None, salt: str | None = None, once: bool = True):
     """Write events and, apart, the messages that give none (dead letters), each batch exactly once.
 
-    Batches are numbered folders written in overwrite mode: a batch that is repeated after a failure
-    replaces its own output.
+    With ``ack_path`` every readable message is acknowledged (``control_id, code, ack``; code AA also for one
+    without patient or time, which is sound but holds nothing to store; what is unreadable has no
+    control id to answer). With ``audit_path`` every message leaves an audit entry, patients as
+    pseudonyms under ``salt``. Batches are numbered folders written in overwrite mode, in all sinks: a
+    batch that is repeated after a failure replaces its own output.
     """
+    if audit_path and not salt:
+        raise ValueError("audit entries need a salt")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        hl7.to_events(batch).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
+        out = lambda rows, path: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        out(hl7.to_events(batch), events_path)
         at = F.coalesce(*[hl7.timestamp(hl7.field(hl7.segment(s), n)) for s, n in hl7.TIMES])
         reason = F.when(F.col("segments").isNull(), "unreadable").when(hl7.patient().isNull(), "no patient").when(at.isNull(), "no time")
-        batch.withColumn("reason", reason).where("reason IS NOT NULL").select("message", "reason").write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        judged = batch.withColumn("reason", reason)
+        out(judged.where("reason IS NOT NULL").select("message", "reason"), dead_path)
+        msh = hl7.segment("MSH")
+        control = F.coalesce(hl7.field(msh, 10), F.lit("unknown"))
+        if ack_path:
+            out(judged.where("segments IS NOT NULL").select(control.alias("control_id"), F.lit("AA").alias("code"), hl7.acknowledgement(F.lit("AA")).alias("ack")), ack_path)
+        if audit_path:
+            said = F.concat(F.lit("hl7v2 msg_id="), control, F.when(F.col("reason").isNull(), F.concat(F.lit(" type="), hl7.kind(), F.lit("^"), F.coalesce(hl7.trigger(), F.lit("")))).otherwise(F.concat(F.lit(" reason="), "reason")))
+            stored = F.col("reason").isNull()
+            rows = judged.select(
+                F.lit("import").alias("action"),
+                F.concat(F.lit("mllp:"), F.coalesce(hl7.field(msh, 3), F.lit("unknown"))).alias("user"),
+                F.when(stored, "event").alias("resource_type"),
+                F.when(stored, control).alias("resource_id"),
+                F.when(stored, hl7.patient()).alias("patient_id"),
+                stored.alias("success"),
+                said.alias("details"),
+            )
+            out(audit.entries(rows, salt), audit_path)
         batch.unpersist()
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def dead_letters(spark: SparkSession, dead_path: str) -> DataFrame:
+    """``batch, message, reason`` of what :func:`ingest` has set aside."""
+    return spark.read.parquet(dead_path).select("batch", "message", "reason")
+
+
+def clear_dead_letters(spark: SparkSession, dead_path: str, before: int) -> None:
+    """Empty the dead letters of the batches below ``before``; a running stream only writes later ones."""
+    rows = dead_letters(spark, dead_path)
+    old = [r.batch for r in rows.where(F.col("batch") < before).select("batch").distinct().collect()]  # one row a batch
+    for number in old:
+        rows.drop("batch").limit(0).write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+
+
 def windowed_counts(events: DataFrame, *, window: str = "1 hour", delay: str = "1 day", time: str = "t_start") -> DataFrame:
     """Events per window and type; late data counts until the watermark passes."""
     rows = events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", delay)
