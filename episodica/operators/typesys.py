@@ -110,6 +110,44 @@ def closure(types: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).groupBy("name", "ancestor").agg(F.max("depth").alias("depth"))
 
 
+def _has(closed: DataFrame, name: str, ancestor: str) -> bool:
+    return not closed.where((F.col("name") == name) & (F.col("ancestor") == ancestor)).isEmpty()
+
+
+def add_type(types: DataFrame, closed: DataFrame, name: str, parent: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(types, closure) with a new type below ``parent`` (null: a root). The closure gains the ancestors of one row only."""
+    if not name or _has(closed, name, name):
+        raise ValueError(f"{name!r} is no new name")
+    if parent is not None and not _has(closed, parent, parent):
+        raise ValueError(f"there is no type {parent!r}")
+    spark = types.sparkSession
+    row = spark.createDataFrame([(name, parent)], "name string, parent string")
+    own = spark.createDataFrame([(name, name, 0)], "name string, ancestor string, depth int")
+    above = closed.where(F.col("name") == parent).select(F.lit(name).alias("name"), "ancestor", (F.col("depth") + 1).alias("depth"))
+    return types.unionByName(row), closed.unionByName(own).unionByName(above) if parent is not None else closed.unionByName(own)
+
+
+def add_edge(types: DataFrame, closed: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """(types, closure) with one more parent of an existing type; an edge that closes a cycle is an error.
+
+    Only pairs through the new edge are new or deeper: all below ``child`` with all above ``parent``.
+    A parent that is there already changes nothing.
+    """
+    for name in (child, parent):
+        if not _has(closed, name, name):
+            raise ValueError(f"there is no type {name!r}")
+    if _has(closed, parent, child):
+        raise ValueError("the edge would close a cycle")
+    row = types.sparkSession.createDataFrame([(child, parent)], "name string, parent string")
+    # The row without a parent that a root may have says nothing any more.
+    kept = types.where(~((F.col("name") == child) & F.col("parent").isNull()))
+    below = closed.where(F.col("ancestor") == child).select("name", F.col("depth").alias("down"), F.lit(child).alias("via"))
+    above = closed.where(F.col("name") == parent).select("ancestor", F.col("depth").alias("up"), F.lit(child).alias("via"))
+    through = below.join(above, "via").select("name", "ancestor", (F.col("down") + F.col("up") + 1).alias("depth"))
+    deepest = closed.unionByName(through).groupBy("name", "ancestor").agg(F.max("depth").alias("depth"))
+    return kept.unionByName(row).distinct(), deepest
+
+
 def depths(closed: DataFrame) -> DataFrame:
     return closed.groupBy("name").agg(F.max("depth").alias("depth"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal
-from ..operators import audit, privacy, store
+from ..operators import audit, privacy, store, tables
 from ..schema import interval_events, num, part_of, point_events, preceded_by
-from .base import E, I, P, flat, r6
+from .base import E, I, P, flat, r6, scratch
 
 _DAY = "TIMESTAMP '2024-01-05 00:00:00'"
 
@@ -160,7 +160,54 @@ def fingerprints(spark, d):
 
 
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in store.INVERSE.items())
+def _table(spark, d):
+    """The point events as a table on disk, a column ``note`` saying where a row is from."""
+    path = scratch(spark, "events")
+    rows = point_events(spark, d).select("event_id", "patient_id", "event_type", "t_start", F.lit("old").alias("note"))
+    tables.create(rows, path, 16)
+    return path, rows
+
+
+def table_upsert(spark, d):
+    """Every tenth event replaced, as many new ones added, then all read back from disk."""
+    path, rows = _table(spark, d)
+    tenth = rows.where("event_id % 10 = 0")
+    changes = tenth.withColumn("event_type", F.lit("changed")).unionByName(tenth.withColumn("event_id", F.concat(F.lit("n"), "event_id")))
+    tables.upsert(spark, path, changes.withColumn("note", F.lit("new")))
+    return tables.read(spark, path)
+
+
+def table_update(spark, d):
+    """Changes for ids that exist and for some that do not; the latter leave no trace."""
+    path, rows = _table(spark, d)
+    tenth = rows.where("event_id % 10 = 3").withColumn("note", F.lit("updated"))
+    tables.update(spark, path, tenth.unionByName(tenth.withColumn("event_id", F.concat(F.lit("n"), "event_id"))))
+    return tables.read(spark, path)
+
+
+def table_delete(spark, d):
+    path, rows = _table(spark, d)
+    tables.delete(spark, path, rows.where("event_type = 'click'").select("event_id"))
+    return tables.read(spark, path)
+
+
+def references_layouts(spark, d):
+    """References of which one part was written before relations were kept, brought up to date and read."""
+    path = scratch(spark, "refs")
+    refs = preceded_by(point_events(spark, d)).select("event_id", "ref_id", "relation")
+    refs.where("event_id % 2 = 0").select("event_id", "ref_id").write.parquet(f"{path}/batch=1")
+    refs.where("event_id % 2 = 1").write.parquet(f"{path}/batch=2")
+    tables.upgrade_references(spark, path)
+    return tables.read_references(spark, path)
+
+
+_NOTED = f"SELECT event_id, patient_id, event_type, t_start, 'old' AS note FROM {E}"
 SQL = {
+    "table_upsert": f"""SELECT event_id, patient_id, CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN 'changed' ELSE event_type END AS event_type, t_start, CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN 'new' ELSE 'old' END AS note FROM {E}
+      UNION ALL SELECT 'n' || event_id, patient_id, event_type, t_start, 'new' FROM {E} WHERE CAST(event_id AS BIGINT) % 10 = 0""",
+    "table_update": f"SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 10 = 3 THEN 'updated' ELSE note END AS note) FROM ({_NOTED})",
+    "table_delete": f"SELECT * FROM ({_NOTED}) WHERE event_type <> 'click'",
+    "references_layouts": f"SELECT event_id, ref_id, CASE WHEN CAST(event_id AS BIGINT) % 2 = 0 THEN 'references' ELSE relation END AS relation FROM {P}",
     "all_ordered": f"SELECT event_id, patient_id, event_type, t_start FROM {E} ORDER BY t_start, event_id",
     "get_event": f"SELECT event_id, patient_id, event_type, t_start, round(value, 6) AS value FROM {E} WHERE event_id = '17'",
     "upsert_events": f"SELECT event_id, patient_id, CASE event_type WHEN 'error' THEN 'fixed' ELSE event_type END AS event_type, round(value, 6) AS value FROM {E} UNION ALL SELECT 'n' || event_id, patient_id, event_type, round(value, 6) FROM {E} WHERE event_type = 'signup'",
