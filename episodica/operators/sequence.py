@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,69 +57,125 @@ class Grammar:
                     raise ValueError(f"not in normal form: {left} -> {' '.join(p)}")
                 self.probabilities.setdefault((left, tuple(p)), 1 / len(productions))
 
-    def _tables(self):
-        terminal, binary = {}, {}
-        for (left, p), prob in self.probabilities.items():
-            if prob > 0:
-                (terminal.setdefault(p[0], []) if len(p) == 1 else binary.setdefault(p, [])).append((left, math.log(prob)))
-        return terminal, binary
+    def parse(self, tokens, beam: int | None = None) -> tuple[float, str | None]:
+        """Best log probability (-inf: no parse) and its tree in brackets; see :meth:`parse_all`."""
+        return self.parse_all([list(tokens)], beam)[0]
 
-    def parse(self, tokens, beam: int | None = None, *, tables=None) -> tuple[float, str | None]:
-        """Best log probability (-inf: no parse) and its tree in brackets; the first best one on ties.
+    def parse_all(self, sequences: list[list[str]], beam: int | None = None) -> list[tuple[float, str | None]]:
+        """:meth:`parse` of many sequences; those of one length share the numpy planes of a chart.
 
-        With ``beam`` only that many entries of each cell are kept. A small helper of :func:`cyk`.
+        Of equally good parses the one with the earliest split wins, then the first production. With
+        ``beam`` only that many nonterminals of each span are kept, the best by probability, then name.
         """
-        terminal, binary = tables or self._tables()
-        n, none = len(tokens), (-math.inf, None)
-        if not n:
-            return none
-        cell = {(i, i + 1): {left: (p, (left, t)) for left, p in terminal.get(t, [])} for i, t in enumerate(tokens)}
+        chart = _Chart(self)
+        out: list = [(-math.inf, None)] * len(sequences)
+        by_length: dict[int, list[int]] = {}
+        for at, tokens in enumerate(sequences):
+            by_length.setdefault(len(tokens), []).append(at)
+        for n, places in by_length.items():
+            room = max(1, PLANES // (len(chart.names) * (n + 1) ** 2))
+            for lo in range(0, len(places) if n else 0, room):
+                some = places[lo : lo + room]
+                for at, found in zip(some, chart.fill([sequences[k] for k in some], n, beam), strict=True):
+                    out[at] = found
+        return out
+
+
+#: Numbers in a plane of a chart, over all nonterminals and sequences that are parsed together.
+PLANES = 4_000_000
+
+
+class _Chart:
+    """Chart parsing over arrays: a span length at a time, all starts, splits and sequences at once."""
+
+    def __init__(self, grammar: Grammar):
+        self.names = sorted(grammar.rules)
+        self.start = self.names.index(grammar.start) if grammar.start in grammar.rules else None
+        number = {name: k for k, name in enumerate(self.names)}
+        self.terminal: dict[str, list[tuple[int, float]]] = {}
+        self.binary: list[list[tuple[int, int, float]]] = [[] for _ in self.names]
+        for left, productions in grammar.rules.items():
+            for production in dict.fromkeys(map(tuple, productions)):
+                p = grammar.probabilities[left, production]
+                if p > 0 and len(production) == 1:
+                    self.terminal.setdefault(production[0], []).append((number[left], math.log(p)))
+                elif p > 0:
+                    self.binary[number[left]].append((number[production[0]], number[production[1]], math.log(p)))
+
+    def fill(self, sequences: list[list[str]], n: int, beam: int | None) -> list[tuple[float, str | None]]:
+        m, size = len(self.names), len(sequences)
+        # Scores by nonterminal, sequence, start and length; and the same by end, so that splits are slices of both.
+        starts = np.full((m, size, n + 1, n + 1), -np.inf)
+        ends = np.full((m, size, n + 1, n + 1), -np.inf)
+        split = np.zeros((m, size, n + 1, n + 1), np.int32)
+        rule = np.zeros((m, size, n + 1, n + 1), np.int16)
+        for b, tokens in enumerate(sequences):
+            for i, t in enumerate(tokens):
+                for left, p in self.terminal.get(t, ()):
+                    starts[left, b, i, 1] = ends[left, b, i + 1, 1] = p
+        live = [bool(np.isfinite(starts[k]).any()) for k in range(m)]
         for span in range(2, n + 1):
-            for i in range(n - span + 1):
-                best = {}
-                for k in range(i + 1, i + span):
-                    for b, (pb, tb) in cell[i, k].items():
-                        for c, (pc, tc) in cell[k, i + span].items():
-                            for left, p in binary.get((b, c), ()):
-                                if left not in best or best[left][0] < p + pb + pc:
-                                    best[left] = (p + pb + pc, (left, tb, tc))
-                if beam and len(best) > beam:
-                    best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:beam])
-                cell[i, i + span] = best
-        found = cell[0, n].get(self.start, none)
-        return found[0], _bracket(found[1])
-
-
-def _bracket(tree) -> str | None:
-    """A tree in brackets; a stack instead of recursion, as a long sequence gives a deep tree."""
-    if tree is None:
-        return None
-    out, todo = [], [tree]
-    while todo:
-        at = todo.pop()
-        if isinstance(at, str):
-            out.append(at)
-        elif len(at) == 2:
-            out.append(f"({at[0]} {at[1]})")
-        else:
-            out.append(f"({at[0]} ")
-            todo += [")", at[2], " ", at[1]]
-    return "".join(out)
+            here = n - span + 1
+            best = np.full((m, size, here), -np.inf)
+            for left, productions in enumerate(self.binary):
+                for number, (x, y, p) in enumerate(productions):
+                    if not live[x] or not live[y]:
+                        continue
+                    both = (p + starts[x, :, :here, 1:span]) + ends[y, :, span:, span - 1 : 0 : -1]
+                    at = both.argmax(2)
+                    score = np.take_along_axis(both, at[:, :, None], 2)[:, :, 0]
+                    better = (score > best[left]) | (np.isfinite(score) & (score == best[left]) & (at + 1 < split[left, :, :here, span]))
+                    best[left][better] = score[better]
+                    split[left, :, :here, span][better] = at[better] + 1
+                    rule[left, :, :here, span][better] = number
+            if beam and beam < m:
+                order = np.argsort(-best, axis=0, kind="stable")
+                rank = np.empty_like(order)
+                np.put_along_axis(rank, order, np.broadcast_to(np.arange(m)[:, None, None], order.shape), 0)
+                best[rank >= beam] = -np.inf
+            starts[:, :, :here, span] = best
+            ends[:, :, span:, span] = best
+            live = [a or bool(np.isfinite(best[k]).any()) for k, a in enumerate(live)]
+        none = (-math.inf, None)
+        if self.start is None:
+            return [none] * size
+        return [(float(starts[self.start, b, 0, n]), self._tree(tokens, b, n, split, rule)) if np.isfinite(starts[self.start, b, 0, n]) else none for b, tokens in enumerate(sequences)]
+
+    def _tree(self, tokens: list[str], b: int, n: int, split, rule) -> str:
+        """The tree in brackets; a stack instead of recursion, as a long sequence gives a deep tree."""
+        out, todo = [], [(self.start, 0, n)]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, str):
+                out.append(at)
+                continue
+            left, i, span = at
+            if span == 1:
+                out.append(f"({self.names[left]} {tokens[i]})")
+                continue
+            k = int(split[left, b, i, span])
+            x, y, _ = self.binary[left][rule[left, b, i, span]]
+            out.append(f"({self.names[left]} ")
+            todo += [")", (y, i + k, span - k), " ", (x, i, k)]
+        return "".join(out)
 
 
 def cyk(seqs: DataFrame, grammar: Grammar, *, beam: int | None = None) -> DataFrame:
     """``seqs`` plus ``matches``, ``probability``, ``tree`` (null with a beam) by chart parsing, Arrow batches.
 
-    Equal sequences are parsed once: they are grouped first, so hot sequences cost one parse.
+    Equal sequences are parsed once: they are grouped first, so hot sequences cost one parse. A sequence
+    of n tokens takes memory of n^2 numbers for each nonterminal. Null sequences do not match.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = grammar._tables()
         for batch in batches:
-            found = [grammar.parse(list(t), beam, tables=tables) for t in batch["tokens"]]
+            found = grammar.parse_all([[] if t is None else list(t) for t in batch["tokens"]], beam)
             yield batch.assign(matches=[p > -math.inf for p, _ in found], probability=[math.exp(p) for p, _ in found], tree=[None if beam else t for _, t in found])
 
     once = seqs.select("tokens").distinct().mapInPandas(run, "tokens array<string>, matches boolean, probability double, tree string")
+    if "tokens" in seqs.columns and seqs.schema["tokens"].nullable:
+        same = once.withColumnRenamed("tokens", "__tokens")
+        return seqs.join(same, F.col("tokens").eqNullSafe(F.col("__tokens")), "left").drop("__tokens")
     return seqs.join(once, "tokens", "left")
 
 
