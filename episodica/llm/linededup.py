@@ -11,10 +11,11 @@ copies.
 4. Of what is left a line emits its deletion neighbourhood as hashed keys: every single deletion with
    its position, which lines of equal length share that differ there only; and every single deletion
    as a text, next to the texts that lines one shorter have there.
-5. Lines with an equal key are joined with one of them, the first line or the shorter one, and compared
-   with a bounded edit distance; all of them differ from it in that one place only, so no pair of a
-   group is needed besides, and a group costs as many links as it has lines. Links become components
-   and the earliest line of each stays.
+5. A line is removed if an earlier line that stays is within one edit, and stays otherwise. Lines of an
+   equal key are near each other, or near the one that is shorter, so a group never needs its pairs: in
+   each round a line that is the earliest undecided one of all its keys stays, and one that has an
+   earlier staying line in a key goes, after the two are compared with a bounded edit distance. Rounds
+   end when all are decided; a line depends on earlier ones only, so there are few.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, stash, table, text_or_empty
-from .neardup import components
 
 #: Characters of which all single deletions are taken at once.
 PIECE = 256
@@ -71,11 +71,51 @@ def _neighbourhood(path: Column, m: Column, rest: Column) -> Column:
     return F.when(n == m, F.concat(changed, F.array(key(True, F.lit("is"), rest)))).otherwise(gone)
 
 
+def _per_key(members: DataFrame, name: str) -> DataFrame:
+    """Of each key its earliest line, and its earliest one that others are compared with."""
+    return members.groupBy("key").agg(F.min("at").alias(name), F.min(F.when(F.col("hub"), F.col("at"))).alias(f"{name}_hub"))
+
+
+def _near_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (at, to) whose lines are within one edit."""
+    both = pairs.join(lines.withColumnRenamed("line", "x"), "at").join(lines.select(F.col("at").alias("to"), F.col("line").alias("y")), "to")
+    return both.where(F.levenshtein("x", "y", 1) >= 0).select("at", "to")
+
+
+def _owners(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """``at`` and ``owner``: of the lines that go, the earliest near one that stays. ``members`` has at, key, hub."""
+    undecided, staying = members, None
+    while True:
+        rows = undecided.join(_per_key(undecided, "lo"), "key")
+        blocked = F.coalesce(F.when(F.col("hub"), F.col("lo")).otherwise(F.col("lo_hub")) < F.col("at"), F.lit(False))
+        state = rows.groupBy("at").agg(F.max(blocked).alias("blocked"))
+        if staying is not None:
+            gone = stash(_near_pairs(_meeting(undecided, staying), lines).select("at").distinct(), "line-gone")
+            state = state.join(gone.withColumn("gone", F.lit(True)), "at", "left")
+        else:
+            state = state.withColumn("gone", F.lit(None).cast("boolean"))
+        state = stash(state.select("at", F.when(F.col("gone"), "gone").when(F.col("blocked"), "open").otherwise("stays").alias("state")), "line-states")
+        stay = undecided.join(state.where("state = 'stays'").select("at"), "at", "left_semi").select(*members.columns)
+        staying = stash(stay if staying is None else staying.unionByName(stay), "line-staying")
+        if state.where("state = 'open'").isEmpty():
+            break
+        undecided = stash(undecided.join(state.where("state = 'open'").select("at"), "at", "left_semi").select(*members.columns), "line-open")
+    other = members.join(staying.select("at").distinct(), "at", "left_anti")
+    return _near_pairs(_meeting(other, staying), lines).groupBy("at").agg(F.min("to").alias("owner"))
+
+
+def _meeting(members: DataFrame, staying: DataFrame) -> DataFrame:
+    """``at, to``: lines with the earliest staying line of each of their keys that they are compared with."""
+    to = F.when(F.col("hub"), F.col("k")).otherwise(F.col("k_hub"))
+    rows = members.join(_per_key(staying, "k"), "key").select("at", to.alias("to"))
+    return rows.where(F.col("to") < F.col("at")).distinct()
+
+
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line's place and the earliest place of its class: ``id, t, no, of_id, of_t, of_no, near``.
+    """Every line's place and that of the line that stays for it: ``id, t, no, of_id, of_t, of_no, near``.
 
-    ``t`` is a hash of the document's text, ``near`` says that the class's earliest line is not equal
-    to this one. Lines without a character that is not white space have no class. Rows equal in id and
+    ``t`` is a hash of the document's text, ``near`` says that the staying line is not equal to this one,
+    but the earliest staying one within one edit. Lines without a character that is not white space have no class. Rows equal in id and
     text are one document; rows that share an id, or have none, are told apart by their texts, null
     ids come last; equal lines of one document belong to its first. Texts and lines of any length are
     compared whole; null and empty texts have no lines, an empty table gives no rows, other columns are
@@ -105,14 +145,11 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rows = rows.select("at", F.explode(F.when(F.col("m") > PIECE, F.array(*_halved(F.col("rest"), F.col("m"), F.col("path")))).otherwise(F.array(own))).alias("k")).select("at", "k.*")
     near = rows.select("at", F.explode(_neighbourhood(F.col("path"), F.col("m"), F.col("rest"))).alias("v")).select("at", "v.*")
     near = stash(near.distinct(), "line-variants")
-    hubs = near.groupBy("key").agg(F.min(F.when(F.col("hub"), F.col("at"))).alias("to"), F.count("*").alias("c")).where("c > 1 AND to IS NOT NULL").select("key", "to")
-    pairs = near.join(hubs, "key").where("at <> to").select(F.least("at", "to").alias("a"), F.greatest("at", "to").alias("b")).distinct()
-    pairs = pairs.join(picked.select(F.col("at").alias("a"), F.col("line").alias("x")), "a").join(picked.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
-    links = pairs.where(F.levenshtein("x", "y", 1) >= 0).select("a", "b")
-    owner = components(links)
-
-    classes = first.select("h1", "h2", F.col("at").alias("first"))
-    classes = classes.join(owner.select(F.col("id").alias("first"), "component"), "first", "left").select("h1", "h2", F.coalesce("component", "first").alias("of"), "first")
+    shared = near.groupBy("key").agg(F.count("*").alias("c"), F.max("hub").alias("any")).where("c > 1 AND any").select("key")
+    owner = _owners(stash(near.join(shared, "key"), "line-members"), picked)
+
+    classes = first.select("h1", "h2", F.col("at").alias("first")).join(owner.withColumnRenamed("at", "first"), "first", "left")
+    classes = classes.select("h1", "h2", F.coalesce("owner", "first").alias("of"), "first")
     rows = known.select("h1", "h2", "at").distinct().join(classes, ["h1", "h2"])
     return rows.select("at.id", "at.t", "at.no", F.col("of.id").alias("of_id"), F.col("of.t").alias("of_t"), F.col("of.no").alias("of_no"), (F.col("of") != F.col("first")).alias("near"))
 
@@ -158,10 +195,13 @@ h AS (SELECT *, m, unnest([('L' || left(line, m // 2)), ('R' || right(line, m -
 q AS (SELECT DISTINCT a.at AS a, b.at AS b, a.line AS x, b.line AS y FROM h a JOIN h b ON a.half = b.half AND a.m = b.m AND a.at < b.at AND abs(a.len - b.len) <= 1),
 i AS (SELECT a, b, x, y, coalesce(list_min([i for i in range(1, least(length(x), length(y)) + 1) if substring(x, i, 1) <> substring(y, i, 1)]), least(length(x), length(y)) + 1) AS i FROM q),
 e AS (SELECT a, b FROM i WHERE substring(x, CASE WHEN length(x) >= length(y) THEN i + 1 ELSE i END) = substring(y, CASE WHEN length(y) >= length(x) THEN i + 1 ELSE i END)),
-both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON r.b = x.a),
-low AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
-c AS (SELECT f.line, f.at, CASE WHEN low.low < f.at THEN low.low ELSE f.at END AS o FROM f LEFT JOIN low ON low.a = f.at),
+o AS (SELECT at, row_number() OVER (ORDER BY at) AS i FROM (SELECT a AS at FROM e UNION SELECT b FROM e)),
+v AS (SELECT o.i, coalesce(list(p.i) FILTER (WHERE p.i IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.at LEFT JOIN o p ON p.at = e.a GROUP BY o.i),
+g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT v.i, CASE WHEN list_has_any(v.before, g.kept) THEN g.kept ELSE list_append(g.kept, v.i) END FROM g JOIN v ON v.i = g.i + 1),
+s AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)),
+u AS (SELECT e.b AS at, min(e.a) AS owner FROM e JOIN o ON o.at = e.a JOIN s ON s.i = o.i GROUP BY e.b),
+c AS (SELECT f.line, f.at, CASE WHEN s.i IS NULL THEN coalesce(u.owner, f.at) ELSE f.at END AS o FROM f LEFT JOIN o ON o.at = f.at LEFT JOIN s ON s.i = o.i LEFT JOIN u ON u.at = f.at),
 r AS (SELECT w.doc_id, w.no, c.o <> c.at AS near, c.o.d <> w.doc_id OR c.o.n <> w.no AS gone FROM w JOIN c ON w.line = c.line),
 p AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT near) AS n_equal, count(*) FILTER (near) AS n_near, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone) AS removed FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,

@@ -39,14 +39,16 @@ def _key(id_col: str, text_col: str) -> Column:
     return copies.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(7)), 41))
 
 
-def _splitters(keys: DataFrame, total: int, n_ranges: int) -> list[int]:
+def _sample(keys: DataFrame, total: int) -> DataFrame:
+    """Keys and weights drawn by size. All rows of a key are drawn as one, so about ``SAMPLE`` keys at most come
+    to the driver, however often rows are repeated."""
     step = max(1.0, total / SAMPLE)
-    drawn = (
-        keys.where(unit(F.col("__ep_key"), F.col("__ep_id"), F.lit(3)) < F.col("__ep_size") / F.lit(step))
-        .select("__ep_key", F.greatest(F.col("__ep_size").cast("double"), F.lit(step)).alias("w"))
-        .collect()
-    )
-    drawn = sorted((k, w) for k, w in drawn)
+    sizes = keys.groupBy("__ep_key").agg(F.sum("__ep_size").alias("s"))
+    return sizes.where(unit(F.col("__ep_key"), F.lit(3)) < F.col("s") / F.lit(step)).select("__ep_key", F.greatest(F.col("s").cast("double"), F.lit(step)).alias("w"))
+
+
+def _splitters(keys: DataFrame, total: int, n_ranges: int) -> list[int]:
+    drawn = sorted(tuple(r) for r in _sample(keys, total).collect())
     whole, seen, cuts = sum(w for _, w in drawn), 0.0, []
     for k, w in drawn:
         if seen >= whole * (len(cuts) + 1) / n_ranges and (not cuts or k > cuts[-1]):

@@ -200,3 +200,12 @@ def test_shards_do_not_depend_on_partitions(spark):
     a = sharding.assign_shards(docs, 8).select("doc_id", "shard", "slot")
     b = sharding.assign_shards(docs.repartition(5, F.rand(1)), 8).select("doc_id", "shard", "slot")
     assert a.exceptAll(b).count() == 0
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    rows = spark.range(1_000_000).selectExpr("0L as __ep_key", "7L as __ep_id", "cast(20 as long) as __ep_size")
+    rows = rows.unionByName(spark.range(30_000).selectExpr("xxhash64(id) as __ep_key", "id as __ep_id", "cast(20 as long) as __ep_size"))
+    drawn = sharding._sample(rows, 20 * 1_030_000)
+    assert 1 <= drawn.count() < 20_000
+    cuts = sharding._splitters(rows, 20 * 1_030_000, 64)
+    assert cuts == sorted(set(cuts)) and len(cuts) <= 64
