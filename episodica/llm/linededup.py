@@ -195,13 +195,13 @@ h AS (SELECT *, m, unnest([('L' || left(line, m // 2)), ('R' || right(line, m -
 q AS (SELECT DISTINCT a.at AS a, b.at AS b, a.line AS x, b.line AS y FROM h a JOIN h b ON a.half = b.half AND a.m = b.m AND a.at < b.at AND abs(a.len - b.len) <= 1),
 i AS (SELECT a, b, x, y, coalesce(list_min([i for i in range(1, least(length(x), length(y)) + 1) if substring(x, i, 1) <> substring(y, i, 1)]), least(length(x), length(y)) + 1) AS i FROM q),
 e AS (SELECT a, b FROM i WHERE substring(x, CASE WHEN length(x) >= length(y) THEN i + 1 ELSE i END) = substring(y, CASE WHEN length(y) >= length(x) THEN i + 1 ELSE i END)),
-o AS (SELECT at, row_number() OVER (ORDER BY at) AS i FROM (SELECT a AS at FROM e UNION SELECT b FROM e)),
-v AS (SELECT o.i, coalesce(list(p.i) FILTER (WHERE p.i IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.at LEFT JOIN o p ON p.at = e.a GROUP BY o.i),
+o AS (SELECT place, row_number() OVER (ORDER BY place) AS i FROM (SELECT a AS place FROM e UNION SELECT b FROM e)),
+v AS (SELECT o.i, coalesce(list(p.i) FILTER (WHERE p.i IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.place LEFT JOIN o p ON p.place = e.a GROUP BY o.i),
 g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT v.i, CASE WHEN list_has_any(v.before, g.kept) THEN g.kept ELSE list_append(g.kept, v.i) END FROM g JOIN v ON v.i = g.i + 1),
 s AS (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)),
-u AS (SELECT e.b AS at, min(e.a) AS owner FROM e JOIN o ON o.at = e.a JOIN s ON s.i = o.i GROUP BY e.b),
-c AS (SELECT f.line, f.at, CASE WHEN s.i IS NULL THEN coalesce(u.owner, f.at) ELSE f.at END AS o FROM f LEFT JOIN o ON o.at = f.at LEFT JOIN s ON s.i = o.i LEFT JOIN u ON u.at = f.at),
+u AS (SELECT e.b AS place, min(e.a) AS owner FROM e JOIN o ON o.place = e.a JOIN s ON s.i = o.i GROUP BY e.b),
+c AS (SELECT f.line, f.at, CASE WHEN s.i IS NULL THEN coalesce(u.owner, f.at) ELSE f.at END AS o FROM f LEFT JOIN o ON o.place = f.at LEFT JOIN s ON s.i = o.i LEFT JOIN u ON u.place = f.at),
 r AS (SELECT w.doc_id, w.no, c.o <> c.at AS near, c.o.d <> w.doc_id OR c.o.n <> w.no AS gone FROM w JOIN c ON w.line = c.line),
 p AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND NOT near) AS n_equal, count(*) FILTER (near) AS n_near, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (gone) AS removed FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
