@@ -160,10 +160,14 @@ def _entities(x: Column) -> Column:
 
 
 def _sent(wanted: DataFrame) -> bool:
-    """Whether the distinct terms ``t`` of ``wanted`` may be broadcast."""
+    """Whether the distinct terms ``t`` of ``wanted``, and what stands beside them, may be broadcast."""
     return (wanted.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0) <= SENT
 
 
+def _light(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows
+
+
 def _counts(words: DataFrame, asked: DataFrame) -> DataFrame:
     """``t`` and ``n_t``: how many documents have each of the terms that are asked for."""
     rows = words.select(F.explode(F.array_distinct("__ep_words")).alias("t"))
@@ -188,12 +192,16 @@ def _shingles(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.slice(words, k, SHINGLE))))
 
 
-def _labels(said: DataFrame, counted: DataFrame, held: DataFrame, seen: DataFrame) -> DataFrame:
+def _labels(said: DataFrame, held: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
     """``__ep_row``, ``c`` and ``label`` for the documents of ``seen``: equal for those that copy the entity's first."""
-    alone = counted.where("n_t = n_ct").select("c", "t")
-    seen = seen.select("c", "__ep_row").distinct()
-    own = said.join(seen, ["c", "__ep_row"], "left_semi").join(alone, ["c", "t"]).groupBy("c", "__ep_row").agg(F.collect_set(F.xxhash64("t")).alias("own"))
-    texts = seen.join(own, ["c", "__ep_row"], "left").join(held.select("__ep_row", "shingles"), "__ep_row")
+    seen = stash(seen.select("c", "__ep_row").distinct(), "pii-suspects")
+    few = seen.count() * 32 <= SENT
+    told = said.join(_light(seen.select("c").distinct(), few), "c", "left_semi").groupBy("c", "t").agg(F.count("*").alias("n_ct"))
+    theirs = stash(said.join(_light(seen, few), ["c", "__ep_row"], "left_semi").select("c", "__ep_row", "t"), "pii-words")
+    counts = _counts(words, stash(theirs.select("t").distinct(), "pii-asked"))
+    alone = told.join(counts, "t").where("n_t = n_ct").select("c", "t")
+    own = theirs.join(alone, ["c", "t"]).groupBy("c", "__ep_row").agg(F.collect_set(F.xxhash64("t")).alias("own"))
+    texts = held.select("__ep_row", "shingles").join(_light(seen, few), "__ep_row").join(own, ["c", "__ep_row"], "left")
     texts = stash(texts.withColumn("own", F.coalesce("own", F.array().cast("array<long>"))), "pii-texts")
     first = texts.groupBy("c").agg(F.min("__ep_row").alias("__ep_row")).join(texts, ["c", "__ep_row"]).select("c", F.col("own").alias("first_own"), F.col("shingles").alias("first_shingles"))
     alike = lambda a, b, of: F.size(F.array_intersect(a, b)) >= COPY * of
@@ -225,18 +233,22 @@ def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float)
     entity = stash(entity.where(F.col("apart") * F.col("ic") >= least).drop("apart"), "pii-entities")
     said = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(entity.select("c"), "c", "left_semi")
     said = said.select("__ep_row", "c", "sighting", F.explode("__ep_words").alias("t"))
-    pairs = stash(said.groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart")), "pii-pairs")
-    # Only terms of documents with an entity that may be believed are counted over all documents.
+    # A pair of one sighting reveals nothing: most go before any is counted exactly.
+    twice = said.groupBy("c", "t").agg(F.min("sighting").alias("lo"), F.max("sighting").alias("hi")).where("lo <> hi").select("c", "t")
+    twice = stash(twice, "pii-twice")
+    pairs = said.join(_light(twice, _sent(twice)), ["c", "t"]).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart"))
+    pairs = stash(pairs.join(entity, "c").where(F.col("apart") * F.col("ic") >= least), "pii-pairs")
+    # Only terms that some pair may yet be believed for are counted over all documents.
     counts = _counts(words, stash(pairs.select("t").distinct(), "pii-asked"))
     q, p = F.col("n_ct") / F.col("n_t"), F.least(F.col("n_c"), n - 1) / n
     pmi = F.log(q / p)
     rest = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    counted = stash(pairs.join(counts, "t").join(entity, "c").select("c", "t", "n_ct", "n_t", "apart", (pmi / F.col("ic")).alias("ratio"), (pmi + rest).alias("nats")), "pii-counted")
-    likely = (F.col("ratio") >= disclosure) & (F.col("nats") > 0) & (F.col("apart") * F.col("nats") >= least)
-    likely = stash(counted.where(likely).select("c", "t", "ratio", "nats"), "pii-likely")
+    likely = pairs.join(counts, "t").select("c", "t", "apart", (pmi / F.col("ic")).alias("ratio"), (pmi + rest).alias("nats"))
+    likely = likely.where((F.col("ratio") >= disclosure) & (F.col("nats") > 0) & (F.col("apart") * F.col("nats") >= least))
+    likely = stash(likely.select("c", "t", "ratio", "nats"), "pii-likely")
     # What is left is held against the copies.
-    seen = stash(said.join(likely, ["c", "t"]), "pii-seen")
-    seen = seen.join(_labels(said, counted, held, seen), ["c", "__ep_row"], "left")
+    seen = stash(said.join(_light(likely, _sent(likely)), ["c", "t"]), "pii-seen")
+    seen = seen.join(_labels(said, held, seen, words), ["c", "__ep_row"], "left")
     seen = seen.groupBy("c", "t", "ratio", "nats").agg(F.countDistinct("sighting").alias("apart"), F.countDistinct(F.coalesce("label", "sighting")).alias("texts"))
     return seen.where((F.least("apart", "texts") * F.col("nats")) >= least).groupBy("t").agg(F.max("ratio").alias("ratio"))
 
