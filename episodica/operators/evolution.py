@@ -64,10 +64,12 @@ def run_migration(events: DataFrame, operations: list[tuple], from_version: str,
     log = tried.select("event_id", F.lit(from_version).alias("from_version"), F.lit(to_version).alias("to_version"), status.alias("status"))
     if dry_run:
         return events, log
-    moved = migrate(events, operations).withColumn("__move", of_version & ~F.col("rejected"))
-    new = moved.where("__move").drop("rejected", "__move").withColumn("version_id", F.lit(to_version))
-    old = migrate(events, operations).withColumn("__stay", ~of_version | F.col("rejected")).where("__stay").select("event_id")
-    return new.unionByName(events.join(old, "event_id", "left_semi")), log
+    # One pass: every row carries what it was, and takes what it becomes only if it moves.
+    both = migrate(events.withColumn("__old", F.struct(*events.columns)), operations)
+    old = lambda c: F.col("__old").getField(c)
+    moves = F.coalesce(old("version_id") == from_version, F.lit(False)) & ~F.col("rejected")
+    new = {c: F.lit(to_version) if c == "version_id" else F.col(c) for c in events.columns}
+    return both.select(*[F.when(moves, new[c]).otherwise(old(c)).alias(c) for c in events.columns]), log
 
 
 def register(versions: list[dict], version: dict) -> list[dict]:
