@@ -131,6 +131,20 @@ def train(texts: list[bytes], labels: list[int], *, updates: int = UPDATES, batc
     error = np.sqrt(np.maximum(whole * (1 - whole), 1e-12) * (1 / np.maximum(with_words, 1)).sum())
     common = ((seen.sum(0) >= LEAST_DOCS) & (np.abs(share[1] - share[0]) >= SIGNAL * error)).astype(np.float32)
 
+    # Neutral buckets add nothing, so only the others are looked at from here on; a word keeps its number of grams.
+    lively = common[flat] > 0
+    word_of = np.repeat(np.arange(len(count)), count)
+    flat, some_of = flat[lively], np.bincount(word_of[lively], minlength=len(count)).astype(np.int32)
+    start = np.concatenate([[0], np.cumsum(some_of)[:-1]])
+    del lively, word_of
+
+    def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of runs of ``values``, of which some may be empty."""
+        out = np.zeros((len(sizes), *values.shape[1:]), values.dtype)
+        if len(values):
+            out[sizes > 0] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[sizes > 0])
+        return out
+
     E = (rng.uniform(-1, 1, (BUCKETS, DIM)) * 1e-3 * common[:, None]).astype(np.float32)
     W = (rng.uniform(-1, 1, (DIM, 2)) / DIM).astype(np.float32)
     b = np.zeros(2, np.float32)
@@ -138,7 +152,7 @@ def train(texts: list[bytes], labels: list[int], *, updates: int = UPDATES, batc
 
     def score() -> np.ndarray:
         weights, bias = fused()
-        word = np.add.reduceat(weights[flat], start) / count
+        word = summed(weights[flat], some_of) / count
         so_far = np.concatenate([[0.0], np.cumsum(word[tokens], dtype=np.float64)])
         return (so_far[begin + length] - so_far[begin]) / length + bias
 
@@ -160,12 +174,11 @@ def train(texts: list[bytes], labels: list[int], *, updates: int = UPDATES, batc
             done += 1
             words = tokens[_spread(begin[some], length[some])]
             kept = rng.random(len(words)) >= DROP
-            per = count[words]
+            per = some_of[words]
             feat = flat[_spread(start[words], per)]
-            weight = np.repeat(kept / (per * np.repeat(length[some], length[some])), per).astype(np.float32)
+            weight = np.repeat(kept / (count[words] * np.repeat(length[some], length[some])), per).astype(np.float32)
             rows = np.add.reduceat(per, np.concatenate([[0], np.cumsum(length[some])[:-1]]))
-            edge = np.concatenate([[0], np.cumsum(rows)[:-1]])
-            h = np.add.reduceat(E[feat] * weight[:, None], edge)
+            h = summed(E[feat] * weight[:, None], rows)
             z = h @ W + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -174,7 +187,7 @@ def train(texts: list[bytes], labels: list[int], *, updates: int = UPDATES, batc
             d_w, d_b, d_h = h.T @ p, p.sum(0), p @ W.T
             by = np.argsort(feat, kind="stable")
             own, first = np.unique(feat[by], return_index=True)
-            d_e = np.add.reduceat((np.repeat(d_h, rows, axis=0) * weight[:, None])[by], first) * common[own][:, None]
+            d_e = summed((np.repeat(d_h, rows, axis=0) * weight[:, None])[by], np.diff(np.append(first, len(by))))
             g_e[own] += (d_e**2).mean(1)
             g_w += d_w**2
             g_b += d_b**2
