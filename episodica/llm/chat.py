@@ -61,7 +61,8 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     ``loss_mask`` has one struct per assistant turn, in order: start and end of its body in code points
     (``start``, ``end``) and in UTF-8 bytes (``byte_start``, ``byte_end``), ends exclusive. Turns come by
     ``turn_col``, ties by role and text; repeated rows are turns of their own; null texts and roles
-    are empty; rows with a null id form one conversation; other columns are ignored.
+    are empty; rows with a null id form one conversation; other columns are ignored. Texts of any length
+    are kept whole (a conversation is one string in the end); an empty table gives no rows.
     """
     rows = turns.select(F.col(conv_col), F.col(turn_col).alias("n"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     source = F.array(F.struct("role", "text"))

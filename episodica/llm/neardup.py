@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or empty texts have no shingles and are linked with nothing. A row with a null id starts no
     class; if its text equals another row's it gets that class, else its component is null. Where
-    an id is repeated with different texts, each row gets the component of its own text.
+    an id is repeated with different texts, each row gets the component of its own text. Ties go to the
+    smallest id. Texts are read whole, their sets held one at a time. Other columns are left out, so
+    none can clash; an empty table gives no rows.
     """
     signed = stash(_signatures(docs, id_col, text_col), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"))
@@ -247,7 +249,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component (its smallest id), columns as they were.
 
-    Rows that repeat a kept id are reduced to one; rows with a null id all stay.
+    Rows that repeat a kept id are reduced to one; rows with a null id all stay, as do documents without
+    words. Long texts are read whole, an empty table gives no rows, columns of any names are carried.
     """
     found = stash(near_duplicates(docs, id_col=id_col, text_col=text_col), "components")
     gone = stash(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__ep_id")).distinct(), "gone")

@@ -98,7 +98,8 @@ def clean_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` plus the rule columns, ``kept`` and ``clean_text`` (the lines that pass).
 
     Null counts as an empty text: no words, so it fails the base rules; its ``clean_text`` is empty.
-    Equal rows get equal verdicts; own columns of these names are replaced.
+    Equal rows get equal verdicts; own columns of these names are replaced. Texts and lines of any length
+    are judged whole, one row at a time; an empty table gives no rows.
     """
     text = text_or_empty(text_col)
     measured = docs.withColumns(

@@ -115,7 +115,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, *, id_col: str = "doc_id"
     """All columns of ``docs`` plus ``size``, ``law``, ``shard`` and ``slot``.
 
     ``size`` is the UTF-8 bytes of the text plus 16 (null text: 16). Shards have near-equal bytes:
-    each holds its share of the total up to one record. Slots run from 0 without gaps. Null ids and
+    each holds its share of the total up to one record, however long its text. Slots run from 0 without gaps. Null ids and
     empty or null texts are ordinary keys, equal rows get different slots, an empty table gives no
     rows. Columns of ``docs`` with these four names are replaced.
     """

@@ -202,7 +202,9 @@ def _encoder(path: str) -> Encoder:
 def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Write ``docs`` in ascending id order (nulls first, ties by text) as shard files under ``path``.
 
-    Columns: part and seq (shards in order), n_ids, n_docs, file. Null texts are empty documents.
+    Columns: part and seq (shards in order), n_ids, n_docs, file. Null texts are empty documents: the end
+    id alone. Repeated rows are documents of their own, long texts are encoded whole and may fill a
+    shard alone, other columns are left out, and an empty table gives no shard.
     """
 
     def run(batches):

@@ -42,3 +42,32 @@ def test_stages(spark, monkeypatch):
             at = spark.createDataFrame(rows, docs.schema)
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
     assert len(kept["toxicity"]) >= 0.7 * sum(not labels.get(d[0]) for d in whole)
+
+
+def test_run_is_the_stages_in_order(spark, monkeypatch):
+    """``run`` writes and rereads between stages; its rows are those of the stages called by hand."""
+    monkeypatch.setattr(toxicity, "UPDATES", 60)
+    at = spark.read.parquet(f"{D}/documents.parquet")
+    columns = at.columns
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, spark.createDataFrame(at.collect(), at.schema), D)
+    found = corpus_pipeline.run(spark, D)
+    assert set(columns) <= set(found.columns) and found.columns == at.columns
+    assert Counter(tuple(r[c] for c in columns) for r in found.collect()) == Counter(tuple(r[c] for c in columns) for r in at.collect())
+
+
+def test_stages_of_odd_tables(spark, monkeypatch):
+    """Null, empty and repeated texts, null ids and an empty table pass every stage."""
+    monkeypatch.setattr(toxicity, "UPDATES", 60)
+    schema = spark.read.parquet(f"{D}/documents.parquet").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "same words " * 30, "en", "a", 5), (3, "same words " * 30, "en", "a", 5), (None, "no id", "en", None, 5), (4, "   ", "en", "b", 3)]
+    for own in (rows, []):
+        at = spark.createDataFrame(own, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, D)
+            got = out.collect()
+            assert {r.doc_id for r in got} <= {r[0] for r in own}
+            if name != "sharding":
+                at = spark.createDataFrame(got, schema)
+        if own:
+            assert {2, 3} <= {r.doc_id for r in got}
