@@ -82,15 +82,22 @@ def to_text(types: DataFrame, type_attrs: DataFrame) -> str:
     return json.dumps(to_dict(types, type_attrs), ensure_ascii=False, indent=2)
 
 
-def from_text(spark, text: str) -> tuple[DataFrame, DataFrame]:
-    """(types, type_attrs) of a schema in JSON, or in YAML where a reader for it is installed."""
+def declared(text: str) -> list[dict]:
+    """The entries of a schema in JSON, or in YAML where a reader for it is installed."""
     try:
-        declared = json.loads(text)
+        return json.loads(text)
     except ValueError:
         import yaml
 
-        declared = yaml.safe_load(text)
-    return from_dict(spark, declared)
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(f"neither JSON nor YAML: {e}") from e
+
+
+def from_text(spark, text: str) -> tuple[DataFrame, DataFrame]:
+    """(types, type_attrs) of a schema, see :func:`declared`."""
+    return from_dict(spark, declared(text))
 
 
 def closure(types: DataFrame) -> DataFrame:

@@ -220,7 +220,20 @@ def to_bundles(resources: DataFrame, by: DataFrame) -> DataFrame:
     return rows.groupBy("patient_id").agg(F.concat(F.lit('{"resourceType":"Bundle","type":"collection","entry":['), joined, F.lit("]}")).alias("bundle"))
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """Write ``bundle`` as text files of one bundle a line; a folder that is there already is an error.
+
+    JSON texts hold no line break outside of strings, and none inside of them.
+    """
+    bundles.select(F.regexp_replace("bundle", "[\r\n]+", " ").alias("value")).write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """``file, bundle``: a bundle per file, or with ``lines`` one per line, as :func:`write_bundles` leaves them."""
+    if lines:
+        rows = spark.read.text(path).where(F.trim("value") != "")
+        at = F.concat(F.input_file_name(), F.lit("#"), F.monotonically_increasing_id().cast("string"))
+        return rows.select(at.alias("file"), F.col("value").alias("bundle"))
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("bundle"))
 
 
