@@ -91,6 +91,13 @@ def pc_structure(spark, d):
     return causal.learn_structure(table(spark, d, "lineitem"), NAMES)
 
 
+def pc_skeleton_orders(spark, d):
+    """What depends on what among an order's number of lines, its quantity and its price: pairs without a direction."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
+    found = causal.learn_structure(rows, ["n_lines", "price", "quantity"])
+    return found.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
 def bootstrap_structure(spark, d):
     return causal.bootstrap_edges(table(spark, d, "lineitem"), NAMES, key=F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
@@ -265,6 +272,11 @@ SQL = {
     "backdoor_effect": f"SELECT x, round(p, 6) AS p FROM {_DO}",
     "risk_difference": f"SELECT round(sum(CASE WHEN x = 1 THEN p ELSE -p END), 6) AS difference FROM {_DO}",
     "corr_matrix": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]),
+    "pc_skeleton_orders": """WITH o AS (SELECT count(*) AS n, sum(l_extendedprice) AS p, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+      r AS (SELECT corr(n, p) AS np, corr(n, q) AS nq, corr(p, q) AS pq, count(*) AS m FROM o),
+      t AS (SELECT 'n_lines' AS a, 'price' AS b, np AS r, nq AS ra, pq AS rb, m FROM r UNION ALL SELECT 'n_lines', 'quantity', nq, np, pq, m FROM r UNION ALL SELECT 'price', 'quantity', pq, np, nq, m FROM r),
+      z AS (SELECT *, (r - ra * rb) / sqrt((1 - ra * ra) * (1 - rb * rb)) AS g FROM t)
+      SELECT a, b FROM z WHERE abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(m - 3) >= 1.96 AND abs(0.5 * ln((1 + g) / (1 - g))) * sqrt(m - 4) >= 1.96""",
     "partial_corr": """SELECT round(p, 6) AS r, abs(0.5 * ln((1 + p) / (1 - p))) * sqrt(n - 3) < 1.96 AS independent FROM (SELECT (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS p, n FROM
       (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz, count(*) AS n FROM lineitem))""",
     "ate_regression": f"""SELECT round((covar_pop(x, o_totalprice) * var_pop(c_acctbal) - covar_pop(c_acctbal, o_totalprice) * covar_pop(x, c_acctbal)) / (var_pop(x) * var_pop(c_acctbal) - covar_pop(x, c_acctbal) ** 2), 4) AS ate FROM {_O}""",
