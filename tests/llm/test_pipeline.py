@@ -67,7 +67,7 @@ def test_stages_of_odd_tables(spark, monkeypatch):
             out = stage(spark, at, D)
             got = out.collect()
             assert {r.doc_id for r in got} <= {r[0] for r in own}
+            if own and name not in ("mixing", "sharding"):  # the mix may take a document no times
+                assert {1, 2, 4} <= {r.doc_id for r in got}
             if name != "sharding":
                 at = spark.createDataFrame(got, schema)
-        if own:
-            assert {2, 3} <= {r.doc_id for r in got}
