@@ -39,3 +39,18 @@ def test_fuzzy_sums_to_one(spark, sigma):
     assert all(abs(r.p - 1) < 1e-9 for r in found.groupBy("id").agg(F.sum("p").alias("p")).collect())
     if sigma == 0:
         assert all(r.relation == r.want for r in found.collect())
+
+
+def test_fuzzy_draws_only_where_they_matter(spark):
+    """The same shares as from all draws of all pairs, but no row is made for a draw."""
+    pairs = spark.range(60).selectExpr("concat('k', id) k", "floor(rand(1) * 40) * 3.0D a", "if(id % 9 = 1, null, floor(rand(2) * 40) * 3.0D) b", "if(id % 7 = 1, null, floor(rand(3) * 40) * 3.0D) c", "floor(rand(4) * 40) * 3.0D d", "element_at(array(0D, 0.5D, 5D), cast(id % 3 + 1 as int)) s")
+    pairs = spark.createDataFrame(pairs.collect(), pairs.schema)
+    found = temporal.fuzzy_distribution(pairs, key=["k"], sigma=F.col("s"), n_samples=100, seed=7)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = lambda j: (F.shiftrightunsigned(F.xxhash64("k", "draw", F.lit(j), F.lit(7)), 11) + 0.5) / F.lit(float(1 << 53))
+    normal = lambda j: F.sqrt(-2 * F.log(unit(2 * j))) * F.cos(2 * F.lit(3.141592653589793) * unit(2 * j + 1))
+    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    drawn = drawn.select("k", *[(F.col(x) + F.col("s") * normal(j)).alias(x) for j, x in enumerate("abcd")])
+    ends = [f(p, q) for p, q in (("a", "b"), ("c", "d")) for f in (F.least, F.greatest)]
+    want = drawn.groupBy("k", temporal.allen_relation(*ends).alias("relation")).agg((F.count("*") / 100).alias("p"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
