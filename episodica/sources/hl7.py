@@ -113,10 +113,18 @@ def import_directory(spark: SparkSession, path: str, *, pattern: str = "*.hl7",
     return events, dead.select("file", F.when(some, "no patient or time").otherwise("no message").alias("reason"))
 
 
+def _newlines(text: Column) -> Column:
+    """Every kind of line end (\\r\\n, \\r, \\n) as \\n."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def split_messages(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per message: text is cut before every line that starts with MSH; MLLP frames are dropped."""
-    text = F.regexp_replace(F.regexp_replace(raw, "[\\x0B\\x1C]", ""), "\r\n?", "\n")
-    parts = F.filter(F.split(text, r"(?m)(?=^MSH)"), lambda m: F.startswith(m, F.lit("MSH")))
+    framed = F.contains(F.col(raw), F.lit("\x0B")) | F.contains(F.col(raw), F.lit("\x1C"))
+    text = _newlines(F.when(framed, F.regexp_replace(raw, "[\\x0B\\x1C]", "")).otherwise(F.col(raw)))
+    # The pattern is only asked where there is another MSH than the first.
+    parts = F.when(F.locate("MSH", F.col(raw), 2) > 0, F.split(text, r"(?m)(?=^MSH)")).when(F.col(raw).isNotNull(), F.array(text))
+    parts = F.filter(parts, lambda m: F.startswith(m, F.lit("MSH")))
     return rows.withColumn("message", F.explode(F.transform(parts, lambda m: F.rtrim(m)))).drop(raw)
 
 
@@ -126,15 +134,15 @@ def parse(rows: DataFrame, message: str = "message") -> DataFrame:
     A message's own separators are first turned into fixed ones, so that splitting needs no pattern
     per row; components stay marked by ``COMPONENT`` until :func:`field` takes them apart.
     """
-    text = F.regexp_replace(message, "\r\n?", "\n")
+    text = _newlines(F.col(message))
     sep, comp = F.substring(text, 4, 1), F.substring(text, 5, 1)
-    fixed = F.call_function("translate", text, F.concat(sep, comp), F.lit(FIELD + COMPONENT))
+    fixed = F.replace(F.replace(text, sep, F.lit(FIELD)), comp, F.lit(COMPONENT))
+    fixed = F.when(comp == FIELD, F.call_function("translate", text, F.concat(sep, comp), F.lit(FIELD + COMPONENT))).otherwise(fixed)
     lines = F.filter(F.split(fixed, "\n"), lambda s: F.length(F.trim(s)) > 0)
 
     def fields(s: Column) -> Column:
-        f = F.split(s, FIELD)
-        head = F.concat(F.array(F.get(f, F.lit(0)), sep), F.slice(f, F.lit(2), F.size(f)))
-        return F.when(F.startswith(s, F.lit("MSH")), head).otherwise(f)
+        # MSH-1 is the separator itself.
+        return F.when(F.startswith(s, F.lit("MSH")), F.array_insert(F.split(s, FIELD), 2, sep)).otherwise(F.split(s, FIELD))
 
     good = F.startswith(text, F.lit("MSH")) & (F.length(F.substring_index(text, "\n", 1)) > 8)
     return once(rows, "*", F.when(good, F.transform(lines, fields)).alias("segments"), comp.alias("comp"))
@@ -161,7 +169,7 @@ def all_segments(name: str) -> Column:
 def field(seg: Column, n: int, comp: int | None = None) -> Column:
     """Field ``n`` (component ``comp``, from 1), null if empty or absent."""
     x = F.get(seg, F.lit(n))
-    x = F.call_function("translate", x, F.lit(COMPONENT), F.col("comp")) if comp is None else F.split_part(x, F.lit(COMPONENT), F.lit(comp))
+    x = F.replace(x, F.lit(COMPONENT), F.col("comp")) if comp is None else F.split_part(x, F.lit(COMPONENT), F.lit(comp))
     return F.nullif(F.trim(x), F.lit(""))
 
 
@@ -235,7 +243,7 @@ def to_live_events(messages: DataFrame) -> DataFrame:
     ``control_id, patient_id, event_type, t_start, confidence, attrs``. Triggers are compared exactly; a
     missing patient is UNKNOWN; unknown messages give HL7Unbekannt with confidence 0.3.
     """
-    at = F.col("__at")
+    at, kind, trigger = F.col("__at"), F.col("__kind"), F.col("__trigger")
     none = F.array().cast("array<struct<event_type:string,confidence:double,t_start:timestamp_ntz,attrs:map<string,string>>>")
 
     def event(name: Column, confidence: float, time: Column = at, **attrs: Column) -> Column:
@@ -245,9 +253,9 @@ def to_live_events(messages: DataFrame) -> DataFrame:
     def each(name: str, make) -> Column:
         return F.transform(all_segments(name), make)
 
-    pv1, sch = segment("PV1"), segment("SCH")
+    pv1, sch, mrg = F.col("PV1"), F.col("SCH"), F.col("MRG")
     adt = event(
-        _map(LIVE)[trigger()], 1.0, station=field(pv1, 3, 1), station_from=F.when(trigger() == "A02", field(pv1, 6, 1)), patient_class=field(pv1, 2), doctor=field(pv1, 7, 1), prior_id=F.when(trigger() == "A40", field(segment("MRG"), 1, 1))
+        _map(LIVE)[trigger], 1.0, station=field(pv1, 3, 1), station_from=F.when(trigger == "A02", field(pv1, 6, 1)), patient_class=field(pv1, 2), doctor=field(pv1, 7, 1), prior_id=F.when(trigger == "A40", field(mrg, 1, 1))
     )
     diagnosis = lambda label, c: each("DG1", lambda s: event(F.when(field(s, 3, 1).isNotNull(), F.lit(label)), c, code=field(s, 3, 1), text=field(s, 3, 2)))
     observed = each(
@@ -267,24 +275,28 @@ def to_live_events(messages: DataFrame) -> DataFrame:
         ),
     )
     orders = each("OBR", lambda s: event(F.lit("Auftrag"), 0.95, timestamp(field(s, 7)), code=field(s, 4, 1), text=field(s, 4, 2)))
-    dates = F.array(event(F.when(trigger() == "S12", "Termin").when(trigger() == "S15", "TerminStornierung").otherwise("TerminAenderung"), 1.0, timestamp(field(sch, 11)), reason=field(sch, 7, 1)))
+    dates = F.array(event(F.when(trigger == "S12", "Termin").when(trigger == "S15", "TerminStornierung").otherwise("TerminAenderung"), 1.0, timestamp(field(sch, 11)), reason=field(sch, 7, 1)))
     document = F.array(event(F.lit("Dokument"), 0.90, text=F.left(F.array_join(F.array_compact(each("OBX", lambda s: field(s, 5))), "\n"), F.lit(2000))))
     procedures = each("PR1", lambda s: event(F.lit("Prozedur"), 0.99, timestamp(field(s, 5)), code=field(s, 3, 1)))
     charges = each("FT1", lambda s: event(F.lit("Prozedur"), 0.99, timestamp(field(s, 4)), code=field(s, 19, 1)))
-    known = _map(LIVE)[trigger()].isNotNull()
+    known = _map(LIVE)[trigger].isNotNull()
     found = (
-        F.when((kind() == "ADT") & known, F.concat(F.array(adt), F.when(trigger() == "A03", diagnosis("Entlassdiagnose", 0.95)).otherwise(none)))
-        .when(kind() == "ORU", observed)
-        .when(kind().isin("ORM", "OML"), orders)
-        .when(kind() == "SIU", dates)
-        .when(kind() == "MDM", document)
-        .when(kind() == "BAR", F.concat(diagnosis("Diagnose", 0.99), procedures))
-        .when(kind() == "DFT", charges)
-        .otherwise(F.array(event(F.lit("HL7Unbekannt"), 0.3, message=F.concat_ws("^", kind(), trigger()))))
+        F.when((kind == "ADT") & known, F.concat(F.array(adt), F.when(trigger == "A03", diagnosis("Entlassdiagnose", 0.95)).otherwise(none)))
+        .when(kind == "ORU", observed)
+        .when(kind.isin("ORM", "OML"), orders)
+        .when(kind == "SIU", dates)
+        .when(kind == "MDM", document)
+        .when(kind == "BAR", F.concat(diagnosis("Diagnose", 0.99), procedures))
+        .when(kind == "DFT", charges)
+        .otherwise(F.array(event(F.lit("HL7Unbekannt"), 0.3, message=F.concat_ws("^", kind, trigger))))
     )
-    time = F.coalesce(timestamp(field(segment("EVN"), 2)), timestamp(field(segment("MSH"), 7)))
-    rows = once(messages.where("segments IS NOT NULL"), "segments", "comp", time.alias("__at"))
-    rows = rows.select(field(segment("MSH"), 10).alias("control_id"), F.coalesce(patient(), F.lit("UNKNOWN")).alias("patient_id"), F.posexplode(found).alias("n", "e"))
+    # Segments, then what is asked of every message, are columns of their own, so that each is computed once.
+    names = ("MSH", "EVN", "PID", "PV1", "SCH", "MRG")
+    rows = messages.where("segments IS NOT NULL").select("segments", "comp", *[segment(s).alias(s) for s in names])
+    asked = {"control_id": ("MSH", 10), "patient_id": ("PID", 3, 1), "__kind": ("MSH", 9, 1), "__trigger": ("MSH", 9, 2)}
+    time = F.coalesce(timestamp(field(F.col("EVN"), 2)), timestamp(field(F.col("MSH"), 7)))
+    rows = rows.select("segments", "comp", "PV1", "SCH", "MRG", *[field(F.col(s), *n).alias(k) for k, (s, *n) in asked.items()], time.alias("__at"))
+    rows = rows.select("control_id", F.coalesce("patient_id", F.lit("UNKNOWN")).alias("patient_id"), F.posexplode(found).alias("n", "e"))
     return rows.select("control_id", "patient_id", "n", "e.*").where("event_type IS NOT NULL")
 
 

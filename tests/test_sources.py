@@ -119,3 +119,12 @@ def test_scores_follow_time_within_a_batch_of_any_size(spark, tmp_path):
         known = [x for x in xs[max(0, k - 100) : k] if x is not None]
         want = abs(xs[k] - np.mean(known)) / np.std(known) if xs[k] is not None and len(known) >= 3 and np.std(known) > 1e-6 else 0.0
         assert math.isclose(found[f"e{k:06d}"], want, abs_tol=1e-9), k
+
+
+def test_live_events_look_for_a_segment_once(spark):
+    """Each segment of a message is looked for once, not anew for every rule that asks for its fields."""
+    raw = spark.createDataFrame([("MSH|^~\\&|A|B|C|D|20240105083015||ADT^A03|M1|P|2.5\rPID|1||P1^^^H\rDG1|1||I21.0^x\r",)], "raw string")
+    parsed = hl7.parse(hl7.split_messages(raw))
+    found = hl7.to_live_events(parsed)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("= MSH)") <= 2
+    assert [(r.n, r.event_type, r.control_id, r.patient_id) for r in found.orderBy("n").collect()] == [(0, "Entlassung", "M1", "P1"), (1, "Entlassdiagnose", "M1", "P1")]
