@@ -54,3 +54,12 @@ def test_fuzzy_draws_only_where_they_matter(spark):
     ends = [f(p, q) for p, q in (("a", "b"), ("c", "d")) for f in (F.least, F.greatest)]
     want = drawn.groupBy("k", temporal.allen_relation(*ends).alias("relation")).agg((F.count("*") / 100).alias("p"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fuzzy_without_spread_holds_no_pair(spark):
+    """At sigma 0 the relation is a column of the pair: nothing is grouped by pair, so no task holds its pairs."""
+    pairs = rows(spark).where("want IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
+    found = temporal.fuzzy_distribution(pairs, key=["id"], sigma=F.lit(0.0), n_samples=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+    assert found.where("p = 1").count() == pairs.count()
