@@ -114,6 +114,12 @@ def first_per_patient(events: DataFrame, n: int) -> DataFrame:
 _TIMES = ("t_start", "t_end", "stay_start", "stay_end")
 
 
+def _bytes(text: Column | str, start: Column, size: Column) -> Column:
+    """Part of a text by bytes, which need no counting of characters."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.substring(text.cast("binary"), start, size).cast("string")
+
+
 def to_json(events: DataFrame) -> DataFrame:
     """``event_id, json``: times as ISO text, numbers as numbers, other attributes as text, references as a map.
 
@@ -124,13 +130,46 @@ def to_json(events: DataFrame) -> DataFrame:
     have = events.columns
     rest = [F.col("references")] if "references" in have else []
     body = F.to_json(F.struct("event_id", "patient_id", "event_type", *[iso(c) for c in _TIMES if c in have], *rest, "confidence"))
-    inner = lambda m: F.nullif(F.regexp_extract(F.to_json(m), r"(?s)^\{(.*)\}$", 1), F.lit(""))
-    numbers = F.map_filter("num", lambda k, v: v.isNotNull())
-    parts = [inner(numbers)]
+    written = {"__body": body, "__num": F.to_json(F.map_filter("num", lambda k, v: v.isNotNull()))}
     if "cat" in have:
-        parts.append(inner(F.map_filter("cat", lambda k, v: v.isNotNull() & F.col("num").getItem(k).isNull())))
-    attributes = F.concat(F.lit('"attributes":{'), F.concat_ws(",", *parts), F.lit("}}"))
-    return events.select("event_id", F.concat(F.regexp_replace(body, r"\}$", ","), attributes).alias("json"))
+        written["__cat"] = F.to_json(F.map_filter("cat", lambda k, v: v.isNotNull() & F.col("num").getItem(k).isNull()))
+    rows = events.select("event_id", *(c.alias(name) for name, c in written.items()))
+    inner = lambda c: F.nullif(_bytes(c, F.lit(2), F.octet_length(c) - 2), F.lit(""))
+    attributes = F.concat(F.lit(',"attributes":{'), F.concat_ws(",", *map(inner, [*written][1:])), F.lit("}}"))
+    return rows.select("event_id", F.concat(_bytes("__body", F.lit(1), F.octet_length("__body") - 1), attributes).alias("json"))
+
+
+_SPACE, _PLAIN = r"[ \t\n\r]*+", r'"[^"\\\x00-\x1f]*+"'
+_LINK = f"{_PLAIN}{_SPACE}:{_SPACE}{_PLAIN}"
+#: The key references with an object of texts without escapes.
+_LINKS = rf'"references"(?<=[{{, \t\n\r]"references"){_SPACE}:{_SPACE}\{{{_SPACE}(?:{_LINK}(?:{_SPACE},{_SPACE}{_LINK})*+)?+{_SPACE}\}}'
+#: Stands in the text for the references that were taken out of it.
+_TAKEN = "#references#"
+
+
+def _without_links(rows: DataFrame) -> DataFrame:
+    """``json`` and ``__links``: a plain map of references is taken out of the text, if there is one at its top level.
+
+    The ids in it are all different, and the JSON parser keeps a table of the names of objects: it grows with
+    every new name and is searched and copied for every text, which costs far more than to read the text.
+    Maps with escapes, repeated keys or in unclear places stay in the text (``__links`` is null).
+    """
+    # A text in which the key comes once more holds no mark after parsing, as the last one counts.
+    rows = rows.select("json", F.nullif(F.regexp_extract("json", _LINKS, 0), F.lit("")).alias("__found"))
+    rows = rows.select("json", "__found", F.call_function("substring_index", "json", "__found", F.lit(1)).alias("__before"))
+    # Nothing but the outer object is open before the key, and no text in single quotes.
+    bare = F.regexp_replace("__before", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    depth = F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))
+    top = F.rlike("__before", F.lit(r"^\s*+\{[^{']*+$")) | ((depth == 1) & ~F.contains(bare, F.lit("'")))
+    after = _bytes("json", F.octet_length("__before") + F.octet_length("__found") + 1, F.octet_length("json"))
+    rows = rows.select("json", "__before", after.alias("__after"), F.when(top, F.split("__found", '"')).alias("__words"))
+    # "references":{"id":"relation","id":"relation"}: ids are the words 3, 7, ..., relations 5, 9, ...
+    every = lambda k: F.transform(F.sequence(F.lit(k), F.size("__words") - 1, F.lit(4)), lambda i: F.get("__words", i))
+    ids = F.when(F.size("__words") > 5, every(3))
+    rows = rows.select("json", "__before", "__after", ids.alias("__ids"), F.when(F.size("__words") > 5, every(5)).alias("__relations"))
+    rows = rows.select("json", "__before", "__after", F.when(F.size(F.array_distinct("__ids")) == F.size("__ids"), F.map_from_arrays("__ids", "__relations")).alias("__links"))
+    short = F.concat("__before", F.lit(f'"references":"{_TAKEN}"'), "__after")
+    return rows.select(F.when(F.col("__links").isNull(), F.col("json")).otherwise(short).alias("json"), "__links")
 
 
 def from_json(rows: DataFrame) -> DataFrame:
@@ -140,7 +179,7 @@ def from_json(rows: DataFrame) -> DataFrame:
     an id a random one is drawn; a text that is no object gives no row.
     """
     kind = "event_id string, patient_id string, event_type string, t_start string, t_end string, stay_start string, stay_end string, attributes map<string,string>, references string, confidence double"
-    x = rows.select(F.explode(F.array(F.from_json("json", kind))).alias("x")).select("x.*").where("patient_id IS NOT NULL")
+    x = _without_links(rows).select("__links", F.explode(F.array(F.from_json("json", kind))).alias("x")).select("__links", "x.*").where("patient_id IS NOT NULL")
     listed = F.map_from_entries(F.transform(F.array_distinct(F.from_json("references", "array<string>")), lambda r: F.struct(r, F.lit("references"))))
     references = F.when(F.ltrim("references").startswith("["), listed).otherwise(F.from_json("references", "map<string,string>"))
     cat = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
@@ -148,7 +187,7 @@ def from_json(rows: DataFrame) -> DataFrame:
     return x.select(
         F.coalesce("event_id", F.expr("uuid()")).alias("event_id"), "patient_id", "event_type",
         *[F.col(c).try_cast("timestamp_ntz").alias(c) for c in _TIMES],
-        number.alias("num"), cat.alias("cat"), F.coalesce(references, F.create_map().cast("map<string,string>")).alias("references"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+        number.alias("num"), cat.alias("cat"), F.coalesce(F.when(F.col("references") == _TAKEN, F.col("__links")), references, F.create_map().cast("map<string,string>")).alias("references"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
     )
 
 
