@@ -12,8 +12,10 @@ committer, so a lost task leaves no half-written shard.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
+from itertools import chain, filterfalse
 from zlib import crc32
 
 import numpy as np
@@ -27,8 +29,10 @@ from tokenizers import Tokenizer
 from .common import shared_dir, table, text_or_empty
 
 SHARD_IDS = 1 << 21
-#: Encoded words that a worker keeps (about 200 bytes each); the cache starts again when it is full.
+#: Encoded words that a worker keeps (about 200 bytes each); when half of it is full, it becomes the older half.
 CACHE = 1_000_000
+#: An empty word, or one that begins with white space, in words joined by blanks.
+ODD = re.compile(r" (?:\s|$)")
 MAGIC, HEAD, BLOCK = b"WAVM", struct.Struct("<4sBxxxQQ"), 512
 
 
@@ -42,9 +46,9 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for level in reversed(range(bits)):
-            ones = (ids >> level & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            ids = np.concatenate([np.compress(~ones, ids), np.compress(ones, ids)])
             zeros.append(int(len(ones) - np.count_nonzero(ones)))
             per = np.add.reduceat(np.bitwise_count(planes[-1]), np.arange(0, len(planes[-1]), BLOCK // 8), dtype=np.uint32) if len(ids) else np.zeros(0, np.uint32)
             ranks.append(np.concatenate([[0], np.cumsum(per)]).astype(np.uint32))
@@ -156,36 +160,43 @@ class Encoder:
             self.begins[k] = token.startswith("\u0120")
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}  # words of the time before; those met again go back to ``words``
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        odd = {w for w in words if not w or w[0].isspace() or any(s in w for s in self.special)}
-        self.words.update(dict.fromkeys(odd))
-        plain = [w for w in words if w not in odd]
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            joined = " " + " ".join(some)
+            # Words that cannot be encoded apart are looked for in all at once, then one by one.
+            if ODD.search(joined) or any(s in joined for s in self.special):
+                odd = {w for w in some if not w or w[0].isspace() or any(s in w for s in self.special)}
+                self.words.update(dict.fromkeys(odd))
+                some = [w for w in some if w not in odd]
+                joined = " " + " ".join(some)
+            if not some:
+                continue
+            ids = np.array(self.whole.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
             raw, at = ids.tobytes(), (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.kind.itemsize).tolist()
-            self.words.update(zip(some, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        later = [s[1:] for s in split]
-        said = set().union(*later)
-        new = said - self.words.keys()
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = said
-        self._learn(list(new))
+        heads = [s.pop(0) for s in split]
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
+        if len(self.words) + len(new) > CACHE // 2:
+            self.words, self.before = {}, self.words
+            new = set(chain.from_iterable(split))
+        self.words.update((w, self.before[w]) for w in new & self.before.keys())
+        self._learn(list(new - self.before.keys()))
         get, out = self.words.__getitem__, []
-        for words in later:
+        for words in split:
             try:
                 out.append(b"".join(map(get, words)))
             except TypeError:  # a word that cannot be encoded apart
                 out.append(None)
-        first = self._bytes([t if rest is None else s[0] for t, s, rest in zip(texts, split, out, strict=True)])
+        first = self._bytes([t if rest is None else head for t, head, rest in zip(texts, heads, out, strict=True)])
         return [f + (rest or b"") for f, rest in zip(first, out, strict=True)]
 
 
