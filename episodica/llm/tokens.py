@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import uuid
-from itertools import chain, filterfalse
+from itertools import filterfalse
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +35,10 @@ SHARD_IDS = 1 << 21
 CACHE = 1_000_000
 #: An empty word, or one that begins with white space, in words joined by blanks.
 ODD = re.compile(r" (?:\s|$)")
+#: Rows and bytes of text that are split and looked up together; a longer text is looked up alone.
+ROWS, BYTES = 4096, 16 << 20
+#: Marks that the pre-tokenizer parts from a letter or digit before them, and what surely is one.
+MARKS, BEFORE_MARKS = string.punctuation, frozenset(string.ascii_letters + string.digits + "ÄÖÜßàâäçèéêëîïñòóôöùûü")
 MAGIC, HEAD, BLOCK = b"WAVM", struct.Struct("<4sBxxxQQ"), 512
 
 
@@ -160,6 +166,7 @@ class Encoder:
             self.begins[k] = token.startswith("\u0120")
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}  # ends of words
         self.before: dict[str, bytes | None] = {}  # words of the time before; those met again go back to ``words``
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
@@ -174,30 +181,60 @@ class Encoder:
                 odd = {w for w in some if not w or w[0].isspace() or any(s in w for s in self.special)}
                 self.words.update(dict.fromkeys(odd))
                 some = [w for w in some if w not in odd]
-                joined = " " + " ".join(some)
-            if not some:
-                continue
-            ids = np.array(self.whole.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            # Marks at the end of a word are pieces of their own, so its stem is learned, for all marks at once.
+            stems = [w.rstrip(MARKS) for w in some]
+            stems = [s if s and s[-1] in BEFORE_MARKS else w for s, w in zip(stems, some, strict=True)]
+            self._learn_stems(list(dict.fromkeys(filterfalse(self.words.__contains__, stems))))
+            marked = [(w, s, w[len(s) :]) for w, s in zip(some, stems, strict=True) if len(s) < len(w)]
+            if len(self.marks) > CACHE // 100:
+                self.marks = {}
+            marks = list({m for _, _, m in marked} - self.marks.keys())
+            self.marks.update(zip(marks, self._bytes(marks), strict=True))
+            self.words.update((w, self.words[s] + self.marks[m]) for w, s, m in marked)
+
+    def _learn_stems(self, words: list[str]) -> None:
+        if words:
+            ids = np.array(self.whole.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
             raw, at = ids.tobytes(), (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.kind.itemsize).tolist()
-            self.words.update(zip(some, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
+            self.words.update(zip(words, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(texts, " ")
+        sizes = split.value_lengths().to_numpy()
+        ends, words = np.cumsum(sizes, dtype=np.int64), split.flatten()
+        rest = np.ones(len(words), bool)
+        rest[ends - sizes] = False
+        heads = words.take(pa.array(ends - sizes))
+        # Each word is looked up once, however often the texts have it.
+        coded = words.filter(pa.array(rest)).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = list(filterfalse(self.words.__contains__, known))
         if len(self.words) + len(new) > CACHE // 2:
             self.words, self.before = {}, self.words
-            new = set(chain.from_iterable(split))
-        self.words.update((w, self.before[w]) for w in new & self.before.keys())
-        self._learn(list(new - self.before.keys()))
-        get, out = self.words.__getitem__, []
-        for words in split:
-            try:
-                out.append(b"".join(map(get, words)))
-            except TypeError:  # a word that cannot be encoded apart
-                out.append(None)
-        first = self._bytes([t if rest is None else head for t, head, rest in zip(texts, heads, out, strict=True)])
-        return [f + (rest or b"") for f, rest in zip(first, out, strict=True)]
+            new = known
+        met = list(filter(self.before.__contains__, new))
+        self.words.update(zip(met, map(self.before.__getitem__, met), strict=True))
+        self._learn(list(filterfalse(self.before.__contains__, new)))
+        coded = pa.array(list(map(self.words.__getitem__, known)), pa.large_binary()).take(coded.indices)
+        place = np.concatenate([[0], ends - np.arange(1, len(ends) + 1)])
+        at = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1)[place].tolist() if len(coded) else [0] * len(place)
+        whole = np.zeros(len(texts), bool)
+        if coded.null_count:  # a word that cannot be encoded apart
+            whole[np.searchsorted(place, np.flatnonzero(coded.is_null()), "right") - 1] = True
+        first = self._bytes(pc.if_else(pa.array(whole), texts, heads).to_pylist())
+        raw = memoryview(coded.buffers()[2] or b"")
+        return [f if w else f + raw[a:b] for f, w, a, b in zip(first, whole.tolist(), at[:-1], at[1:], strict=True)]
+
+
+def _slices(batch: pa.RecordBatch):
+    """The batch in runs of at most ``ROWS`` rows and ``BYTES`` of text, or of one row."""
+    ends, lo = np.cumsum(pc.binary_length(batch["t"]).to_numpy(), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = int(np.searchsorted(ends, BYTES + (ends[lo - 1] if lo else 0), "right"))
+        hi = min(max(hi, lo + 1), lo + ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 _encoders: dict[str, Encoder] = {}
@@ -231,9 +268,8 @@ def write_shards(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "seq", "n_ids", "n_docs", "file"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for doc_id, raw in zip(some["id"].to_pylist(), encoder.encode(some["t"].to_pylist()), strict=True):
+            for some in _slices(batch):
+                for doc_id, raw in zip(some["id"].to_pylist(), encoder.encode(some["t"]), strict=True):
                     n = len(raw) // width + 1
                     if held and held + n > shard_ids:
                         yield shard()
