@@ -39,6 +39,8 @@ NEAR = 60
 COPY, OWN_WORDS, SHINGLE = 0.5, 3, 5
 #: Bytes of terms that are broadcast; more are joined by shuffle, in ``PARTS`` for each term.
 SENT, PARTS = 16 << 20, 16
+#: One in so many documents is looked through for terms too common to tell of an entity.
+COMMON = 8
 TERM = r"[\p{L}][\p{L}\p{N}'-]{2,}"
 #: Prefix of the columns of the base finders while they are at work.
 OWN = "__ep_"
@@ -231,8 +233,16 @@ def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float)
     entity = own.groupBy("c").agg(F.count("*").alias("n_c"), F.countDistinct("sighting").alias("apart")).where("apart > 1")
     entity = entity.withColumn("ic", F.log(n / F.least(F.col("n_c"), n - 1)))
     entity = stash(entity.where(F.col("apart") * F.col("ic") >= least).drop("apart"), "pii-entities")
-    said = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(entity.select("c"), "c", "left_semi")
-    said = said.select("__ep_row", "c", "sighting", F.explode("__ep_words").alias("t"))
+    # A ratio of at least ``disclosure`` needs n_t <= n_c * (N / n_c) ** (1 - disclosure). Terms that pass this in a part
+    # of the documents already do so in all: no pairs are made of them. (They are no entity's own words either: n_t > n_c.)
+    most = F.col("n_c") * F.exp((1 - disclosure) * F.col("ic")) * (1 + 1e-9)
+    bounds = entity.select("c", (most if disclosure <= 1 else F.col("n_c").cast("double")).alias("most"))
+    lowest = bounds.agg(F.min("most")).first()[0] or 0.0
+    part = words.where(F.pmod(F.xxhash64("__ep_row"), F.lit(COMMON)) == 0).select(F.explode(F.array_distinct("__ep_words")).alias("t"))
+    common = stash(part.groupBy("t").agg(F.count("*").alias("low")).where(F.col("low") > lowest), "pii-common")
+    said = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(bounds, "c")
+    said = said.select("__ep_row", "c", "sighting", "most", F.explode("__ep_words").alias("t"))
+    said = said.join(_light(common, _sent(common)), "t", "left").where("low IS NULL OR low <= most").select("__ep_row", "c", "sighting", "t")
     # A pair of one sighting reveals nothing: most go before any is counted exactly.
     twice = said.groupBy("c", "t").agg(F.min("sighting").alias("lo"), F.max("sighting").alias("hi")).where("lo <> hi").select("c", "t")
     twice = stash(twice, "pii-twice")

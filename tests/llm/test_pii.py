@@ -138,3 +138,14 @@ def test_columns_of_callers_stay(spark):
     assert tuple(clean) == (1, "[EMAIL] wrote", "mine", 5, "x", None, "t", "o")
     (found,) = pii.find_pii(docs).collect()
     assert (found.own, found.email[0].m, found.ip) == ("o", "a@b.org", [])
+
+
+def test_no_pairs_are_made_of_common_terms(spark, monkeypatch):
+    kept, stash = {}, pii.stash
+    monkeypatch.setattr(pii, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    monkeypatch.setattr(pii, "COMMON", 1, raising=False)
+    held = [f"Zebulon met us. The weather was mild there. Mail z.carter@mail0.example.org about {w} and so on. Yours, zebulon" for w in ("oaks", "elms")]
+    far = [f"The weather in {w} was mild there, about as mild as yours. They met and mail us and so on." for w in ("oaks", "elms", "pines", "firs") for _ in range(20)]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(held + far)), "doc_id long, text string"), carry=False).collect()
+    assert {x.t for r in rows for x in r.term} == {"zebulon"}
+    assert {r.t for r in kept["pii-twice"].collect()} == {"zebulon"}
