@@ -39,8 +39,6 @@ NEAR = 60
 COPY, OWN_WORDS, SHINGLE = 0.5, 3, 5
 #: Bytes of terms that are broadcast; more are joined by shuffle, in ``PARTS`` for each term.
 SENT, PARTS = 16 << 20, 16
-#: One in so many documents is looked through for terms too common to tell of an entity.
-COMMON = 8
 TERM = r"[\p{L}][\p{L}\p{N}'-]{2,}"
 #: Prefix of the columns of the base finders while they are at work.
 OWN = "__ep_"
@@ -171,10 +169,12 @@ def _light(rows: DataFrame, small: bool) -> DataFrame:
 
 
 def _counts(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """``t`` and ``n_t``: how many documents have each of the terms that are asked for."""
+    """``asked`` (stored, distinct terms ``t`` and a number ``id`` of each; other columns stay) and ``n_t``: how many
+    documents have each of them. The numbers are shuffled in the terms' place."""
     rows = words.select(F.explode(F.array_distinct("__ep_words")).alias("t"))
     if _sent(asked):
-        return rows.join(F.broadcast(asked), "t").groupBy("t").agg(F.count("*").alias("n_t"))
+        rows = rows.join(F.broadcast(asked.select("t", "id")), "t").groupBy("id").agg(F.count("*").alias("n_t"))
+        return rows.join(F.broadcast(asked), "id")
     return rows.groupBy("t").agg(F.count("*").alias("n_t")).join(asked, "t")
 
 
@@ -194,13 +194,22 @@ def _shingles(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.xxhash64(F.slice(words, k, SHINGLE))))
 
 
-def _labels(said: DataFrame, held: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
+def _said(held: DataFrame, by: DataFrame, small: bool) -> DataFrame:
+    """``__ep_row``, ``c``, ``sighting``, ``t`` and the columns of ``by``: a row for each term in a document of each of its entities."""
+    rows = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(_light(by, small), "c")
+    return rows.withColumn("t", F.explode("__ep_words")).drop("__ep_words")
+
+
+def _labels(held: DataFrame, entity: DataFrame, terms: DataFrame, seen: DataFrame, words: DataFrame) -> DataFrame:
     """``__ep_row``, ``c`` and ``label`` for the documents of ``seen``: equal for those that copy the entity's first."""
     seen = stash(seen.select("c", "__ep_row").distinct(), "pii-suspects")
     few = seen.count() * 32 <= SENT
-    told = said.join(_light(seen.select("c").distinct(), few), "c", "left_semi").groupBy("c", "t").agg(F.count("*").alias("n_ct"))
+    # Only terms that may be own words: all documents that have them, n_t of them, are documents of entities.
+    said = _said(held, seen.select("c").distinct().join(entity.select("c", "n_c"), "c"), few)
+    said = said.join(_light(terms, _sent(terms)), "t", "left").where("n_t IS NULL OR (n_t <= n_c AND n_t = h)").select("__ep_row", "c", "t")
+    told = said.groupBy("c", "t").agg(F.count("*").alias("n_ct"))
     theirs = stash(said.join(_light(seen, few), ["c", "__ep_row"], "left_semi").select("c", "__ep_row", "t"), "pii-words")
-    counts = _counts(words, stash(theirs.select("t").distinct(), "pii-asked"))
+    counts = _counts(words, stash(theirs.select("t").distinct().withColumn("id", F.monotonically_increasing_id()), "pii-asked"))
     alone = told.join(counts, "t").where("n_t = n_ct").select("c", "t")
     own = theirs.join(alone, ["c", "t"]).groupBy("c", "__ep_row").agg(F.collect_set(F.xxhash64("t")).alias("own"))
     texts = held.select("__ep_row", "shingles").join(_light(seen, few), "__ep_row").join(own, ["c", "__ep_row"], "left")
@@ -221,44 +230,52 @@ def _weigh(found: DataFrame, words: DataFrame, disclosure: float, chance: float)
     """
     n_docs = max(found.count(), 2)
     n = F.lit(float(n_docs))
-    own = found.where(F.size("__ep_own") > 0).select("__ep_row", F.explode("__ep_own").alias("x"))
-    own = stash(own.groupBy("__ep_row", "x.c").agg(F.min("x.sighting").alias("sighting")), "pii-own")
-    # Only documents with an entity meet their words, as arrays, one row a document.
-    held = own.groupBy("__ep_row").agg(F.collect_list(F.struct("c", "sighting")).alias("x"))
-    texts = words.where(F.size("__ep_own") > 0).select("__ep_row", _shingles(F.col("__ep_words")).alias("shingles"), F.array_distinct("__ep_words").alias("__ep_words"))
-    held = stash(held.join(texts, "__ep_row"), "pii-held")
+    # Only documents with an entity meet their words, as arrays, one row a document; of an entity the least sighting stays.
+    each = let(F.sort_array("__ep_own"), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["c"] != x["c"])))
+    held = words.where(F.size("__ep_own") > 0).select("__ep_row", each.alias("x"), _shingles(F.col("__ep_words")).alias("shingles"), F.array_distinct("__ep_words").alias("__ep_words"))
+    held = stash(held, "pii-held")
+    own = held.select("__ep_row", F.inline("x"))
     tried = held.agg(F.sum(F.size("x").cast("double") * F.size("__ep_words"))).first()[0] or 0.0
     least = log(max(tried, 1.0) / chance)
 
     entity = own.groupBy("c").agg(F.count("*").alias("n_c"), F.countDistinct("sighting").alias("apart")).where("apart > 1")
     entity = entity.withColumn("ic", F.log(n / F.least(F.col("n_c"), n - 1)))
-    entity = stash(entity.where(F.col("apart") * F.col("ic") >= least).drop("apart"), "pii-entities")
-    # A ratio of at least ``disclosure`` needs n_t <= n_c * (N / n_c) ** (1 - disclosure). Terms that pass this in a part
-    # of the documents already do so in all: no pairs are made of them. (They are no entity's own words either: n_t > n_c.)
-    most = F.col("n_c") * F.exp((1 - disclosure) * F.col("ic")) * (1 + 1e-9)
-    bounds = entity.select("c", (most if disclosure <= 1 else F.col("n_c").cast("double")).alias("most"))
-    lowest = bounds.agg(F.min("most")).first()[0] or 0.0
-    part = words.where(F.pmod(F.xxhash64("__ep_row"), F.lit(COMMON)) == 0).select(F.explode(F.array_distinct("__ep_words")).alias("t"))
-    common = stash(part.groupBy("t").agg(F.count("*").alias("low")).where(F.col("low") > lowest), "pii-common")
-    said = held.select("__ep_row", "__ep_words", F.explode("x").alias("x")).select("__ep_row", "x.*", "__ep_words").join(bounds, "c")
-    said = said.select("__ep_row", "c", "sighting", "most", F.explode("__ep_words").alias("t"))
-    said = said.join(_light(common, _sent(common)), "t", "left").where("low IS NULL OR low <= most").select("__ep_row", "c", "sighting", "t")
-    # A pair of one sighting reveals nothing: most go before any is counted exactly.
-    twice = said.groupBy("c", "t").agg(F.min("sighting").alias("lo"), F.max("sighting").alias("hi")).where("lo <> hi").select("c", "t")
-    twice = stash(twice, "pii-twice")
-    pairs = said.join(_light(twice, _sent(twice)), ["c", "t"]).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart"))
-    pairs = stash(pairs.join(entity, "c").where(F.col("apart") * F.col("ic") >= least), "pii-pairs")
-    # Only terms that some pair may yet be believed for are counted over all documents.
-    counts = _counts(words, stash(pairs.select("t").distinct(), "pii-asked"))
-    q, p = F.col("n_ct") / F.col("n_t"), F.least(F.col("n_c"), n - 1) / n
-    pmi = F.log(q / p)
-    rest = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    likely = pairs.join(counts, "t").select("c", "t", "apart", (pmi / F.col("ic")).alias("ratio"), (pmi + rest).alias("nats"))
+    entity = stash(entity.where(F.col("apart") * F.col("ic") >= least), "pii-entities")
+    # A ratio of at least ``disclosure`` needs n_ct / n_t >= exp((disclosure - 1) * ic), and n_ct is at most n_c and at most
+    # h, the documents with the term and an entity. So the terms are counted before any pair of entity and term is made.
+    share = F.exp((disclosure - 1) * F.col("ic")) * (1 - 1e-9)
+    bounds = entity.select("c", "n_c", F.col("apart").alias("most_apart"), "ic", share.alias("share"))
+    top = entity.agg(F.max(F.col("n_c") / share)).first()[0] or 0.0
+    few = entity.count() * 64 <= SENT
+    rows = own.join(_light(entity.select("c"), few), "c", "left_semi").select("__ep_row").distinct()
+    rows = stash(rows, "pii-weighed")
+    weighed = held.join(_light(rows, rows.count() * 16 <= SENT), "__ep_row", "left_semi")
+    often = weighed.select(F.explode("__ep_words").alias("t")).groupBy("t").agg(F.count("*").alias("h")).where("h > 1")
+    often = stash(often.withColumn("id", F.monotonically_increasing_id()), "pii-often")
+    counted = _counts(words, often.where(F.col("h") <= top))
+    # Terms of more than ``top`` documents fit no entity; h says so already.
+    terms = stash(counted.unionByName(often.where(F.col("h") > top).withColumn("n_t", F.col("h"))).drop("id"), "pii-counts")
+    p = F.least(F.col("n_c"), n - 1) / n
+
+    def nats(q: Column) -> Column:
+        rest = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
+        return F.log(q / p) + rest
+
+    # The nats of a pair grow with n_ct, so those of the most that n_ct can be are a bound.
+    most = F.least("h", "n_c")
+    possible = (most >= F.col("share") * F.col("n_t")) & (F.least(most, "most_apart") * nats(most / F.col("n_t")) >= least * (1 - 1e-9))
+    said = _said(held, bounds, few).join(_light(terms, _sent(terms)), "t").where(possible)
+    said = stash(said.select("__ep_row", "c", "sighting", "t", "n_t"), "pii-said")
+    # A pair of one sighting reveals nothing.
+    pairs = said.groupBy("c", "t", "n_t").agg(F.count("*").alias("n_ct"), F.countDistinct("sighting").alias("apart"))
+    pairs = stash(pairs.where("apart > 1"), "pii-twice").join(entity.drop("apart"), "c")
+    q = F.col("n_ct") / F.col("n_t")
+    likely = pairs.select("c", "t", "apart", (F.log(q / p) / F.col("ic")).alias("ratio"), nats(q).alias("nats"))
     likely = likely.where((F.col("ratio") >= disclosure) & (F.col("nats") > 0) & (F.col("apart") * F.col("nats") >= least))
     likely = stash(likely.select("c", "t", "ratio", "nats"), "pii-likely")
     # What is left is held against the copies.
-    seen = stash(said.join(_light(likely, _sent(likely)), ["c", "t"]), "pii-seen")
-    seen = seen.join(_labels(said, held, seen, words), ["c", "__ep_row"], "left")
+    seen = stash(said.drop("n_t").join(_light(likely, _sent(likely)), ["c", "t"]), "pii-seen")
+    seen = seen.join(_labels(held, entity, terms, seen, words), ["c", "__ep_row"], "left")
     seen = seen.groupBy("c", "t", "ratio", "nats").agg(F.countDistinct("sighting").alias("apart"), F.countDistinct(F.coalesce("label", "sighting")).alias("texts"))
     return seen.where((F.least("apart", "texts") * F.col("nats")) >= least).groupBy("t").agg(F.max("ratio").alias("ratio"))
 

@@ -149,3 +149,14 @@ def test_no_pairs_are_made_of_common_terms(spark, monkeypatch):
     rows = pii.find_pii(spark.createDataFrame(list(enumerate(held + far)), "doc_id long, text string"), carry=False).collect()
     assert {x.t for r in rows for x in r.term} == {"zebulon"}
     assert {r.t for r in kept["pii-twice"].collect()} == {"zebulon"}
+
+
+def test_no_pairs_are_made_of_terms_that_most_documents_have_elsewhere(spark, monkeypatch):
+    """A term of twelve documents is far from common, but two of them are too few for an entity of two."""
+    kept, stash = {}, pii.stash
+    monkeypatch.setattr(pii, "stash", lambda df, name: kept.setdefault(name, stash(df, name)))
+    held = [f"Zebulon met us with treacle. The weather was mild there. Mail z.carter@mail0.example.org about {w} and so on. Yours, zebulon" for w in ("oaks", "elms")]
+    far = [f"The weather in {w} was mild there, about as mild as yours. They met and mail us with {'treacle' if k < 3 else 'butter'} and so on." for w in ("oaks", "elms", "pines", "firs") for k in range(20)]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(held + far)), "doc_id long, text string"), carry=False).collect()
+    assert {x.t for r in rows for x in r.term} == {"zebulon"}
+    assert {r.t for r in kept["pii-twice"].collect()} == {"zebulon"}
