@@ -192,15 +192,19 @@ def trigger() -> Column:
     return field(segment("MSH"), 9, 2)
 
 
-def to_events(messages: DataFrame, code_map: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One event per parsed message, with the columns ``keep``; messages without patient or time are dropped."""
+def fields(messages: DataFrame, keep: tuple[str, ...] = (), **more: Column) -> DataFrame:
+    """One row per parsed message: ``keep``, ``more`` (of columns named like the segments) and what events are made of.
+
+    An unreadable message has none of those fields.
+    """
     # Segments, then fields, then times are columns of their own, so that each is computed once.
     names = ("MSH", "EVN", "PID", "PV1", "OBR", "OBX")
-    rows = once(messages.where("segments IS NOT NULL"), *keep, "comp", *[segment(s).alias(s) for s in names])
+    rows = once(messages, *keep, "comp", *[segment(s).alias(s) for s in names])
     seg = lambda s, n, comp=None: field(F.col(s), n, comp)
     rows = once(
         rows,
         *keep,
+        *[c.alias(k) for k, c in more.items()],
         seg("MSH", 10).alias("control_id"),
         seg("PID", 3, 1).alias("patient_id"),
         seg("MSH", 9, 1).alias("kind"),
@@ -214,19 +218,29 @@ def to_events(messages: DataFrame, code_map: dict | None = None, keep: tuple[str
         *[timestamp(seg(s, n)).alias(f"t{k}") for k, (s, n) in enumerate(TIMES)],
         timestamp(seg("PV1", 45)).alias("left"),
     )
+    times = [f"t{k}" for k in range(len(TIMES))]
+    return rows.withColumns({"t_start": F.coalesce(*times), "admitted": F.col("t1")}).drop(*times)
+
+
+def to_events(messages: DataFrame, code_map: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One event per parsed message, with the columns ``keep``; messages without patient or time are dropped."""
+    return events(fields(messages.where("segments IS NOT NULL"), keep), code_map, keep)
+
+
+def events(rows: DataFrame, code_map: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The events of :func:`to_events` from the ``fields`` of messages."""
     is_adt, is_oru = F.col("kind") == "ADT", F.col("kind") == "ORU"
     own = _map(code_map)[F.when(is_adt, F.col("trigger")).when(is_oru, F.col("loinc_code"))] if code_map else F.lit(None).cast("string")
     default = F.when(is_adt, _map(ADT)[F.col("trigger")]).when(is_oru, _map(LOINC)[F.col("loinc_code")])
     hour = F.expr("INTERVAL 1 HOUR")
-    rows = rows.withColumn("t_start", F.coalesce(*[f"t{k}" for k in range(len(TIMES))])).where("patient_id IS NOT NULL AND t_start IS NOT NULL")
-    return rows.select(
+    return rows.where("patient_id IS NOT NULL AND t_start IS NOT NULL").select(
         *keep,
         "control_id",
         "patient_id",
         F.coalesce(own, default, F.concat_ws("_", F.lit("HL7"), "kind", "trigger")).alias("event_type"),
         "t_start",
-        F.coalesce("t1", F.col("t_start") - hour).alias("stay_start"),
-        F.coalesce("left", F.coalesce("t1", "t_start") + hour).alias("stay_end"),
+        F.coalesce("admitted", F.col("t_start") - hour).alias("stay_start"),
+        F.coalesce("left", F.coalesce("admitted", "t_start") + hour).alias("stay_end"),
         F.col("value").try_cast("double").alias("value"),
         "unit",
         "loinc_code",
@@ -300,9 +314,12 @@ def to_live_events(messages: DataFrame) -> DataFrame:
     return rows.select("control_id", "patient_id", "n", "e.*").where("event_type IS NOT NULL")
 
 
-def acknowledgement(code: Column) -> Column:
-    """ACK text for a parsed message: sender and receiver swapped, code AA, AE or AR."""
-    msh = segment("MSH")
+def acknowledgement(code: Column, msh: Column | None = None) -> Column:
+    """ACK text for a parsed message: sender and receiver swapped, code AA, AE or AR.
+
+    ``msh`` is the message's MSH segment where it is a column of its own.
+    """
+    msh = segment("MSH") if msh is None else msh
     x = lambda n: F.coalesce(field(msh, n), F.lit(""))
-    head = F.concat_ws("|", F.lit("MSH"), F.lit("^~\\&"), x(5), x(6), x(3), x(4), x(7), F.lit(""), F.concat(F.lit("ACK^"), F.coalesce(trigger(), F.lit(""))), F.concat(F.lit("ACK"), x(10)), F.coalesce(F.nullif(x(11), F.lit("")), F.lit("P")), F.coalesce(F.nullif(x(12), F.lit("")), F.lit("2.5")))
+    head = F.concat_ws("|", F.lit("MSH"), F.lit("^~\\&"), x(5), x(6), x(3), x(4), x(7), F.lit(""), F.concat(F.lit("ACK^"), F.coalesce(field(msh, 9, 2), F.lit(""))), F.concat(F.lit("ACK"), x(10)), F.coalesce(F.nullif(x(11), F.lit("")), F.lit("P")), F.coalesce(F.nullif(x(12), F.lit("")), F.lit("2.5")))
     return F.concat(head, F.lit("\r"), F.concat_ws("|", F.lit("MSA"), code, x(10)), F.lit("\r"))

@@ -12,11 +12,19 @@ from ..operators import audit
 from ..sources import hl7
 
 
+#: Bytes of files that a batch of messages takes for each core, if no number of files is given.
+CORE_BYTES = 128 << 20
+
+
 def message_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of messages from files dropped into ``path`` (an MLLP gateway or Kafka sink writes them)."""
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    """Stream of messages from files dropped into ``path`` (an MLLP gateway or Kafka sink writes them).
+
+    All files are taken, in batches of ``max_files``, or else of ``CORE_BYTES`` for each core, so that what
+    an executor holds of a batch does not grow with the number of files that wait. A file is read whole,
+    also one above that size.
+    """
+    limit = ("maxFilesPerTrigger", max_files) if max_files else ("maxBytesPerTrigger", CORE_BYTES * spark.sparkContext.defaultParallelism)
+    reader = spark.readStream.option(*limit)
     return hl7.parse(hl7.split_messages(reader.text(path, wholetext=True).select(F.col("value").alias("raw"))))
 
 
@@ -39,31 +47,37 @@ def ingest(messages: DataFrame, *, events_path: str, dead_path: str, checkpoint:
         raise ValueError("audit entries need a salt")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        # What the sinks ask for is kept, not the segments; a text only if it is set aside.
+        msh = F.col("MSH")
+        more = {"sender": hl7.field(msh, 3)} | ({"ack": hl7.acknowledgement(F.lit("AA"), msh)} if ack_path else {})
+        found = hl7.fields(batch.withColumn("readable", F.col("segments").isNotNull()), ("message", "readable"), **more)
+        reason = F.when(~F.col("readable"), "unreadable").when(F.col("patient_id").isNull(), "no patient").when(F.col("t_start").isNull(), "no time")
+        rows = found.withColumns({"reason": reason, "message": F.when(reason.isNotNull(), F.col("message"))}).persist()
+        try:
+            sinks(rows, number)
+        finally:
+            rows.unpersist()
+
+    def sinks(rows: DataFrame, number: int) -> None:
         out = lambda rows, path: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        out(hl7.to_events(batch), events_path)
-        at = F.coalesce(*[hl7.timestamp(hl7.field(hl7.segment(s), n)) for s, n in hl7.TIMES])
-        reason = F.when(F.col("segments").isNull(), "unreadable").when(hl7.patient().isNull(), "no patient").when(at.isNull(), "no time")
-        judged = batch.withColumn("reason", reason)
-        out(judged.where("reason IS NOT NULL").select("message", "reason"), dead_path)
-        msh = hl7.segment("MSH")
-        control = F.coalesce(hl7.field(msh, 10), F.lit("unknown"))
+        out(hl7.events(rows), events_path)
+        out(rows.where("reason IS NOT NULL").select("message", "reason"), dead_path)
+        control = F.coalesce("control_id", F.lit("unknown"))
         if ack_path:
-            out(judged.where("segments IS NOT NULL").select(control.alias("control_id"), F.lit("AA").alias("code"), hl7.acknowledgement(F.lit("AA")).alias("ack")), ack_path)
+            out(rows.where("readable").select(control.alias("control_id"), F.lit("AA").alias("code"), "ack"), ack_path)
         if audit_path:
-            said = F.concat(F.lit("hl7v2 msg_id="), control, F.when(F.col("reason").isNull(), F.concat(F.lit(" type="), hl7.kind(), F.lit("^"), F.coalesce(hl7.trigger(), F.lit("")))).otherwise(F.concat(F.lit(" reason="), "reason")))
             stored = F.col("reason").isNull()
-            rows = judged.select(
+            said = F.concat(F.lit("hl7v2 msg_id="), control, F.when(stored, F.concat(F.lit(" type="), "kind", F.lit("^"), F.coalesce("trigger", F.lit("")))).otherwise(F.concat(F.lit(" reason="), "reason")))
+            told = rows.select(
                 F.lit("import").alias("action"),
-                F.concat(F.lit("mllp:"), F.coalesce(hl7.field(msh, 3), F.lit("unknown"))).alias("user"),
+                F.concat(F.lit("mllp:"), F.coalesce("sender", F.lit("unknown"))).alias("user"),
                 F.when(stored, "event").alias("resource_type"),
                 F.when(stored, control).alias("resource_id"),
-                F.when(stored, hl7.patient()).alias("patient_id"),
+                F.when(stored, F.col("patient_id")).alias("patient_id"),
                 stored.alias("success"),
                 said.alias("details"),
             )
-            out(audit.entries(rows, salt), audit_path)
-        batch.unpersist()
+            out(audit.entries(told, salt), audit_path)
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

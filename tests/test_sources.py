@@ -100,6 +100,26 @@ def test_a_repeated_batch_leaves_each_sink_once(spark, tmp_path):
         ingest.ingest(ingest.message_stream(spark, str(tmp_path / "in")), **{**paths, "checkpoint": "x"})
 
 
+def test_a_batch_holds_a_bounded_share_of_the_files(spark, tmp_path, monkeypatch):
+    """Many waiting files are taken in several batches, of which only plain fields are kept, and nothing is lost."""
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.hl7").write_text(message(f"M{k}", "20260101" if k else "") + message(f"N{k}", "20260102") + "MSH|bad\r", newline="")
+    kept, persist = [], type(spark.range(0)).persist
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda rows, *a: kept.append(rows) or persist(rows, *a))
+    monkeypatch.setattr(ingest, "CORE_BYTES", 10, raising=False)  # less than a file
+    paths = {f"{k}_path": str(tmp_path / k) for k in ("events", "dead", "ack", "audit")}
+    ingest.ingest(ingest.message_stream(spark, str(tmp_path / "in")), **paths, checkpoint=str(tmp_path / "c"), salt="s").awaitTermination()
+    read = {k: spark.read.parquet(p).collect() for k, p in paths.items()}
+    assert len({r.batch for r in read["events_path"]}) == 4
+    assert kept and not any("segments" in rows.columns for rows in kept)
+    assert sorted(r.control_id for r in read["events_path"]) == sorted([f"N{k}" for k in range(4)] + [f"M{k}" for k in range(4) if k])
+    assert sorted((r.reason, r.message.startswith("MSH|")) for r in read["dead_path"]) == [("no time", True)] + [("unreadable", True)] * 4
+    assert sorted(r.control_id for r in read["ack_path"]) == sorted(f"{x}{k}" for x in "MN" for k in range(4))
+    assert {r.ack for r in read["ack_path"] if r.control_id == "N1"} == {"MSH|^~\\&|R|RF|LAB|F|20260102||ACK^R01|ACKN1|P|2.5\rMSA|AA|N1\r"}
+    assert sum(r.success for r in read["audit_path"]) == 7 and len(read["audit_path"]) == 12
+
+
 def test_scores_follow_time_within_a_batch_of_any_size(spark, tmp_path):
     """One patient, 25,000 events in a batch and 30 in the next, dealt out of order over files and frames."""
     rng, t0 = random.Random(6), datetime(2026, 1, 1)
